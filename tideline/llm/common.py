@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +61,30 @@ def rows_in(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Ite
 def sampled(df: DataFrame, key: str, share: Column, seed: int) -> DataFrame:
     """Rows whose seeded hash of key falls below share (0 to 1): the same rows however the data is dealt."""
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+
+
+def map_text(df: DataFrame, text: str, added: str, make, keep=None) -> DataFrame:
+    """Adds columns computed from whole texts, a batch at a time.
+
+    make: maps a list of texts (None for null) to a list of tuples, in the order of `added` (a DDL schema).
+    keep: takes such a tuple; rows for which it is false are left out. Columns of df whose names clash (in any case)
+    with an added one are replaced; all others pass through as they are.
+    """
+    new = StructType.fromDDL(added)
+    taken = {x.name.lower() for x in new.fields}
+    old = [c for c in df.columns if c.lower() not in taken]
+    position = df.columns.index(text)
+    kept_at = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
+    arrow = to_arrow_schema(new)
+
+    def run(batches):
+        for whole in batches:
+            for batch in rows_in(iter([whole])):
+                made = make(batch.column(position).to_pylist())
+                names = [*old, *arrow.names]
+                columns = [batch.column(i) for i in kept_at]
+                columns += [pa.array([row[i] for row in made], type=arrow.field(i).type) for i in range(len(arrow.names))]
+                out = pa.RecordBatch.from_arrays(columns, names=names)
+                yield out if keep is None else out.filter(pa.array([bool(keep(row)) for row in made], type=pa.bool_()))
+
+    return df.mapInArrow(run, StructType([df.schema[c] for c in old] + new.fields))
