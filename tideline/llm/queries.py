@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import load
+from tideline.llm import language, quality
+from tideline.llm.common import held_out, load
 from tideline.llm.sharding import shard
 
 
+def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that aren't held out."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.train(docs, ~held_out("doc_id", 4, 2))
+    thin = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
+    return language.identify(thin, model).drop("text")
+
+
+def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labelled ones that aren't held out."""
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    thin = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
+    return quality.score(thin, model).drop("text")
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, equal texts together (law `bytes`)."""
     out = shard(load(spark, sf_dir, "documents"), shards=40)
@@ -18,7 +35,9 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
+    "op7_quality_ftrl": op7_quality_ftrl,
 }
 
 ORACLE_SQL: dict[str, str] = {}
