@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, quality
+from tideline.llm import language, quality, tokenfile
 from tideline.llm.common import held_out, load
 from tideline.llm.sharding import shard
+from tideline.llm.topk import top_k
+
+
+def public_tokenizer(name: str) -> str:
+    """The place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +42,32 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
+def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    return top_k(spark, load(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to Simple-8b files in ascending doc_id order, and read back."""
+    path = tokenfile.new_path(spark)
+    tokenfile.write(load(spark, sf_dir, "documents"), path, public_tokenizer("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read(spark, path, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
+    "op5_histogram_topk": op5_histogram_topk,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op9_simple8b": op9_simple8b,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_histogram_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
