@@ -74,8 +74,8 @@ def score_blocks(batches: Iterable[pa.RecordBatch], block: Block, scale: float,
                     yield ids[at : at + rows], inner(x[at : at + rows], block.x)
 
 
-def histograms(data: DataFrame, block: Block, low: np.ndarray, width: int, bins: int, scale: float) -> np.ndarray:
-    """How many scores fall in each bin, for each query of the block, over all rows."""
+def histograms(data: DataFrame, block: Block, low: np.ndarray, span: int, width: int, bins: int, scale: float) -> np.ndarray:
+    """How many scores of low <= score < low + span fall in each bin of `width`, for each query of the block, over all rows."""
 
     def run(batches):
         m = len(block.ids)
@@ -84,11 +84,12 @@ def histograms(data: DataFrame, block: Block, low: np.ndarray, width: int, bins:
         exact = [int(v) for v in low]
         for ids, s in score_blocks(batches, block, scale):
             if s.dtype == object:
-                at = np.array([[min(max((int(v) - l) // width, -1), bins) for v, l in zip(row, exact, strict=True)] for row in s], np.int64).reshape(s.shape)
+                at = np.array([[(int(v) - l) // width if 0 <= int(v) - l < span else -1 for v, l in zip(row, exact, strict=True)] for row in s], np.int64).reshape(s.shape)
             else:
                 kind = np.int32 if s.dtype == np.float32 and width < 1 << 24 and np.abs(low).max() < 1 << 24 else np.int64
-                at = (s.astype(kind) - low.astype(kind)) // kind(width)
-            inside = (at >= 0) & (at < bins)
+                above_low = s.astype(kind) - low.astype(kind)
+                at = np.where((above_low >= 0) & (above_low < span), above_low // kind(width), kind(-1))
+            inside = at >= 0
             total += np.bincount((at + base)[inside], minlength=m * bins)
             for c, q in zip(*block.own(ids), strict=True):
                 if inside[c, q]:
@@ -105,13 +106,14 @@ def histograms(data: DataFrame, block: Block, low: np.ndarray, width: int, bins:
 def kth_scores(data: DataFrame, block: Block, bound: int, bins: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Each query's k-th highest score, and how many scores are above it. Fewer than k rows: a score below all."""
     m = len(block.ids)
-    width = max(1, -(-(2 * bound + 1) // bins))
+    span = 2 * bound + 1
+    width = -(-span // bins)
     low, above = np.array([-bound] * m, dtype=object), np.zeros(m, np.int64)
     short = np.zeros(m, bool)
     first = True
     while True:
         as_int = low.astype(np.int64) if bound < 1 << 62 else low
-        counts = histograms(data, block, as_int, width, bins, scale)
+        counts = histograms(data, block, as_int, span, width, bins, scale)
         down = above[:, None] + np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # scores in a bin or above it
         if first:
             short, first = down[:, 0] < block.k, False
@@ -120,7 +122,7 @@ def kth_scores(data: DataFrame, block: Block, bound: int, bins: int, scale: floa
         low = np.array([v + int(a) * width for v, a in zip(low, at, strict=True)], dtype=object)
         if width == 1:
             return np.array([-(1 << 63) if s else v for s, v in zip(short, low, strict=True)], dtype=object), above
-        width = -(-width // bins)
+        span, width = width, -(-width // bins)
 
 
 def keep_best(data: DataFrame, block: Block, kth: np.ndarray, above: np.ndarray, scale: float) -> DataFrame:
