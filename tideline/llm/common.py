@@ -88,3 +88,8 @@ def map_text(df: DataFrame, text: str, added: str, make, keep=None) -> DataFrame
                 yield out if keep is None else out.filter(pa.array([bool(keep(row)) for row in made], type=pa.bool_()))
 
     return df.mapInArrow(run, StructType([df.schema[c] for c in old] + new.fields))
+
+
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a table in the shared folder of at most so many (thin) rows; otherwise Spark shuffles as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
