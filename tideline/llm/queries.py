@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, quality, tokenfile
-from tideline.llm.common import held_out, load
+from tideline.llm import language, media, mixing, quality, tokenfile
+from tideline.llm.common import held_out, load, materialize
 from tideline.llm.sharding import shard
 from tideline.llm.topk import top_k
 
@@ -54,14 +54,65 @@ def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path, with_ids=False)
 
 
+#: The tables have no domain: sources are dealt into four by their number.
+DOMAIN = "concat('d', CAST(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS STRING))"
+WEIGHTS = {"domains": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "languages": {"en": 4, "de": 3, "fr": 3, "es": 2}}
+
+
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of half the tokens takes of each document."""
+    return mixing.pick(load(spark, sf_dir, "documents"), F.expr(DOMAIN), share=0.5, epochs=4, **WEIGHTS)
+
+
+def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with an image of their bytes; what the images give when their references are resolved."""
+    docs = load(spark, sf_dir, "documents")
+    store = materialize(media.store_of(docs), "media")
+    measured = materialize(media.measure(store), "media-measured")
+    parts = media.parts_of(media.pages_of(docs), "doc_id").where(F.col("kind") == "media")
+    found = media.resolve(parts, measured)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
     "op5_histogram_topk": op5_histogram_topk,
+    "op6_hierarchical_mix": op6_hierarchical_mix,
     "op7_quality_ftrl": op7_quality_ftrl,
     "op9_simple8b": op9_simple8b,
+    "op10_interleaved_media": op10_interleaved_media,
 }
 
+def _split_sql(name: str, table: str, parent: str, node: str, budget: str, weight: str, out: str) -> str:
+    """A level of the budget tree: children fill up in order of capacity for weight, the rest share what is left."""
+    order = f"PARTITION BY {parent} ORDER BY capacity / ({weight}), capacity, {weight}, {node}"
+    return f"""
+        {name}_a AS (SELECT *, {weight} AS w, greatest({budget} - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest,
+                     sum({weight}) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {table}),
+        {name}_b AS (SELECT *, row_number() OVER ({order}) AS i, CAST(rest AS HUGEINT) * w < CAST(capacity AS HUGEINT) * ws AS open FROM {name}_a),
+        {name}_c AS (SELECT *, min(CASE WHEN open THEN i END) OVER (PARTITION BY {parent}) AS first_open FROM {name}_b),
+        {name} AS (SELECT a.*, CASE WHEN a.first_open IS NULL OR a.i < a.first_open THEN a.capacity ELSE CAST((CAST(b.rest AS HUGEINT) * a.w) // b.ws AS BIGINT) END AS {out}
+                   FROM {name}_c a LEFT JOIN {name}_c b ON b.i = a.first_open AND {" AND ".join(f"a.{p} = b.{p}" for p in parent.split(", "))})"""
+
+
+_DOMAIN_SQL = "coalesce('d' || CAST(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS VARCHAR), 'none')"
+_MIX_SQL = rf"""
+    WITH t AS (SELECT doc_id, {_DOMAIN_SQL} AS domain, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+                      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 4 AS BIGINT) AS capacity FROM t GROUP BY ALL),
+        tops AS (SELECT 0 AS root, domain, CAST(sum(capacity) AS BIGINT) AS capacity, (SELECT CAST(sum(tokens) * 500 AS BIGINT) // 1000 FROM leaves) AS b FROM leaves GROUP BY domain),
+        {_split_sql("l0", "tops", "root", "domain", "b", "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", "b0")},
+        mid AS (SELECT x.*, l0.b0 FROM (SELECT domain, lang, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaves GROUP BY ALL) x JOIN l0 USING (domain)),
+        {_split_sql("l1", "mid", "domain", "lang", "b0", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 3 WHEN 'es' THEN 2 ELSE 1 END", "b1")},
+        low AS (SELECT leaves.*, l1.b1 FROM leaves JOIN l1 USING (domain, lang)),
+        {_split_sql("l2", "low", "domain, lang", "source", "b1", "1", "budget")},
+        plan AS (SELECT domain, lang, source, CAST(budget // tokens AS INTEGER) AS full_epochs, CAST(budget % tokens AS BIGINT) AS tail FROM l2),
+        h AS (SELECT t.*, full_epochs, tail, md5('11|' || full_epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM t JOIN plan USING (domain, lang, source)),
+        s AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM h),
+        o AS (SELECT doc_id, domain, lang, source, n_tokens, full_epochs, CAST(greatest(0, least(n_tokens, tail - begin)) AS BIGINT) AS tail_tokens FROM s)
+    SELECT * FROM o WHERE full_epochs > 0 OR tail_tokens > 0"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_histogram_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -70,4 +121,5 @@ ORACLE_SQL: dict[str, str] = {
               FROM v a JOIN v b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op6_hierarchical_mix": _MIX_SQL,
 }
