@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, media, mixing, quality, tokenfile
+from tideline.llm import language, lmscore, media, mixing, quality, tokenfile
 from tideline.llm.common import held_out, load, materialize
 from tideline.llm.sharding import shard
 from tideline.llm.topk import top_k
@@ -42,6 +42,13 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a tree learnt from those that aren't held out."""
+    docs = load(spark, sf_dir, "documents")
+    out = lmscore.score(docs, ~held_out("doc_id", 5, 1))
+    return out.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every 20th vector with all others."""
     return top_k(spark, load(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
@@ -77,6 +84,7 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_suffix_tree": op3_suffix_tree,
     "op5_histogram_topk": op5_histogram_topk,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op7_quality_ftrl": op7_quality_ftrl,
