@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, lmscore, media, mixing, quality, tokenfile
+from tideline.llm import language, lmscore, media, mixing, neardup, quality, tokenfile
 from tideline.llm.common import held_out, load, materialize
 from tideline.llm.sharding import shard
 from tideline.llm.topk import top_k
@@ -54,6 +54,11 @@ def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, load(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are 85 % alike."""
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to Simple-8b files in ascending doc_id order, and read back."""
     path = tokenfile.new_path(spark)
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_histogram_topk": op5_histogram_topk,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_simple8b": op9_simple8b,
     "op10_interleaved_media": op10_interleaved_media,
 }
