@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, lmscore, media, mixing, neardup, quality, tokenfile
+from tideline.llm import language, lmscore, media, mixing, neardup, pieces, quality, tokenfile
 from tideline.llm.common import held_out, load, materialize
 from tideline.llm.sharding import shard
 from tideline.llm.topk import top_k
@@ -49,6 +49,11 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return pieces.encode(load(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every 20th vector with all others."""
     return top_k(spark, load(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_suffix_tree": op3_suffix_tree,
+    "op4_viterbi_pieces": op4_viterbi_pieces,
     "op5_histogram_topk": op5_histogram_topk,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op7_quality_ftrl": op7_quality_ftrl,
