@@ -1,13 +1,62 @@
-"""Quality, language, near-duplicates, mixture, tokens: five operators in a row over `documents`."""
+"""Quality, language, near-duplicates, mixture, tokens: five of the operators in a row over `documents`.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents. A driver writes each stage's result as Parquet and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import language, mixing, neardup, pieces, quality
+from tideline.llm.common import held_out, load, materialize
+from tideline.llm.queries import DOMAIN, WEIGHTS, public_tokenizer
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier predicts 1; it learns from labelled documents that aren't held out."""
+    model = quality.train(docs, load(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    return quality.keep_good(docs, model)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text has a language: not `und`, and not one that the codewords leave open."""
+    return language.confident(docs, language.train(docs, ~held_out("doc_id", 4, 2)))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the least id, of each group of near-duplicates (five words, 80 %)."""
+    found = materialize(neardup.near_duplicates(docs, size=5, percent=80), "near-duplicates")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    return neardup.without(docs, gone, "doc_id", "_gone")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what a mixture of half the tokens takes, each document once at most (one epoch)."""
+    return mixing.mix(docs, F.expr(DOMAIN), share=0.5, epochs=1, **WEIGHTS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that is left."""
+    return pieces.encode(docs, public_tokenizer("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: SQL can't express trained classifiers or the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; between stages the rows are written to the shared folder and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -281,3 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     whole = thin.select("k", "n", "d1", "d2").join(same, ["d1", "d2"], "left").join(labels.select(F.col("k").alias("node"), "c"), "node", "left")
     own = F.coalesce(F.col("c"), F.col("node"), F.col("k"))
     return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("k") == own, F.lit(True)).alias("kept"))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
+    """docs less the rows whose key is in `gone` (a table in the shared folder); texts are shuffled only if it has over a million keys."""
+    return docs.join(few(gone, 1_000_000), F.col(key).cast("long") == F.col(gone_key), "left_anti")
