@@ -16,7 +16,9 @@ have been seen are remembered with their ids.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -63,7 +65,7 @@ class Vocabulary:
 class Encoder:
     CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000) -> None:
         self.v, self.remember = vocabulary, remember
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
@@ -174,8 +176,8 @@ class Encoder:
         marked = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
         if not self.v.by_word:
             return np.array(self.stream(marked), "<i4").tobytes()
-        if len(self.words) > self.remember:
-            self.words.clear()
+        if len(self.words) > self.remember:  # what came first is what comes often
+            self.words = dict(itertools.islice(self.words.items(), self.remember // 2))
         chunks, seen = self.CHUNK.findall(marked), self.words
         for chunk in set(chunks).difference(seen):
             seen[chunk] = np.array(self.stream(chunk), "<i4").tobytes()
@@ -188,6 +190,12 @@ class Encoder:
         return said[1:] if self.v.prefix and said.startswith(" ") else said
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(model: str) -> Encoder:
+    """One encoder, with what it remembers, for all tasks of a Python worker."""
+    return Encoder(Vocabulary(model))
+
+
 def encode(docs: DataFrame, model: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of docs with n_ids, ids, and exact: decoding the ids gives the text back.
 
@@ -196,11 +204,10 @@ def encode(docs: DataFrame, model: str, keep: list[str], text: str = "text") ->
     `keep` must not have n_ids, ids or exact; other columns are not read.
     """
     schema = StructType([docs.schema[c] for c in keep] + StructType.fromDDL("n_ids int, ids array<int>, exact boolean").fields)
-    held: dict[str, Encoder] = {}
     list_type = to_arrow_type(schema["ids"].dataType)
 
     def run(batches):
-        coder = held.get("coder") or held.setdefault("coder", Encoder(Vocabulary(model)))
+        coder = encoder(model)
         for whole in batches:
             for batch in rows_in(iter([whole]), 4 << 20):
                 texts = batch.column(len(keep)).to_pylist()
