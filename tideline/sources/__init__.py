@@ -1,0 +1,3 @@
+"""Readers, writers and constructors of collections."""
+
+from tideline.sources.io import *  # noqa: F403
