@@ -46,6 +46,8 @@ def features(text: str, bits: int) -> np.ndarray:
 
 def codewords(n: int, seed: int = 0) -> np.ndarray:
     """A row of +1/-1 bits for each of n languages: all distinct splits for up to 6, beyond that the best of many random draws."""
+    if n < 2:
+        return np.ones((n, 0), np.float32)
     if n <= 6:
         splits = [s for s in itertools.product((1, -1), repeat=n) if s[0] == 1 and -1 in s]
         return np.array(splits, dtype=np.float32).T.reshape(n, -1)
