@@ -5,9 +5,10 @@ its bucket as a leading-zero count and some mantissa bits, 16 bits in all. Bands
 empty registers borrow from the next full one for this, so that short documents have full bands.
 
 Documents with equal sets are one node, found by a 128-bit digest of the set. Nodes that share a band are candidates:
-first each with the band's least node (a star, not all pairs); then, for bands that still hold several components, every
-pair across components whose estimated similarity, corrected for chance collisions of registers, isn't far below
-the threshold. All candidates are confirmed on full sets. Components are found by passing least labels along links.
+in some rounds each node with one center of its bands (stars, not all pairs); then, for bands that still hold several
+components, every pair across components of nodes that have enough shingles in common with other components at all,
+if the similarity estimated from the registers, corrected for chance collisions, isn't far below the threshold.
+All candidates are confirmed on full sets. Components come from distributed star contraction.
 """
 
 from __future__ import annotations
@@ -217,14 +218,50 @@ def _only(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return docs.join(keys, F.col(key).cast("long") == F.col("_node"), "left_semi")
 
 
-def across(shared: DataFrame, nodes: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a band and whose estimate doesn't rule them out (six deviations below the threshold).
+def open_part(rows: DataFrame) -> DataFrame:
+    """Of (band, k, c) the rows of bands that hold more than one component."""
+    mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return rows.join(materialize(mixed, "mixed-bands"), "band")
 
-    shared: band, k, c; seen: pairs that have been looked at. Bands meet by a join on the band and on c differing, not by gathering a band in one task.
-    """
-    pairs = shared.select("band", F.col("k").alias("a"), F.col("c").alias("ca")).join(shared.select("band", F.col("k").alias("b"), F.col("c").alias("cb")), "band")
-    pairs = pairs.where("a < b AND ca <> cb").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "across")
+
+def relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """rows with each component c replaced by the one it has become in `moved` (k, c)."""
+    moved = few(moved.select(F.col("k").alias("c"), F.col("c").alias("_to")))
+    return rows.join(moved, "c", "left").withColumn("c", F.coalesce("_to", "c")).drop("_to")
+
+
+def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """For each node the center of another component that it shares most bands with. Each band has one center, drawn anew each turn:
+    the node of least hash. Nodes and centers only, so a band of n nodes gives n - 1 rows at most."""
+    center = rows.groupBy("band").agg(F.min_by(F.struct("k", "c"), F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("z"))
+    center = materialize(center.select("band", F.col("z.k").alias("zk"), F.col("z.c").alias("zc")), "centers")
+    met = rows.join(center, "band").where("c <> zc").groupBy("k", "zk").agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy(F.col("k").alias("a")).agg(F.max_by("zk", F.struct("times", -F.col("zk"))).alias("b"))
+
+
+def linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (band, k, c) the rows of nodes that can be linked with another component at all: at least `percent` of their shingles
+    occur in nodes of other components, too. (An intersection can't be larger than that, nor a union smaller than the set.)"""
+    labels = rows.select("k", "c").distinct()
+
+    def run(batches):
+        for whole in batches:
+            for batch in rows_in(iter([whole])):
+                held = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+                times = [len(x) for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(batch.column(1).to_numpy(), times)), pa.array(np.repeat(times, times))], names=["h", "k", "c", "n"])
+
+    spread = sets.join(few(materialize(labels, "open-labels"), 1_000_000), "k").select("k", "c", "shingles").mapInArrow(run, "h long, k long, c long, n long")
+    common = materialize(spread.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"), "common-shingles")
+    able = spread.join(common, "h", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).where(F.col("s") * 100 >= F.col("n") * percent).select("k")
+    return rows.join(few(materialize(able, "linkable"), 1_000_000), "k", "left_semi")
+
+
+def across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that share a band and whose estimate doesn't rule them out (six deviations below
+    the threshold). Bands meet by a join on the band and on c differing, not by gathering a band in one task."""
+    pairs = rows.select("band", F.col("k").alias("a"), F.col("c").alias("ca")).join(rows.select("band", F.col("k").alias("b"), F.col("c").alias("cb")), "band")
+    pairs = materialize(pairs.where("a < b AND ca <> cb").select("a", "b").distinct(), "across")
     floor = percent / 100
 
     def run(batches):
@@ -243,6 +280,21 @@ def across(shared: DataFrame, nodes: DataFrame, seen: DataFrame, percent: int) -
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _merged(labels: DataFrame | None, rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, open rows) after more links between nodes: links are taken to components, and only those are joined up."""
+    if labels is not None:
+        for end in "ab":
+            names = few(labels.select(F.col("k").alias(end), F.col("c").alias("_c")))
+            links = links.join(names, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    moved = components(links)
+    if labels is None:
+        labels = moved
+    else:
+        fresh = moved.join(labels.select("k"), "k", "left_anti")
+        labels = materialize(relabelled(labels, moved).select("k", "c").unionByName(fresh.select("k", "c")), "labels")
+    return labels, materialize(open_part(relabelled(rows, moved).select("band", "k", "c")), "open-bands")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 48, rows: int = 5) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id, kept.
 
@@ -261,23 +313,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = full.join(same, ["d1", "d2"]).where("k = node").dropDuplicates(["d1", "d2"]).select("k", "n", "regs")
     nodes = materialize(nodes, "nodes")
     buckets = materialize(banded(nodes, bands, rows), "bands")
-    stars = materialize(buckets.groupBy("band").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "m"), "stars")
-    shared = materialize(buckets.join(stars, "band").select("band", "k", "m"), "shared-bands")
-    # First round: each node and the least node of most of its bands.
-    star = shared.where("k <> m").groupBy("k", "m").agg(F.count(F.lit(1)).alias("times"))
-    first = materialize(star.groupBy(F.col("k").alias("a")).agg(F.max_by("m", F.struct("times", -F.col("m"))).alias("b")), "first-pairs")
+    several = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"), "several")
+    shared = materialize(buckets.join(several, "band", "left_semi"), "shared-bands")
     sets = materialize(shingle_sets(_only(docs, key, shared.select("k").distinct()), key, text, size).dropDuplicates(["k"]), "sets")
-    links = materialize(confirmed(first, sets, percent), "links")
-    labels = components(links)
-    # Second round: in bands that still hold several components, all pairs across them.
-    named = shared.select("band", "k").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    named = materialize(named, "named-bands")
-    mixed = materialize(named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band"), "mixed-bands")
-    open_bands = materialize(named.join(mixed, "band").select("band", "k", "c"), "open-bands")
-    seen = first.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    more = materialize(across(open_bands, nodes, seen, percent), "across-pairs")
-    links = materialize(links.unionByName(confirmed(more, sets, percent)), "all-links")
-    labels = components(links)
+    # Most bands are met by chance: nodes without enough shingles in common with any other go first.
+    rows = shared.select("band", "k", F.col("k").alias("c"))
+    rows, labels = materialize(open_part(linkable(rows, sets, percent)), "open-bands"), None
+    # Rounds of stars: cheap, and they join nearly all that belongs together. They end when they find little more.
+    for turn in range(16):
+        pairs = materialize(star_pairs(rows, turn), "star-pairs")
+        links = materialize(confirmed(pairs, sets, percent), "links")
+        tried, found = pairs.count(), links.count()
+        if found:
+            labels, rows = _merged(labels, rows, links)
+        if found < 0.02 * tried or not found:
+            break
+    # What is left: all pairs across components, of nodes that have enough in common with other components.
+    rows = materialize(open_part(linkable(rows, sets, percent)), "open-bands")
+    links = materialize(confirmed(materialize(across(rows, nodes, percent), "across-pairs"), sets, percent), "links")
+    labels, _ = _merged(labels, rows, links)
     whole = thin.select("k", "n", "d1", "d2").join(same, ["d1", "d2"], "left").join(labels.select(F.col("k").alias("node"), "c"), "node", "left")
     own = F.coalesce(F.col("c"), F.col("node"), F.col("k"))
     return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("k") == own, F.lit(True)).alias("kept"))
