@@ -10,8 +10,8 @@ at each boundary one last piece, namely the one that merging wouldn't join diffe
 transition scores 0 if the two pieces are what merging makes of their characters, and minus infinity if not. Either way
 ids equal the library's. Characters outside the vocabulary become byte pieces.
 
-No piece has a space mark after another character, so paths always converge at the start of a word; words that
-have been seen are remembered with their ids.
+Where no piece of the vocabulary spans a boundary, such as the start of a word or between a letter and a sign, paths always
+converge; runs between such boundaries that have been seen are remembered with their ids.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import functools
 import heapq
 import itertools
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql.types import StructType
 from tideline.llm.common import rows_in
 
 SPACE = "▁"
+LETTER = r"[^\W\d_]"
 UNIGRAM = 1
 
 
@@ -57,19 +59,29 @@ class Vocabulary:
         self.unknown = next(i for i, p in enumerate(pieces) if p.type == 2)
         of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [of_byte.get(i, b"" if p.type in (2, 3, 5) else p.piece.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)]
+        #: Every beginning of a piece, with the piece's id where it is one and -1 where it isn't.
+        self.tree = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # Boundaries that no piece spans, so that all paths meet there: around a line feed that is in no piece, and
+        # between a letter and a sign that follows a letter in no piece.
+        after_letter = {y for p in self.ids for x, y in zip(p, p[1:], strict=False) if re.match(LETTER, x)}
+        self.signs = "".join(c for c in string.punctuation if c not in after_letter)
+        self.line_feed = not any("\n" in p for p in self.ids)
 
 
 class Encoder:
-    CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    """Ids of texts; runs between boundaries that no piece spans are encoded once while they are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remember: int = 1_000_000) -> None:
         self.v, self.remember = vocabulary, remember
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.widest = 0  # most boundaries held at once
+        feed = "\n" if vocabulary.line_feed else ""
+        ends = re.escape(SPACE + feed + vocabulary.signs)
+        self.chunk = re.compile(f"{SPACE}*{LETTER}+(?=[{ends}]|$)|{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + ("|\n+" if feed else ""))
 
     def merged(self, text: str) -> list[str]:
         """What BPE merging makes of a few characters: the best-scored merge first, the leftmost of equals."""
@@ -97,75 +109,87 @@ class Encoder:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
-    def joins(self, a: int, b: int) -> bool:
-        """Whether pieces a and b stay as they are side by side (a < 0: an unknown character, or a start)."""
-        if a < 0:
-            b_text = self.v.text[b]
-            key = (-1, b)
-            want = [b_text]
-        else:
-            key, want = (a, b), [self.v.text[a], self.v.text[b]]
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged("".join(want)) == want
+    def _joins(self, key: int, a: int, b: int) -> bool:
+        """Whether pieces a and b stay as they are side by side (a < 0: after an unknown character or at a start); remembered under key."""
+        want = [self.v.text[b]] if a < 0 else [self.v.text[a], self.v.text[b]]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        got = self.pairs[key] = self.merged("".join(want)) == want
         return got
 
     def stream(self, text: str) -> list[int]:
-        """Ids of a run of characters, space marks included. A held boundary is (where its last piece starts, that piece, score)."""
-        v, out, base = self.v, [], 0
-        held: list[tuple[int, int, float]] = [(0, -1, 0.0)]  # boundaries base, base + 1, ...
-        for stop in range(1, len(text) + 1):
-            best = None
-            for start in range(max(stop - v.longest, base), stop):
-                piece = v.ids.get(text[start:stop], -1)
-                if piece < 0 and stop - start > 1:
-                    continue
-                _, last, score = held[start - base]
-                if v.unigram:
-                    score += v.score[piece] if piece >= 0 else v.worst
-                    if best is None or score > best[2]:
-                        best = (start, piece, score)
-                elif piece < 0 or self.joins(last, piece):
-                    best = (start, piece, 0.0)
+        """Ids of a run of characters, space marks included.
+
+        Boundaries from `base` on are held: where the last piece starts (-1: not reached yet), that piece, the score. When a
+        start is taken up its own boundary is final, as all pieces from before have been tried.
+        """
+        v, pairs, tree, out, base, n = self.v, self.pairs, self.v.tree, [], 0, len(text)
+        unigram, scores, longest, get = v.unigram, v.score, v.longest, tree.get
+        size = min(n, 3 * longest) + 1
+        begin, last, score = [-1] * size, [-1] * size, [0.0] * size
+        begin[0] = 0
+        for start in range(n):
+            if min(start + longest, n) - base >= size:
+                begin, last, score, size = begin + [-1] * longest, last + [-1] * longest, score + [0.0] * longest, size + longest
+            a, so_far, at = last[start - base], score[start - base], start - base
+            for stop in range(start + 1, n + 1):
+                piece = get(text[start:stop])
+                if piece is None:
                     break
-            if best is None:  # BPE always leaves a last piece; a vocabulary for which it doesn't is caught here
-                best = (stop - 1, v.ids.get(text[stop - 1], -1), held[stop - 1 - base][2])
-            held.append(best)
-            if len(held) > 2 * v.longest:
-                base = self._commit(text, held, base, stop, out)
-            self.widest = max(self.widest, len(held))
-        self._emit(text, held, base, len(text), out)
+                at += 1
+                if piece < 0:
+                    continue
+                if unigram:
+                    total = so_far + scores[piece]
+                    if begin[at] < 0 or total > score[at]:
+                        begin[at], last[at], score[at] = start, piece, total
+                elif begin[at] < 0:
+                    key = a << 20 | piece
+                    ok = pairs.get(key)
+                    if ok or ok is None and self._joins(key, a, piece):
+                        begin[at], last[at] = start, piece
+            at = start + 1 - base
+            if begin[at] < 0 or unigram:
+                single = v.ids.get(text[start], -1)
+                if begin[at] < 0 and not unigram:  # an unknown character; or a vocabulary in which merging leaves none of the pieces tried
+                    begin[at], last[at] = start, single
+                elif single < 0 and (begin[at] < 0 or so_far + v.worst > score[at]):
+                    begin[at], last[at], score[at] = start, -1, so_far + v.worst
+            if at > 2 * longest:
+                self.widest = max(self.widest, at)
+                fresh = self._commit(text, begin, last, base, start + 1, out) - base
+                if fresh:
+                    begin, last, score, base = begin[fresh:] + [-1] * fresh, last[fresh:] + [-1] * fresh, score[fresh:] + [0.0] * fresh, base + fresh
+        self._emit(text, begin, last, base, n, out)
         return out
 
-    def _path(self, held, base: int, stop: int, down_to: int) -> list[int]:
+    @staticmethod
+    def _path(begin: list[int], base: int, stop: int) -> list[int]:
         way = []
-        while stop > down_to:
+        while stop > base:
             way.append(stop)
-            stop = held[stop - base][0]
+            stop = begin[stop - base]
         return way
 
-    def _commit(self, text: str, held, base: int, stop: int, out: list[int]) -> int:
+    def _commit(self, text: str, begin: list[int], last: list[int], base: int, stop: int, out: list[int]) -> int:
         """Commits up to the last boundary that the paths of all live boundaries share; returns the new base."""
-        common = None
+        common: set[int] | None = None
         for live in range(max(stop - self.v.longest + 1, base), stop + 1):
-            way = set(self._path(held, base, live, base))
+            way = set(self._path(begin, base, live))
             common = way if common is None else common & way
             if not common:
                 return base
         shared = max(common)
-        self._emit(text, held, base, shared, out)
-        del held[: shared - base]
+        self._emit(text, begin, last, base, shared, out)
         return shared
 
-    def _emit(self, text: str, held, base: int, stop: int, out: list[int]) -> None:
-        for at in reversed(self._path(held, base, stop, base)):
-            start, piece, _ = held[at - base]
+    def _emit(self, text: str, begin: list[int], last: list[int], base: int, stop: int, out: list[int]) -> None:
+        for at in reversed(self._path(begin, base, stop)):
+            piece = last[at - base]
             if piece >= 0:
                 out.append(piece)
             elif self.v.bytes:
-                out.extend(self.v.bytes[b] for b in text[start:at].encode("utf-8", "surrogatepass"))
+                out.extend(self.v.bytes[b] for b in text[begin[at - base] : at].encode("utf-8", "surrogatepass"))
             else:
                 out.append(self.v.unknown)
 
@@ -178,7 +202,7 @@ class Encoder:
             return np.array(self.stream(marked), "<i4").tobytes()
         if len(self.words) > self.remember:  # what came first is what comes often
             self.words = dict(itertools.islice(self.words.items(), self.remember // 2))
-        chunks, seen = self.CHUNK.findall(marked), self.words
+        chunks, seen = self.chunk.findall(marked), self.words
         for chunk in set(chunks).difference(seen):
             seen[chunk] = np.array(self.stream(chunk), "<i4").tobytes()
         return b"".join(map(seen.__getitem__, chunks))
