@@ -10,6 +10,8 @@ A file is a Parquet table, so that every store Spark writes to will do; each row
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import struct
@@ -35,16 +37,27 @@ def pack(ids: np.ndarray) -> np.ndarray:
     ids, n = np.asarray(ids, dtype=np.uint64), len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    step, selector, places = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    # Bits of each id (60 and more as an escape's 64), then the most bits in the next 2, 3, ... ids, from shorter spans.
+    # Behind the end come zeros, which fit anywhere and which the count in the header cuts off.
+    bits = np.concatenate([np.frexp(ids.astype(np.float64))[1].astype(np.uint8), np.zeros(max(COUNT), np.uint8)])
+    widest, step, selector = {1: bits}, np.ones(n, np.uint8), np.zeros(n, np.uint8)
     for s in range(len(WIDTH) - 1, 0, -1):
-        if s < len(WIDTH) - 1 and not (ids < np.uint64(1 << WIDTH[s])).any():
+        c = COUNT[s]
+        if c not in widest:
+            half = max(k for k in widest if k <= c)
+            rest = max(k for k in widest if k <= c - half) if c > half else half
+            wide = np.maximum(widest[half][: len(bits) - half], widest[rest][half : len(bits)][: len(bits) - half])
+            covered = half + rest
+            while covered < c:
+                more = max(k for k in widest if k <= c - covered)
+                wide = np.maximum(wide[: len(bits) - covered], widest[more][covered : len(bits)][: len(bits) - covered])
+                covered += more
+            widest[c] = np.concatenate([wide, np.zeros(len(bits) - len(wide), np.uint8)])
+        fits = widest[c][:n] <= WIDTH[s]
+        if c > 1 and not fits.any():
             break
-        stop = np.where(ids >> np.uint64(WIDTH[s]) > 0, places, n)  # the next id that is too wide
-        room = np.minimum.accumulate(stop[::-1])[::-1] - places
-        # A run that reaches the end fills up with zeros, which the count in the header cuts off.
-        fits = (room >= COUNT[s]) | ((room > 0) & (places + room == n))
-        step[fits], selector[fits] = COUNT[s], s
-    step[selector == 0] = 1
+        np.copyto(step, c, where=fits)
+        np.copyto(selector, s, where=fits)
     at, hops, starts = 0, step.tolist(), []
     while at < n:
         starts.append(at)
@@ -104,6 +117,12 @@ def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if gone else int(k) for k, gone in zip(keys, null, strict=True)], np.split(ids, ends[:-1])
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordBpe:
+    """One tokenizer, with what it remembers, for all tasks of a Python worker."""
+    return WordBpe(path)
+
+
 class WordBpe:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once while it is remembered.
 
@@ -116,10 +135,10 @@ class WordBpe:
     LETTERS = "a-zªµºß-öø-ÿ"
     DIGITS = "0-9²³¹¼½¾"
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\x09-\x0d\x20\x85\xa0{LETTERS}{DIGITS}]+")
-    ODD = re.compile(r"[^\x09-\x0d\x20-\x7e\x85\xa0-\xff]|<\|")
+    PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), 0x85, *range(0xA0, 0x100)])
     SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -141,14 +160,22 @@ class WordBpe:
         else:
             self.pieces.update((x, self._alone(x)) for x in fresh)
 
+    def _plain(self, text: str | None) -> list[str] | None:
+        """The pieces of a text within Latin-1, without control characters and special tokens; None for others."""
+        try:
+            odd = not text or text.encode("latin-1").translate(None, self.PLAIN) or "<|" in text
+        except UnicodeEncodeError:
+            return None
+        return None if odd else self.PIECE.findall(text.lower())
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > self.remember:
-            self.pieces.clear()
-        if len(self.parts) > self.remember:
+        if len(self.pieces) > self.remember:  # what came first is what comes often
+            self.pieces = dict(itertools.islice(self.pieces.items(), self.remember // 2))
+        if len(self.parts) > self.remember // 4:
             self.parts.clear()
-        plain = [self.PIECE.findall(t.lower()) if t and not self.ODD.search(t) else None for t in texts]
-        fresh = list(dict.fromkeys(p for found in plain if found for p in found if p not in self.pieces))
+        plain = [self._plain(t) for t in texts]
+        fresh = list(set().union(*filter(None, plain)).difference(self.pieces))
         for at in range(0, len(fresh), 4096):
             self._learn(fresh[at : at + 4096])
         out = []
@@ -170,41 +197,42 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
     """Encodes every text, appends end_id, and writes blocks to `path` in ascending order of key (nulls first).
 
     Null and empty texts have the end id alone; an empty table writes no block; rows that share a key follow each other
-    in any order. Rows are dealt by ranges of the key: `part` and `block` number them in that order.
+    in any order. Rows are dealt by ranges of the key: `part` and `block` number them in
+    that order, and `before` counts the ids before a block in its part.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end, part, number = WordBpe(vocabulary), struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
-        keys, ids, held = [], [], 0
+        bpe, end, part, number = tokenizer(vocabulary), struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
+        keys, ids, held, before = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
             made = block_bytes(keys, ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([made], pa.binary())], names=["part", "block", "n_ids", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([made], pa.binary())], names=["part", "block", "before", "n_ids", "bytes"])
 
         for whole in batches:
             for batch in rows_in(iter([whole]), 4 << 20):
-                for k, got in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
+                for k, got in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist()), strict=True):
                     one = np.frombuffer(got + end, "<u4")
                     keys.append(k)
                     ids.append(one)
                     held += len(one)
                     if held >= block_ids:
                         yield block()
-                        keys, ids, held, number = [], [], 0, number + 1
+                        keys, ids, held, number, before = [], [], 0, number + 1, before + held
         if keys:
             yield block()
 
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k")
-    ordered.mapInArrow(run, "part int, block long, n_ids long, bytes binary").write.parquet(path)
+    ordered.mapInArrow(run, "part int, block long, before long, n_ids long, bytes binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Per document of a written file: key, start (ids of all documents before it), n_tokens, ids_crc32 and the ids."""
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each file part
-    before, total = {}, 0
+    part_begins, total = {}, 0
     for row in sizes:
-        before[row["part"]], total = total, total + row["n"]
+        part_begins[row["part"]], total = total, total + row["n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,18 +240,12 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
                 keys, ids = read_block(block)
                 n = np.array([len(x) for x in ids], np.int64)
                 small = [x.astype("<u4") for x in ids]
-                columns = [pa.array(keys, pa.int64()), pa.array(before[part] + start + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in small], pa.int64())]
+                columns = [pa.array(keys, pa.int64()), pa.array(part_begins[part] + start + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in small], pa.int64())]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int64) for x in small], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    # Where a block starts in its part: a running count over the blocks of one part, which is one task's output.
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("part", "block", "n_ids").withColumn("at", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("n_ids")
-    joined = blocks.join(starts, ["part", "block"]).select("part", "at", "bytes")
-    return joined.mapInArrow(run, "k long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids).withColumnRenamed("k", key)
+    return blocks.select("part", "before", "bytes").mapInArrow(run, "k long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids).withColumnRenamed("k", key)
 
 
 def new_path(spark: SparkSession) -> str:
