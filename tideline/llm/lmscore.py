@@ -60,6 +60,11 @@ class Words:
         return np.array(out, dtype=np.uint64).view(np.int64)
 
 
+def level_of(count: str) -> Column:
+    """A count on a log scale, 16 levels for each doubling."""
+    return F.floor(F.log2(count) * 16).cast("int")
+
+
 def class_of(hashed: np.ndarray, classes: int) -> np.ndarray:
     """A word's class is the low byte of its hash: equal for words that end alike."""
     return (hashed.view(np.uint64) & np.uint64(255)).astype(np.int64) % classes
@@ -81,6 +86,7 @@ class Tree:
     class_v: np.ndarray
     root: np.ndarray  # log10 of each symbol
     ends: int = 0  # training texts
+    floor: int = 0  # level of the least frequent head words
     states: list[np.ndarray] = field(default_factory=list)  # by length - 1: sorted context keys
     entries: list[np.ndarray] = field(default_factory=list)  # sorted state * symbols + next
     logs: list[np.ndarray] = field(default_factory=list)  # log10 probability of each entry
@@ -228,16 +234,25 @@ def count_level(texts: DataFrame, tree: Tree, candidates: np.ndarray, length: in
 def fit(texts: DataFrame, depth: int = 3, singles: int = 767, classes: int = 256, head: int = 1 << 18, least: float = 2.0**-11, pull: float = 64.0) -> tuple[Tree, DataFrame]:
     """Learns from all rows of texts (one column). Returns the tree and the vocabulary table (h, c).
 
-    What reaches the driver is bounded by parameters: `head` vocabulary rows, and for each length at most
+    What reaches the driver is bounded by parameters: at most `head` vocabulary rows, and for each length at most
     1 / least contexts times the symbols. A training set without rows gives N = 0, V = 0, and even chances.
     """
     vocabulary = materialize(count_words(texts, classes), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    top = vocabulary.where("h <> 0").orderBy(F.desc("c"), "h").limit(head).toArrow()
+    # The head: words above a count, taken from a histogram of counts on a log scale, as many as fit in `head`.
+    sizes = vocabulary.where("h <> 0").groupBy(level_of("c").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    held, floor = 0, 1 << 20
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        if held + row["n"] > head:
+            break
+        held, floor = held + row["n"], row["level"]
+    top = vocabulary.where((F.col("h") != 0) & (level_of("c") >= floor)).toArrow()
     h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     symbol = np.where(np.arange(len(h)) < singles, np.arange(len(h)) + 1, 0)
     order = np.argsort(h)
-    tree = Tree(depth, classes, singles, int(n), int(v), h[order], c[order], symbol[order], np.zeros(classes, np.int64), np.zeros(classes, np.int64), np.zeros(0))
+    tree = Tree(depth, classes, singles, int(n), int(v), h[order], c[order], symbol[order], np.zeros(classes, np.int64), np.zeros(classes, np.int64), np.zeros(0), floor=floor)
     by_class = vocabulary.where("h <> 0").groupBy(F.pmod(F.col("h").bitwiseAND(255), F.lit(classes)).alias("k")).agg(F.sum("c").alias("n"), F.count("c").alias("v")).collect()
     for row in by_class:
         tree.class_n[row["k"]], tree.class_v[row["k"]] = row["n"], row["v"]
@@ -358,8 +373,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
     mixed = materialize(docs.select(F.col(text).alias("t"), F.col(key).alias("k")).mapInArrow(run, fields), "lm-scores")
     rare = mixed.where("h IS NOT NULL").select("task", "row", "h", "times")
-    least = int(tree.head_count.min()) if len(tree.head_count) else 0
-    tail = vocabulary.where((F.col("h") != 0) & (F.col("c") <= least)) if len(tree.head_count) else vocabulary.where("false")
+    tail = vocabulary.where((F.col("h") != 0) & (level_of("c") < tree.floor))
     met = rare.join(tail, "h", "left").groupBy("task", "row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("logs"),
