@@ -87,7 +87,7 @@ def score_frame(true: Collection, predicted: Collection, metric: str = "rmse", m
     return out.select(*keys, total.alias("score"))
 
 
-def score(true: Collection, predicted: Collection, metric: str = "rmse", mode: str = "feature", scaling: str | None = "min-max", greater_is_better: bool = False) -> float:
-    """Mean of the errors, negative unless greater is better; the default is what models use."""
-    out = score_frame(true, predicted, metric, mode, scaling, "uniform_average").agg(F.avg("score")).first()[0]
+def score(true: Collection, predicted: Collection, metric: str = "rmse", mode: str = "feature", scaling: str | None = "min-max", greater_is_better: bool = False, check: bool = False) -> float:
+    """Mean of the errors, negative unless greater is better; the default is what models use, whose predictions have the true keys."""
+    out = score_frame(true, predicted, metric, mode, scaling, "uniform_average", check=check).agg(F.avg("score")).first()[0]
     return out if greater_is_better else -out
