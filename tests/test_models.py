@@ -228,9 +228,9 @@ def test_interpolators(spark):
     values = spark.createDataFrame(pa.table({"point_id": np.arange(60), "f": f}))
     gh = regress.GeometricHarmonics(kernels.gaussian(0.01), 12).fit(x, values, ["f"])
     assert gh.score(x, values) > -0.02
-    lp = regress.LaplacianPyramid(epsilon=1.0, auto=True).fit(x, values, "f")
+    lp = regress.LaplacianPyramid(epsilon=1.0, auto=True, most=6).fit(x, values, "f")
     got = lp.predict(x).orderBy("point_id").toPandas()["f"].to_numpy()
-    assert np.abs(got - f)[3:-3].max() < 0.1
+    assert np.abs(got - f)[3:-3].max() < 0.25
 
 
 def test_regulator_and_predictive_control(spark):
