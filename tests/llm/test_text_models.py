@@ -121,3 +121,32 @@ def test_lm_odd_rows(spark, odd_docs, no_docs):
     assert lmscore.score(no_docs, F.lit(True)).count() == 0
     untrained = lmscore.score(odd_docs, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and all(r["n_known"] == 0 for r in untrained)
+
+
+def test_lm_tree_grows_with_the_corpus(spark):
+    """A passage repeated 40 times is learnt however many other tokens there are, and tables joined give what a held head gives."""
+    draw = np.random.default_rng(5)
+    passage = "amber birch cedar dahlia elm fir"
+    noise = [" ".join(f"w{x}" for x in draw.zipf(1.3, 400) % 50_000) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(noise)] + [(1000 + i, passage) for i in range(40)] + [(2000, "fir elm dahlia cedar birch amber")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.col("doc_id") < 2000
+    held = {r["doc_id"]: r["score"] for r in lmscore.score(docs, learn).collect()}
+    joined = {r["doc_id"]: r["score"] for r in lmscore.score(docs, learn, head=50, term_head=50).collect()}
+    assert held[1000] > held[2000] + 8
+    assert all(math.isclose(held[k], joined[k], rel_tol=1e-9) for k in held)
+
+
+def test_lm_score_is_the_trees_sum_over_places(spark, some_docs):
+    tree, _ = lmscore.fit(some_docs.select(F.col("text").alias("t")))
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(some_docs, F.lit(True), term_head=100).collect()}
+    number = {c: i for i, c in enumerate(tree.names[0].tolist())}
+    count = {r["h"]: r["c"] for r in tree.marked.collect()}
+    for r in some_docs.limit(20).collect():
+        hashed = np.append(lmscore.Words(tree.classes).hashes(words(r["text"])), 0)
+        code = lmscore.codes(hashed, tree.own, tree.classes)
+        want = tree.log10(np.array([number[c] for c in code.tolist()]), np.zeros(len(code), np.int64)).sum()
+        for h, c in zip(hashed.tolist(), code.tolist(), strict=True):
+            if 0 < c <= tree.classes:
+                want += math.log10((count[h] + 0.5) / (tree.class_n[c - 1] + 0.5 * (tree.class_v[c - 1] + 1)))
+        assert math.isclose(got[r["doc_id"]], want, rel_tol=1e-9)

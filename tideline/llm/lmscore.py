@@ -1,22 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Vocabulary. Every word of the training texts is counted (all texts, all words). The most frequent words are symbols of
-their own; other words fall into classes by their last bytes, and a word's probability within its class is smoothed as a
-unigram is, with room for one unknown word.
-
-Tree. Contexts are suffixes of up to `depth` symbols. A context is a candidate if it makes up a share `least` of the
-training tokens or more, so there are at most 1 / least of each length, at any scale; each level's counts cover
-all training texts. A candidate stays if its next-symbol distribution diverges from that of its suffix: the evidence
-(count times Kullback-Leibler divergence) must outweigh what describing it costs. Distributions are smoothed towards
-the suffix's. A text is scored symbol by symbol from the longest suffix that is a state of the tree.
-
-Words outside the broadcast head of the vocabulary are looked up by a join on their hash.
+Vocabulary. Every word of the training texts is counted (all texts, all words). A word that occurs `few` times or more is a
+symbol of its own, however many such words there are; other words fall into classes by their last bytes, and a word's
+probability within its class is smoothed as a unigram is, with room for one unknown word.
+
+Tree. Contexts are suffixes of up to `depth` symbols. A context is a candidate if it occurs `few` times or more, at any
+scale; each level's counts cover all training texts. A candidate stays if its next-symbol distribution diverges from that
+of its suffix: the evidence (count times Kullback-Leibler divergence) must outweigh what describing it costs.
+Distributions are smoothed towards the suffix's. A text is scored symbol by symbol from the longest suffix that is a state.
+
+Scale. A state changes log P by a constant for the symbols it has not seen, and by one more number for each that it has. So a
+text's score is a sum over its runs of up to depth + 1 symbols, each with one value, in whatever order. Runs are named by a
+hash, and counts, states and values are distributed tables. Tasks hold a head of words and of values, and bit tables of
+bounded size that say which runs need looking up (a bit set by another run costs a lookup that finds nothing); what is
+outside the heads is looked up by a join.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from tideline.llm.common import few as broadcast_few
 from tideline.llm.common import materialize, rows_in, words
 
 #: The symbol that ends a text, as a word that no text has.
@@ -36,11 +41,10 @@ SEED = 20
 
 @dataclass
 class Words:
-    """Hashes of words, and for scoring their counts and symbols; remembers `most` words."""
+    """Hashes of words; remembers `most` words."""
 
     classes: int
     most: int = 400_000
-    head: dict[int, tuple[int, int]] = field(default_factory=dict)  # hash -> count, symbol
     seen: dict[bytes, int] = field(default_factory=dict)
 
     def hashes(self, tokens: list[bytes]) -> np.ndarray:
@@ -70,71 +74,127 @@ def class_of(hashed: np.ndarray, classes: int) -> np.ndarray:
     return (hashed.view(np.uint64) & np.uint64(255)).astype(np.int64) % classes
 
 
+@dataclass
+class Bits:
+    """A set of keys as bits, two for each: has() is true for all of the set and for few others. 32 MB at most."""
+
+    size: int
+    data: np.ndarray
+    keys: int
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Bits:
+        """Of the column `key`."""
+        n = table.count()
+        size = 1 << min(max((32 * n).bit_length(), 16), 28)
+        places = F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(F.lit(size - 1)) for k in (8, 36)))
+        rows = table.select(F.explode(places).alias("b")).groupBy(F.shiftright("b", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+        data = np.zeros((size >> 15, 4096), np.uint8)
+        for k, bits in zip(rows["k"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            data[k] = np.frombuffer(bits, np.uint8)
+        return cls(size, data.reshape(-1), n)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for k in (8, 36):
+            at = (keys.view(np.uint64) >> np.uint64(k) & np.uint64(self.size - 1)).view(np.int64)
+            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def codes(hashed: np.ndarray, own: Bits, classes: int) -> np.ndarray:
+    """Symbols of hashed words: 0 ends a text, a word of its own is its hash, and 1 to `classes` are classes."""
+    return np.where(hashed == 0, 0, np.where(own.has(hashed), hashed, 1 + class_of(hashed, classes)))
+
+
+def _hash_long(x: np.ndarray, seed) -> np.ndarray:
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    h = (seed + p5 + np.uint64(8)) ^ turn(x * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def extended(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Keys of runs with one more symbol at their end: Spark's xxhash64(key, symbol)."""
+    seed = _hash_long(keys.view(np.uint64), np.full(1, 42, np.uint64))
+    return _hash_long(symbols.view(np.uint64), seed).view(np.int64)
+
+
+def runs(symbols: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each place the keys of the 1, 2, .. `most` symbols that end there (meaningless where there are fewer)."""
+    out = [symbols]
+    for _ in range(1, most):
+        key = np.zeros_like(symbols)
+        key[1:] = extended(out[-1][:-1], symbols[1:])
+        out.append(key)
+    return out
+
+
+def found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in a sorted table, and whether they are."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 @dataclass
 class Tree:
-    """The fitted model. Symbols: 0 ends a text, 1 to singles are words, the rest classes."""
+    """The fitted model. `terms` (key, length, c, entry, back) has the runs of symbols that change log10 P: by `entry` that of
+    their last symbol, in another row by `back` that of the symbol after them (null unless the run is a state)."""
 
     depth: int
     classes: int
-    singles: int
     n: int  # training tokens
     v: int  # distinct ones
-    head_hash: np.ndarray  # sorted; the most frequent words
-    head_count: np.ndarray
-    symbol_of: np.ndarray  # of each head word
+    ends: int  # training texts
+    own: Bits  # words that are symbols
+    singles: int  # how many
     class_n: np.ndarray
     class_v: np.ndarray
-    root: np.ndarray  # log10 of each symbol
-    ends: int = 0  # training texts
-    floor: int = 0  # level of the least frequent head words
-    states: list[np.ndarray] = field(default_factory=list)  # by length - 1: sorted context keys
-    entries: list[np.ndarray] = field(default_factory=list)  # sorted state * symbols + next
-    logs: list[np.ndarray] = field(default_factory=list)  # log10 probability of each entry
-    backs: list[np.ndarray] = field(default_factory=list)  # of each state: log10 of the factor for symbols without an entry
+    marked: DataFrame  # vocabulary: h, c, own
+    terms: DataFrame | None = None
 
     @property
     def symbols(self) -> int:
         return 1 + self.singles + self.classes
 
-    def encode(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of hashed words, and their counts (-1: not in the head)."""
-        at = np.minimum(np.searchsorted(self.head_hash, hashed), max(len(self.head_hash) - 1, 0))
-        if not len(self.head_hash):
-            return 1 + self.singles + class_of(hashed, self.classes), np.full(len(hashed), -1)
-        hit = self.head_hash[at] == hashed
-        symbol = np.where(hit & (self.symbol_of[at] > 0), self.symbol_of[at], 1 + self.singles + class_of(hashed, self.classes))
-        return symbol, np.where(hit, self.head_count[at], -1)
-
-    def find(self, symbols: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-        """For each place the state of the `length` symbols before it, or -1. begins: place of each one's text start."""
-        if length > len(self.states) or not len(self.states[length - 1]):
-            return np.full(len(symbols), -1)
-        key, states = context_keys(symbols, length, self.symbols), self.states[length - 1]
-        at = np.minimum(np.searchsorted(states, key), len(states) - 1)
-        return np.where((states[at] == key) & (np.arange(len(symbols)) - begins >= length), at, -1)
+    @property
+    def unit(self) -> float:
+        return math.log10(self.n + 0.5 * self.symbols)
 
-    def log10(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest suffix that is a state), for each place of texts that follow one another."""
-        out = self.root[symbols]
-        for length in range(1, len(self.states) + 1):
-            state = self.find(symbols, begins, length)
-            on = np.flatnonzero(state >= 0)
-            if not len(on):
-                continue
-            # A state's suffix is a state too, or stands for its own longest one: `out` has the suffix's answer so far.
-            key = state[on] * self.symbols + symbols[on]
-            at = np.minimum(np.searchsorted(self.entries[length - 1], key), len(self.entries[length - 1]) - 1)
-            hit = self.entries[length - 1][at] == key
-            out[on] = np.where(hit, self.logs[length - 1][at], out[on] + self.backs[length - 1][state[on]])
-        return out
+    @cached_property
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and log10 probabilities of all symbols, on the driver: for small models. So are the three that follow."""
+        got = self.marked.where("own").select("h", "c").toArrow()
+        of = np.concatenate([[self.ends], got["c"].to_numpy(), self.class_n])
+        return np.concatenate([[0], got["h"].to_numpy(), np.arange(1, 1 + self.classes)]).astype(np.int64), np.log10(of + 0.5) - self.unit
 
+    @property
+    def root(self) -> np.ndarray:
+        return self.names[1]
+
+    @cached_property
+    def states(self) -> list[np.ndarray]:
+        """Keys of the states, by length - 1."""
+        return [np.sort(self.terms.where((F.col("length") == k) & F.col("back").isNotNull()).select("key").toArrow()["key"].to_numpy()) for k in range(1, self.depth + 1)]
 
-def context_keys(symbols: np.ndarray, length: int, base: int) -> np.ndarray:
-    """A number for the `length` symbols before each place (meaningless where there are fewer)."""
-    key = np.zeros(len(symbols), np.int64)
-    for back in range(length, 0, -1):
-        key[back:] = key[back:] * base + symbols[:-back] if len(symbols) > back else key[back:]
-    return key
+    def log10(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | longest suffix that is a state), for each place of texts that follow one another. Symbols are numbers
+        (places in `names`); begins: place of each one's text start."""
+        got = self.terms.fillna(0.0).toArrow()
+        table, entry, back = summed(*(got[c].to_numpy() for c in ("key", "entry", "back")))
+        out, place = self.root[symbols].copy(), np.arange(len(symbols)) - begins
+        for length, key in enumerate(runs(self.names[0][symbols], self.depth + 1), 1):
+            at, hit = found(key, table)
+            hit &= place >= length - 1
+            out[hit] += entry[at[hit]]
+            on = np.flatnonzero(hit[:-1] & (place[1:] > 0))
+            out[on + 1] += back[at[on]]
+        return out
 
 
 def _texts(batches, memory: Words, span: int = 1 << 16):
@@ -193,194 +253,209 @@ def count_words(texts: DataFrame, classes: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_level(texts: DataFrame, tree: Tree, candidates: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (candidate context, next symbol) over all texts; keys are candidate number * symbols + symbol."""
+def count_level(texts: DataFrame, own: Bits, classes: int, candidates: Bits | None, length: int) -> DataFrame:
+    """ctx, sym, c: how often a symbol follows a context of `length` symbols, over all texts; from two on also suf, the key of the
+    last `length` symbols of both. Contexts are those of the candidates' bits, or all."""
+    names = ["ctx", "sym"] if length == 1 else ["ctx", "sym", "suf"]
 
     def run(batches):
-        memory = Words(tree.classes)
-        keys, counts, size = [], [], 0
+        memory = Words(classes)
+        for _, parts in _texts(batches, memory, 1 << 21):
+            hashed, begins, _ = _laid(parts)
+            symbols = codes(hashed, own, classes)
+            key = runs(symbols, length)[-1]
+            at = np.flatnonzero(np.arange(len(symbols)) - begins >= length)
+            if candidates is not None:
+                at = at[candidates.has(key[at - 1])]
+            columns = [key[at - 1], symbols[at], key[at]]
+            _, first, times = np.unique(extended(columns[0], columns[1]), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c, _ in zip(columns, names, strict=False)), pa.array(times)], names=[*names, "c"])
 
-        def batch():
-            k, where = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    counted = texts.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "c"]))
+    if length > 1:
+        counted = counted.repartition("suf")  # tasks have added up; by suf for the join with the level above as well
+    return counted.groupBy(*names).agg(F.sum("c").alias("c"))
 
-        for _, parts in _texts(batches, memory, 1 << 20):
-            hashed, begins, _ = _laid(parts)
-            symbols, _ = tree.encode(hashed)
-            symbols[hashed == 0] = 0
-            key = context_keys(symbols, length, tree.symbols)
-            at = np.minimum(np.searchsorted(candidates, key), len(candidates) - 1)
-            ok = (candidates[at] == key) & (np.arange(len(symbols)) - begins >= length)
-            k, c = np.unique(at[ok] * tree.symbols + symbols[ok], return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            size += len(k)
-            if size > 4_000_000:
-                k, c = batch()
-                keys, counts, size = [k], [c], len(k)
-                if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
-                    keys, counts, size = [], [], 0
-        if keys:
-            k, c = batch()
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
-
-    got = texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    k, c = got["k"].to_numpy(), got["c"].to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
-def fit(texts: DataFrame, depth: int = 3, singles: int = 767, classes: int = 256, head: int = 1 << 18, least: float = 2.0**-11, pull: float = 64.0) -> tuple[Tree, DataFrame]:
-    """Learns from all rows of texts (one column). Returns the tree and the vocabulary table (h, c).
 
-    What reaches the driver is bounded by parameters: at most `head` vocabulary rows, and for each length at most
-    1 / least contexts times the symbols. A training set without rows gives N = 0, V = 0, and even chances.
-    """
-    vocabulary = materialize(count_words(texts, classes), "vocabulary")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    # The head: words above a count, taken from a histogram of counts on a log scale, as many as fit in `head`.
-    sizes = vocabulary.where("h <> 0").groupBy(level_of("c").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+def entries_of(made: DataFrame, length: int) -> DataFrame:
+    """The terms of symbols that a state has seen; length: of state and symbol."""
+    entry = F.col("lp") - F.col("p") - F.col("back")
+    return materialize(made.where("back IS NOT NULL").select("key", F.lit(length).alias("length"), "c", entry.alias("entry"), F.lit(None).cast("double").alias("back")), "lm-entries")
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, and the sums of values with each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return [keys, *(np.bincount(at, v, len(keys)) for v in values)]
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes the scratch files of a materialized table that is not read again."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/lm-level-" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def head_floor(table: DataFrame, most: int) -> int:
+    """The level of counts c from which on at most so many rows are left, by a histogram."""
+    sizes = table.groupBy(level_of("c").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
     held, floor = 0, 1 << 20
     for row in sorted(sizes, key=lambda r: -r["level"]):
-        if held + row["n"] > head:
+        if held + row["n"] > most:
             break
         held, floor = held + row["n"], row["level"]
-    top = vocabulary.where((F.col("h") != 0) & (level_of("c") >= floor)).toArrow()
-    h, c = top["h"].to_numpy(), top["c"].to_numpy()
-    order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
-    symbol = np.where(np.arange(len(h)) < singles, np.arange(len(h)) + 1, 0)
-    order = np.argsort(h)
-    tree = Tree(depth, classes, singles, int(n), int(v), h[order], c[order], symbol[order], np.zeros(classes, np.int64), np.zeros(classes, np.int64), np.zeros(0), floor=floor)
-    by_class = vocabulary.where("h <> 0").groupBy(F.pmod(F.col("h").bitwiseAND(255), F.lit(classes)).alias("k")).agg(F.sum("c").alias("n"), F.count("c").alias("v")).collect()
-    for row in by_class:
-        tree.class_n[row["k"]], tree.class_v[row["k"]] = row["n"], row["v"]
-    own = class_of(h[:singles], classes)
-    np.subtract.at(tree.class_n, own, c[:singles])
-    np.subtract.at(tree.class_v, own, 1)
+    return floor
+
+
+def fit(texts: DataFrame, depth: int = 3, singles: int | None = None, classes: int = 256, few: int = 32, least: float = 0.0, pull: float = 64.0) -> tuple[Tree, DataFrame]:
+    """Learns from all rows of texts (one column). Returns the tree and the vocabulary table (h, c).
+
+    few: a word or context needs so many occurrences. For small models, singles: only so many words are symbols, and least:
+    contexts need that share of the tokens too. A training set without rows gives N = 0, V = 0, and even chances.
+    """
+    spark = texts.sparkSession
+    vocabulary = materialize(count_words(texts, classes), "vocabulary")
+    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
+    frequent = vocabulary.where((F.col("h") != 0) & (F.col("c") >= few)) if singles is None else vocabulary.where("h <> 0").orderBy(F.desc("c"), "h").limit(singles)
+    own = Bits.of(frequent.select(F.col("h").alias("key")))
+
+    def mark(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.has(b.column(0).to_numpy()))], names=["h", "c", "own"])
+
+    marked = vocabulary.where("h <> 0").mapInArrow(mark, "h long, c long, own boolean")
+    class_n, class_v, held = np.zeros(classes, np.int64), np.zeros(classes, np.int64), 0
+    for row in marked.groupBy("own", F.when(~F.col("own"), F.pmod(F.col("h").bitwiseAND(255), F.lit(classes))).alias("k")).agg(F.sum("c").alias("n"), F.count("c").alias("v")).collect():
+        if row["own"]:
+            held = row["v"]
+        else:
+            class_n[row["k"]], class_v[row["k"]] = row["n"], row["v"]
     ended = vocabulary.where("h = 0").select("c").first()
-    tree.ends = int(ended["c"]) if ended else 0
-    of = np.concatenate([[tree.ends], np.zeros(singles), tree.class_n])
-    of[1 : 1 + len(c[:singles])] = c[:singles]
-    root = (of + 0.5) / (n + 0.5 * tree.symbols)
-    tree.root = np.log10(root)
+    tree = Tree(depth, classes, int(n), int(v), int(ended["c"]) if ended else 0, own, held, class_n, class_v, marked)
+    least_count = max(least * tree.n, few, 2)
+    ends_and_classes = spark.createDataFrame(pa.table({"sym": np.arange(1 + classes), "c": np.append(tree.ends, class_n)}))
+    root = marked.where("own").select(F.col("h").alias("sym"), "c").unionByName(ends_and_classes)
+    root = broadcast_few(root.select(F.col("sym").alias("suf"), (F.log10(F.col("c") + 0.5) - tree.unit).alias("p")), 1 << 20)
+    candidates, made, above, terms = None, None, None, []
     # Level by level: candidates come from the level above, counts from all texts, the test decides what stays.
-    candidates = np.flatnonzero(of >= max(least * n, 2)).astype(np.int64)
-    candidates = candidates[candidates > 0]
     for length in range(1, depth + 1):
-        if not len(candidates):
-            break
-        k, counts = count_level(texts, tree, candidates, length)
-        state, symbol = k // tree.symbols, k % tree.symbols
-        total = np.bincount(state, weights=counts, minlength=len(candidates))
-        parent_log = _parent_logs(tree, candidates, length, state, symbol)
-        parent = 10.0**parent_log
-        share = counts / total[state]
-        evidence = np.bincount(state, weights=counts * np.log(share / parent), minlength=len(candidates))
-        kinds = np.bincount(state, minlength=len(candidates))
-        stays = evidence > 0.5 * kinds * np.log(np.maximum(total, 2))
-        # The next level's candidates: this level's contexts, one symbol longer into the past, by their own counts.
-        longer = _extended(tree, candidates, k, counts, length, max(least * n, 2))
-        number = np.cumsum(stays) - 1
-        keep = stays[state]
-        smoothed = (counts + pull * parent) / (total[state] + pull)
-        back = pull / (total + pull)
-        tree.states.append(candidates[stays])
-        tree.entries.append(number[state[keep]] * tree.symbols + symbol[keep])
-        tree.logs.append(np.log10(smoothed[keep]).astype(np.float32))
-        tree.backs.append(np.log10(back[stays]))
-        candidates = longer
+        level = count_level(texts, own, classes, candidates, length)
+        if length == 1:
+            above = materialize(level, "lm-level")  # a symbol's own log10 is cheaper joined than kept
+            level = above.withColumn("suf", F.col("sym")).join(root, "suf").select("ctx", F.xxhash64("ctx", "sym").alias("key"), (F.col("sym") == 0).alias("ends"), "c", "p")
+        else:
+            parents = made.select(F.col("key").alias("suf"), F.col("lp").alias("p"))
+            level = materialize(level.join(parents, "suf").select("ctx", F.xxhash64("ctx", "sym").alias("key"), (F.col("sym") == 0).alias("ends"), "c", "p"), "lm-level")
+            terms.append(entries_of(made, length))
+            forget(above)
+            above = level
+        c, total, p = F.col("c"), F.col("total"), F.col("p")
+        sums = level.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(c * (F.ln("c") - p * math.log(10))).alias("e"), F.count(F.lit(1)).alias("kinds"))
+        evidence = F.col("e") - total * F.ln("total")
+        stays = (total >= least_count) & (evidence > 0.5 * F.col("kinds") * F.ln(F.greatest(total, F.lit(2))))
+        states = materialize(sums.where(stays).select("ctx", "total", (F.log10(pull / (total + pull))).alias("back")), "lm-states")
+        terms.append(states.select(F.col("ctx").alias("key"), F.lit(length).alias("length"), F.col("total").alias("c"), F.lit(0.0).alias("entry"), "back"))
+        smoothed = F.log10((c + pull * F.pow(F.lit(10.0), p)) / (total + pull))
+        made = level.join(broadcast_few(states, 1 << 20), "ctx", "left").select("key", "ends", "c", "back", "p", F.coalesce(smoothed, p).alias("lp"))
+        if length < depth:
+            candidates = Bits.of(made.where((c >= least_count) & ~F.col("ends")).select("key"))
+        spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of what is materialized
+    terms.append(entries_of(made, depth + 1))
+    forget(above)
+    tree.terms = reduce(DataFrame.unionByName, terms)
     return tree, vocabulary
 
 
-def _parent_logs(tree: Tree, candidates: np.ndarray, length: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 of each symbol from the longest state among its context's proper suffixes."""
-    base, out = tree.symbols, tree.root[symbol]
-    for shorter in range(1, length):
-        states = tree.states[shorter - 1]
-        if not len(states):
-            continue
-        suffix = candidates[state] % base**shorter
-        at = np.minimum(np.searchsorted(states, suffix), len(states) - 1)
-        on = states[at] == suffix
-        key = at * base + symbol
-        entries = tree.entries[shorter - 1]
-        place = np.minimum(np.searchsorted(entries, key), len(entries) - 1)
-        out = np.where(on, np.where(entries[place] == key, tree.logs[shorter - 1][place], out + tree.backs[shorter - 1][at]), out)
-    return out
-
-
-def _extended(tree: Tree, candidates: np.ndarray, k: np.ndarray, counts: np.ndarray, length: int, most: float) -> np.ndarray:
-    """Contexts one symbol longer that are frequent enough: a context and the symbol after it. None holds a text's end."""
-    frequent = counts >= most
-    state, symbol = k[frequent] // tree.symbols, k[frequent] % tree.symbols
-    return np.sort((candidates[state] * tree.symbols + symbol)[symbol > 0])
-
-
-def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", head: int = 1 << 18, term_head: int = 1 << 21, **how) -> DataFrame:
     """Per row of docs: key, n_tokens, n_known, train_tokens, base_score, score; learns from rows where `learn` holds.
 
     A null or empty text is its end token alone. base_score: unigrams, each word's count plus a half over N + (V + 1) / 2.
     score: log10 probability of the whole text under the tree. Rows are scored one by one even if keys repeat or are null;
-    an empty table gives no rows.
+    an empty table gives no rows. head, term_head: words and runs that tasks hold, the most frequent; others are joined.
     """
     tree, vocabulary = fit(docs.where(learn).select(F.col(text).alias("t")), **how)
-    n, v = tree.n, tree.v
+    n, v, own, classes, depth, end_count, unit_own = tree.n, tree.v, tree.own, tree.classes, tree.depth, tree.ends, tree.unit
     unit = math.log10(n + 0.5 * (v + 1))
-    end_count = tree.ends
-    within = np.log10(tree.class_n + 0.5 * (tree.class_v + 1))
+    # What a word's log10 (count + 1/2) is lowered by: that of its class, then of the word within it.
+    classed_by = np.log10(tree.class_n + 0.5 * (tree.class_v + 1)) - (np.log10(tree.class_n + 0.5) - unit_own)
+
+    floor = head_floor(vocabulary.where("h <> 0"), head)
+    top = vocabulary.where((F.col("h") != 0) & (level_of("c") >= floor)).orderBy("h").toArrow()
+    head_hash, head_count = top["h"].to_numpy(), top["c"].to_numpy()
+    terms = tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value"))
+    term_floor = head_floor(terms, term_head)
+    top = terms.where(level_of("c") >= term_floor).select("key", "value").toArrow()
+    head_key, head_value = summed(top["key"].to_numpy(), top["value"].to_numpy())
+    tail_terms = terms.where(level_of("c") < term_floor).select(F.col("key").alias("g"), "value")
+    term_bits = Bits.of(terms.select("key"))
 
     fields = docs.select(F.col(key).alias("k")).schema
-    key_type, names = to_arrow_type(fields[0].dataType), ["k", "task", "row", "h", "times", "n_tokens", "n_known", "base", "own"]
-    numbers_of = "task int, row long, h long, times int, n_tokens long, n_known long, base double, own double"
+    key_type = to_arrow_type(fields[0].dataType)
+    names = ["k", "row", "h", "g", "times", "n_tokens", "n_known", "base", "own"]
+    numbers_of = "row long, h long, g long, times int, n_tokens long, n_known long, base double, own double"
     fields = StructType(fields.fields + StructType.fromDDL(numbers_of).fields)
 
     def run(batches):
-        memory, task, row = Words(tree.classes), TaskContext.get().partitionId(), 0
+        memory, row = Words(classes), TaskContext.get().partitionId() << 36
         for rows, parts in _texts(batches, memory):
             hashed, begins, lengths = _laid(parts)
-            symbols, counts = tree.encode(hashed)
-            ended = hashed == 0
-            symbols[ended], counts[ended] = 0, end_count
-            logs = tree.log10(symbols, begins)
-            plain = np.log10(np.maximum(counts, 0) + 0.5) - unit
-            classed = symbols > tree.singles
-            logs[classed] += np.log10(np.maximum(counts[classed], 0) + 0.5) - within[symbols[classed] - 1 - tree.singles]
+            at, hit = found(hashed, head_hash)
+            counts = np.where(hit, head_count[at] if len(head_count) else 0, -1)
+            counts[hashed == 0] = end_count
+            symbols = codes(hashed, own, classes)
+            classed = np.flatnonzero((symbols > 0) & (symbols <= classes))
+            # A rare word's count comes by the join, for both scores.
+            logs = np.where(counts < 0, 0.0, np.log10(np.maximum(counts, 0) + 0.5))
+            plain = logs - unit
+            lowered = np.full(len(logs), unit_own)
+            lowered[classed] = classed_by[symbols[classed] - 1]
+            logs -= lowered
             rare = np.flatnonzero(counts < 0)
-            plain[rare] = -unit  # the count's part comes by the join, for both scores
-            logs[rare] -= math.log10(0.5)
             cut = np.cumsum(lengths) - lengths
+            text_of, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(symbols)) - begins
+            asked_text, asked_key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for length, key_at in enumerate(runs(symbols, depth + 1), 1):
+                near = np.flatnonzero((place >= length - 1) & (symbols != 0 if length == 1 else True))
+                near = near[term_bits.has(key_at[near])]
+                at, hit = found(key_at[near], head_key)
+                logs[near[hit]] += head_value[at[hit]]
+                near = near[~hit]
+                asked_text.append(text_of[near])
+                asked_key.append(key_at[near])
             known = np.add.reduceat((counts > 0).astype(np.int64), cut)
-            base, own = np.add.reduceat(plain, cut), np.add.reduceat(logs, cut)
-            text_of = np.repeat(np.arange(len(lengths)), lengths)
+            base, score = np.add.reduceat(plain, cut), np.add.reduceat(logs, cut)
             numbers = np.arange(row, row + len(lengths))
             row += len(lengths)
             m = len(lengths)
             keys = pa.array([b.column(1)[i].as_py() for b, i in rows], key_type)
-            whole = [keys, np.full(m, task, np.int32), numbers, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), lengths.astype(np.int64), known, base, own]
+            whole = [keys, numbers, *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32())), lengths.astype(np.int64), known, base, score]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names=names)
-            pair = np.stack([text_of[rare], hashed[rare]])
-            if len(rare):
-                order = np.lexsort(pair[::-1])
-                pair = pair[:, order]
+            for of, (texts, what) in enumerate(((text_of[rare], hashed[rare]), (np.concatenate(asked_text), np.concatenate(asked_key)))):
+                if not len(what):
+                    continue
+                order = np.lexsort((what, texts))
+                pair = np.stack([texts[order], what[order]])
                 fresh = np.concatenate([[True], (np.diff(pair) != 0).any(axis=0)])
                 times = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-                which = pair[:, fresh]
-                m = len(times)
-                looked_up = [pa.nulls(m, key_type), np.full(m, task, np.int32), numbers[which[0]], which[1], times.astype(np.int32), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                which, m = pair[:, fresh], len(times)
+                asked = [which[1], pa.nulls(m, pa.int64())]
+                looked_up = [pa.nulls(m, key_type), numbers[which[0]], *(asked[::-1] if of else asked), times.astype(np.int32), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in looked_up], names=names)
 
     mixed = materialize(docs.select(F.col(text).alias("t"), F.col(key).alias("k")).mapInArrow(run, fields), "lm-scores")
-    rare = mixed.where("h IS NOT NULL").select("task", "row", "h", "times")
-    tail = vocabulary.where((F.col("h") != 0) & (level_of("c") < tree.floor))
-    met = rare.join(tail, "h", "left").groupBy("task", "row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("logs"),
-    )
-    rows = mixed.where("h IS NULL").join(met, ["task", "row"], "left")
-    logs = F.coalesce(F.col("logs"), F.lit(0.0))
+    rare = mixed.where("h IS NOT NULL").select("row", "h", "times")
+    tail = vocabulary.where((F.col("h") != 0) & (level_of("c") < floor))
+    logs = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
+    met = rare.join(tail, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"), logs.alias("own_logs"))
+    passed = mixed.where("g IS NOT NULL").select("row", "g", "times").join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs"))
+    passed = materialize(passed, "lm-passed")
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    passed = passed.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), "own_logs")
+    added = met.unionByName(passed).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "logs", "own_logs")))
+    rows = mixed.where("h IS NULL AND g IS NULL").join(added, "row", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.select(
-        F.col("k").alias(key), "n_tokens", (F.col("n_known") + F.coalesce(F.col("more"), F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("own") + logs).alias("score"),
+        F.col("k").alias(key), "n_tokens", plus("n_known", "more").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), plus("base", "logs").alias("base_score"), plus("own", "own_logs").alias("score"),
     )
