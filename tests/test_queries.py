@@ -32,3 +32,11 @@ def normal(frame):
     for row in frame[sorted(frame.columns)].itertuples(index=False):
         out.append(tuple(None if str(v) in ("nan", "<NA>", "None", "NaT") else round(float(v), 4) + 0.0 if not isinstance(v, (str, bool)) else v for v in row))
     return out
+
+
+def test_grid_search_runs_over_all_events(spark, monkeypatch):
+    seen = []
+    search = entry.own.edmd.grid_search
+    monkeypatch.setattr(entry.own.edmd, "grid_search", lambda build, grid, tsc, *rest: seen.append(tsc.df.count()) or search(build, grid, tsc, *rest))
+    assert sum(r["best"] for r in entry.queries()["edmd_cv"](spark, SF).collect()) == 1
+    assert seen == [spark.read.parquet(f"{SF}/events.parquet").count()]
