@@ -150,3 +150,17 @@ def test_lm_score_is_the_trees_sum_over_places(spark, some_docs):
             if 0 < c <= tree.classes:
                 want += math.log10((count[h] + 0.5) / (tree.class_n[c - 1] + 0.5 * (tree.class_v[c - 1] + 1)))
         assert math.isclose(got[r["doc_id"]], want, rel_tol=1e-9)
+
+
+def test_confident_leaves_out_what_the_flag_calls_ambiguous(spark):
+    docs = load(spark, SF, "documents")
+    model = language.train(docs, ~held_out("doc_id", 4, 2), most_rows=800)
+    texts = {n: [r["text"] for r in docs.where((F.col("lang") == n) & (F.length("text") > 200)).orderBy("doc_id").limit(15).collect()] for n in ("en", "de")}
+    mixed = [" ".join(a.split()[:k] + b.split()[: 24 - k]) for a, b in zip(texts["en"], texts["de"], strict=True) for k in range(1, 24)]
+    unsure = [t for t in mixed if (p := model.predict(t))[2] and p[1] >= 0.4]
+    assert unsure
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(unsure + texts["en"])], "doc_id int, text string")
+    kept = {r["doc_id"] for r in language.confident(made, model).collect()}
+    assert not kept & set(range(len(unsure))) and len(kept) == len(texts["en"])
+    clean = language.identify(docs.where("length(text) > 200 AND lang IS NOT NULL"), model)
+    assert clean.where("ambiguous").count() < 0.01 * clean.count()

@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     return map_text(docs, text, "lang_pred string, score double, ambiguous boolean, runner_up string", lambda texts: [model.predict(t) for t in texts])
 
 
-def confident(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of docs, unchanged, whose text has a language: not `und`, and not ambiguous with a score under `least`."""
-    found = map_text(docs, text, "_lang string, _score double, _unsure boolean, _second string", lambda texts: [model.predict(t) for t in texts], keep=lambda r: r[0] != UNDETERMINED and not (r[2] and r[1] < least))
+def confident(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, whose text has a language: not `und`, and not ambiguous."""
+    found = map_text(docs, text, "_lang string, _score double, _unsure boolean, _second string", lambda texts: [model.predict(t) for t in texts], keep=lambda r: r[0] != UNDETERMINED and not r[2])
     return found.select(*docs.columns)
