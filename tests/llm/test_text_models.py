@@ -164,3 +164,14 @@ def test_confident_leaves_out_what_the_flag_calls_ambiguous(spark):
     assert not kept & set(range(len(unsure))) and len(kept) == len(texts["en"])
     clean = language.identify(docs.where("length(text) > 200 AND lang IS NOT NULL"), model)
     assert clean.where("ambiguous").count() < 0.01 * clean.count()
+
+
+def test_quality_sees_all_of_long_words_and_texts(monkeypatch):
+    make = quality.Featurizer(12)
+    plain, mixed = "a" * 2000, "a" * 1000 + "9.-" * 300 + "a" * 100
+    shapes = [next(make.spans(t))[1] for t in (plain, mixed)]
+    assert len(set(shapes[0].tolist())) == 1 and len(set(shapes[1].tolist())) > 2
+    text = "one two three four five six " * 30
+    whole = make.vector(text)
+    monkeypatch.setattr(quality, "SPAN", 7)
+    assert all((a == b).all() for a, b in zip(whole, make.vector(text), strict=True))

@@ -20,6 +20,8 @@ from tideline.llm.common import map_text, rows_in, sampled
 
 RUNS = re.compile(r"(.)\1+", re.S)
 SPAN = 1 << 18  # words of a text worked on at a time
+#: Words longer than this are taken in pieces.
+LONG = 256
 
 
 def shape(word: str) -> str:
@@ -43,12 +45,15 @@ class Featurizer:
                 if code is None:
                     w = words[i]
                     raw = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                    out[i] = seen[w] = raw | zlib.crc32(b"s" + shape(w[:256]).encode("utf-8", "surrogatepass")) << 32
+                    out[i] = seen[w] = raw | zlib.crc32(b"s" + shape(w).encode("utf-8", "surrogatepass")) << 32
         return np.array(out, dtype=np.uint64)
 
     def spans(self, text: str):
         """Arrays of feature numbers, one for each kind of n-gram, for spans of the text that overlap by two words."""
         words = text.split()
+        if max(map(len, words), default=0) > LONG:
+            words = [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]
+        earlier = np.zeros(0, np.uint64)  # word bigrams of the spans before
         top = np.uint64(64 - self.bits)
         for at in range(0, len(words), SPAN):
             back = min(at, 2)
@@ -56,9 +61,12 @@ class Featurizer:
             one = code >> np.uint64(32)
             two = one[:-1] * np.uint64(1000003) + one[1:]
             three = two[:-1] * np.uint64(1000003) + one[2:]
-            pair = code[:-1] * np.uint64(1000003) + code[1:]
-            again = np.ones(len(pair), np.uint64)  # word bigrams that the span has had before
-            again[np.unique(pair, return_index=True)[1]] = 0
+            pair = (code[:-1] * np.uint64(1000003) + code[1:])[max(back - 1, 0) :]
+            again = np.ones(len(pair), np.uint64)  # word bigrams that the text has had before
+            kinds_of_pair, first = np.unique(pair, return_index=True)
+            again[first] = np.isin(kinds_of_pair, earlier) if len(earlier) else 0
+            if at + SPAN < len(words):
+                earlier = np.union1d(earlier, kinds_of_pair)
             kinds = ((code[back:] & np.uint64(0xFFFFFFFF), 1), (one[back:], 2), (two[max(back - 1, 0) :], 3), (three, 4), (again, 5))
             yield [((k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03 * n & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)) >> top for k, n in kinds]
 
