@@ -299,3 +299,11 @@ def test_stream_of_keys(spark, tmp_path):
     last = spark.sql("SELECT * FROM models").orderBy(F.desc("seen")).limit(3).collect()
     assert {r["id"] for r in last} == {0, 1, 2}
     assert all(np.allclose(np.array(r["a"]).reshape(2, 2), A, atol=1e-6) for r in last if r["seen"] == 11)
+
+
+def test_landmark_share_is_bounded_by_a_number(spark, monkeypatch):
+    t = np.linspace(0, 2 * np.pi, 80, endpoint=False)
+    df = cloud(spark, np.column_stack([np.cos(t), np.sin(t)]))
+    monkeypatch.setattr(manifold, "LARGEST", 16)
+    marks = manifold.LandmarkMap(kernels.gaussian(0.05), 3, 0.25).fit(df)
+    assert len(marks.mark_ids) == 16 and marks.embedding().count() == 80
