@@ -4,11 +4,12 @@ Sketch. A document's set of word shingles (64-bit hashes) falls into `registers`
 its bucket as a leading-zero count and some mantissa bits, 16 bits in all. Bands of neighbouring registers are hashed;
 empty registers borrow from the next full one for this, so that short documents have full bands.
 
-Documents with equal sets are one node, found by a 128-bit digest of the set. Nodes that share a band are candidates:
-in some rounds each node with one center of its bands (stars, not all pairs); then, for bands that still hold several
-components, every pair across components of nodes that have enough shingles in common with other components at all,
-if the similarity estimated from the registers, corrected for chance collisions, isn't far below the threshold.
-All candidates are confirmed on full sets. Components come from distributed star contraction.
+Documents with equal sets are one node, found by a 128-bit digest of the set. Nodes that share a band with another and
+have enough shingles in common with other nodes at all are live. In rounds, each live node meets one center of its bands
+(stars, not all pairs). Then, for bands that still hold several components, nodes meet across components by the rarest
+shingles of their sets: two sets that are alike share one within their first few in order of frequency, and where it
+stands bounds how alike they can be. Pairs whose similarity, estimated from the registers and corrected for chance
+collisions, isn't far below the threshold are confirmed on full sets. Components come from distributed star contraction.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import few, materialize, rows_in, words
+from tideline.llm.common import few, forget, materialize, rows_in, words
 
 MANTISSA = 10
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
@@ -123,6 +125,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
     return max(0.0, (same / max(used, 1) - share) / (1 - share)), used
 
 
+def _digests(found: np.ndarray) -> tuple[int | None, int | None]:
+    """A 128-bit digest of a set in two signed halves; none for the empty set."""
+    if not len(found):
+        return None, None
+    digest = xxhash.xxh3_128_digest(found.tobytes())
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def sketches(docs: DataFrame, key: str, text: str, size: int, registers: int) -> DataFrame:
     """k, n (set size), d1, d2 (digest of the set, null for none), regs."""
 
@@ -130,15 +140,11 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, registers: int) ->
         make = Shingles(size)
         for whole in batches:
             for batch in rows_in(iter([whole])):
-                n, d1, d2, regs = [], [], [], []
-                for said in batch.column(1).to_pylist():
-                    found = make.of(said)
-                    n.append(len(found))
-                    digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                    d1.append(digest and int.from_bytes(digest[:8], "big", signed=True))
-                    d2.append(digest and int.from_bytes(digest[8:], "big", signed=True))
-                    regs.append(sketch(found, registers).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], names=["k", "n", "d1", "d2", "regs"])
+                made = [make.of(said) for said in batch.column(1).to_pylist()]
+                digests = [_digests(x) for x in made]
+                columns = [[len(x) for x in made], [d for d, _ in digests], [d for _, d in digests]]
+                regs = pa.array([sketch(x, registers).tobytes() if len(x) else None for x in made], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), regs], names=["k", "n", "d1", "d2", "regs"])
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, n long, d1 long, d2 long, regs binary")
 
@@ -156,39 +162,55 @@ def banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """d1, d2, shingles (sorted) of each row of docs."""
+
     def run(batches):
         make = Shingles(size)
         for whole in batches:
             for batch in rows_in(iter([whole])):
-                made = [make.of(t).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["k", "shingles"])
+                made = [make.of(t) for t in batch.column(0).to_pylist()]
+                digests = [_digests(x) for x in made]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["d1", "d2", "shingles"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, shingles binary")
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "d1 long, d2 long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets; `shared` and `union` are counted."""
+def confirmed(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of live nodes with 100 * intersection >= percent * union. Pairs whose estimate from the registers is more
+    than six deviations below that are ruled out (not where too few registers are full to tell); full sets decide on the rest."""
+    floor = percent / 100
+
+    def near(n: int, m: int, x: bytes, y: bytes) -> bool:
+        if 100 * min(n, m) < percent * max(n, m):
+            return False
+        j, used = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m)
+        return used < 64 or j >= floor - 6 * math.sqrt(floor * (1 - floor) / used)
 
     def run(batches):
         for whole in batches:
             for batch in rows_in(iter([whole])):
-                shared, union = [], []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                regs = [batch.column(i).to_pylist() for i in (2, 3)]
+                flat, ends = [], []
+                for i in (4, 5):
+                    flat.append(batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                    sizes = np.asarray(pc.list_value_length(batch.column(i)))
+                    ends.append(np.concatenate([[0], np.cumsum(sizes)]))
+                ok = []
+                for i in range(batch.num_rows):
+                    x, y = (flat[s][ends[s][i] : ends[s][i + 1]] for s in (0, 1))
+                    if not near(len(x), len(y), regs[0][i], regs[1][i]):
+                        ok.append(False)
+                        continue
                     if len(x) > len(y):
                         x, y = y, x
-                    if 100 * len(x) < percent * len(y):
-                        both = 0
-                    else:
-                        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    shared.append(both)
-                    union.append(len(x) + len(y) - both)
-                ok = pa.array([100 * s >= percent * u for s, u in zip(shared, union, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("k").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    sides = [live.select(F.col("k").alias(x), F.col("regs").alias(f"r{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,12 +234,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def _only(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose key is among `keys`: a broadcast up to a million keys (8 MB), beyond that a shuffle."""
-    keys = few(materialize(keys.select(F.col("k").alias("_node")), "wanted"), 1_000_000)
-    return docs.join(keys, F.col(key).cast("long") == F.col("_node"), "left_semi")
-
-
 def open_part(rows: DataFrame) -> DataFrame:
     """Of (band, k, c) the rows of bands that hold more than one component."""
     mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
@@ -239,45 +255,45 @@ def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return met.groupBy(F.col("k").alias("a")).agg(F.max_by("zk", F.struct("times", -F.col("zk"))).alias("b"))
 
 
-def linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (band, k, c) the rows of nodes that can be linked with another component at all: at least `percent` of their shingles
-    occur in nodes of other components, too. (An intersection can't be larger than that, nor a union smaller than the set.)"""
-    labels = rows.select("k", "c").distinct()
+def spread(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, k, c, n: each shingle of the nodes in labels (k, c)."""
+    return sets.join(few(labels, 1_000_000), "k").select("k", "c", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h"))
 
-    def run(batches):
-        for whole in batches:
-            for batch in rows_in(iter([whole])):
-                held = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-                times = [len(x) for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(batch.column(1).to_numpy(), times)), pa.array(np.repeat(times, times))], names=["h", "k", "c", "n"])
 
-    spread = sets.join(few(materialize(labels, "open-labels"), 1_000_000), "k").select("k", "c", "shingles").mapInArrow(run, "h long, k long, c long, n long")
-    common = materialize(spread.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"), "common-shingles")
-    able = spread.join(common, "h", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).where(F.col("s") * 100 >= F.col("n") * percent).select("k")
-    return rows.join(few(materialize(able, "linkable"), 1_000_000), "k", "left_semi")
+def common(met: DataFrame) -> DataFrame:
+    """h, df: shingles of more than one component, and how many nodes have them."""
+    return met.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "df")
 
 
-def across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a band and whose estimate doesn't rule them out (six deviations below
-    the threshold). Bands meet by a join on the band and on c differing, not by gathering a band in one task."""
-    pairs = rows.select("band", F.col("k").alias("a"), F.col("c").alias("ca")).join(rows.select("band", F.col("k").alias("b"), F.col("c").alias("cb")), "band")
-    pairs = materialize(pairs.where("a < b AND ca <> cb").select("a", "b").distinct(), "across")
-    floor = percent / 100
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """k of the nodes that can be linked at all: at least `percent` of their shingles occur in other nodes, too. (An intersection
+    can't be larger than that, nor a union smaller than the set.)"""
+    met = sets.select("k", F.col("k").alias("c"), F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    able = met.join(common(met).select("h"), "h", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"))
+    return able.where(F.col("s") * 100 >= F.col("n") * percent).select("k")
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                if 100 * min(n, m) < percent * max(n, m):
-                    keep.append(False)
-                    continue
-                j, used = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m)
-                keep.append(used < 64 or j >= floor - 6 * math.sqrt(floor * (1 - floor) / used))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [nodes.select(F.col("k").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "ra", "rb")
-    return joined.mapInArrow(run, "a long, b long")
+def prefixes(met: DataFrame, percent: int) -> DataFrame:
+    """h, k, c, n, at: the first shingles of each node, by which it meets any set of another component that is like it.
+
+    A node's shingles are put in one order for all nodes: first those of one component only, then by df. Sets of n shingles and
+    more that are `percent` alike share one of the first n - ceil(n * percent / 100) + 1; `at` is the place, from 1."""
+    kinds = materialize(common(met), "common-shingles")
+    node = Window.partitionBy("k")
+    ranked = met.join(kinds, "h").withColumn("i", F.row_number().over(node.orderBy("df", "h"))).withColumn("s", F.count(F.lit(1)).over(node))
+    at = F.col("n") - F.col("s") + F.col("i")
+    return ranked.withColumn("at", at).where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent).select("h", "k", "c", "n", "at")
+
+
+def across(first: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that share a shingle of their prefixes, where its places leave room for `percent`.
+
+    The first shingle that two sets share has all others behind it, so their intersection is at most what stands from there on
+    in either. The smaller set of a pair needs still fewer shingles: its size is the least that the other one can have."""
+    left, right = (first.select("h", *(F.col(x).alias(f"{x}{y}") for x in ("k", "c", "n", "at"))) for y in "ab")
+    left = left.where((F.col("na") - F.col("ata") + 1) * (100 + percent) >= 2 * percent * F.col("na"))
+    fits = f"ca <> cb AND (na < nb OR na = nb AND ka < kb) AND na * 100 >= nb * {percent} AND least(na - ata, nb - atb) + 1 >= (na + nb) * {percent} / {100 + percent}.0D - 1e-9"
+    return left.join(right, "h").where(fits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def _merged(labels: DataFrame | None, rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,39 +317,63 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Two documents are linked if 100 * intersection >= percent * union of their sets of `size`-word shingles (A-Z in lower
     case, words between ASCII white space). component_id is the least key that links reach; kept: the key is its component's.
     A text without words has no set and no links; one shorter than a shingle has its whole sequence as the only one. Equal sets
-    are always linked. Rows with a null key are linked with nothing: component_id null, kept true. Rows that
-    share a key must share their text. An empty table gives no rows.
+    are always linked. Rows with a null key are linked with nothing: component_id null, kept true. Rows that share a key are one
+    document: all are in one component, whether or not they share their text. An empty table gives no rows. Shingles count by
+    64-bit hashes: two of a text fall together once in 10**19 pairs.
 
     A link at the threshold shares no band with probability (1 - (percent / 100)**rows)**bands: 2e-8 at 80, 1e-12 at 85.
     """
     registers = bands * rows
     thin = materialize(sketches(docs, key, text, size, registers), "sketches")
     full = thin.where("k IS NOT NULL AND n > 0")
-    same = materialize(full.groupBy("d1", "d2").agg(F.min("k").alias("node")), "equal-sets")
-    nodes = full.join(same, ["d1", "d2"]).where("k = node").dropDuplicates(["d1", "d2"]).select("k", "n", "regs")
-    nodes = materialize(nodes, "nodes")
+    nodes = full.groupBy("d1", "d2").agg(F.min("k").alias("least"), F.first("regs").alias("regs"))
+    nodes = materialize(nodes.withColumn("k", F.monotonically_increasing_id()), "nodes")  # numbers are kept by the written table
+    repeated = materialize(full.groupBy(F.col("k").alias("least")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("least"), "repeated-keys")
+    repeats = not repeated.isEmpty()
     buckets = materialize(banded(nodes, bands, rows), "bands")
     several = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"), "several")
     shared = materialize(buckets.join(several, "band", "left_semi"), "shared-bands")
-    sets = materialize(shingle_sets(_only(docs, key, shared.select("k").distinct()), key, text, size).dropDuplicates(["k"]), "sets")
+    forget(buckets, several)
+    # Full sets, of nodes that share a band only.
+    wanted = nodes.join(shared.select("k").distinct(), "k", "left_semi").select("k", "least", "d1", "d2")
+    wanted = few(materialize(wanted, "wanted"), 1_000_000)
+    some = docs.join(wanted.select(F.col("least").alias("_least")).distinct() if repeats else wanted.select(F.col("least").alias("_least")), F.col(key).cast("long") == F.col("_least"), "left_semi")
+    sets = shingle_sets(some, key, text, size).join(wanted.select("k", "d1", "d2"), ["d1", "d2"]).select("k", "shingles")
+    sets = materialize(sets.dropDuplicates(["k"]) if repeats else sets, "sets")
     # Most bands are met by chance: nodes without enough shingles in common with any other go first.
-    rows = shared.select("band", "k", F.col("k").alias("c"))
-    rows, labels = materialize(open_part(linkable(rows, sets, percent)), "open-bands"), None
+    able = few(materialize(linkable(sets, percent), "linkable"), 1_000_000)
+    live = materialize(sets.join(able, "k").join(nodes.select("k", "regs").join(able, "k", "left_semi"), "k"), "live")
+    rows = materialize(open_part(shared.join(able, "k", "left_semi").select("band", "k", F.col("k").alias("c"))), "open-bands")
+    forget(sets, shared)
+    labels = None
+    if repeats:
+        same = full.join(few(repeated.withColumnRenamed("least", "k")), "k", "left_semi").select(F.col("k").alias("doc"), "d1", "d2").distinct().join(nodes.select("k", "d1", "d2"), ["d1", "d2"])
+        same = materialize(same.select("doc", F.col("k").alias("a")).distinct(), "repeated-nodes")
+        links = same.join(same.groupBy("doc").agg(F.min("a").alias("b")), "doc").where("a <> b").select("a", "b")
+        labels, rows = _merged(labels, rows, links)
     # Rounds of stars: cheap, and they join nearly all that belongs together. They end when they find little more.
     for turn in range(16):
         pairs = materialize(star_pairs(rows, turn), "star-pairs")
-        links = materialize(confirmed(pairs, sets, percent), "links")
+        links = materialize(confirmed(pairs, live, percent), "links")
         tried, found = pairs.count(), links.count()
         if found:
             labels, rows = _merged(labels, rows, links)
+        forget(pairs, links)
         if found < 0.02 * tried or not found:
             break
-    # What is left: all pairs across components, of nodes that have enough in common with other components.
-    rows = materialize(open_part(linkable(rows, sets, percent)), "open-bands")
-    links = materialize(confirmed(materialize(across(rows, nodes, percent), "across-pairs"), sets, percent), "links")
+    # What is left: nodes of different components that could still be linked, by the rarest shingles of their sets.
+    met = spread(live, materialize(rows.select("k", "c").distinct(), "open-labels"))
+    first = materialize(prefixes(met, percent), "prefixes")
+    pairs = materialize(across(first, percent).distinct(), "across")
+    links = materialize(confirmed(pairs, live, percent), "links")
     labels, _ = _merged(labels, rows, links)
-    whole = thin.select("k", "n", "d1", "d2").join(same, ["d1", "d2"], "left").join(labels.select(F.col("k").alias("node"), "c"), "node", "left")
-    own = F.coalesce(F.col("c"), F.col("node"), F.col("k"))
+    forget(first, pairs, links, live, rows)
+    names = nodes.select("k", "least")
+    ids = materialize(labels.join(names, "k").groupBy("c").agg(F.min("least").alias("id")), "component-ids")
+    named = names.join(labels, "k", "left").join(few(ids), "c", "left").select("k", F.coalesce("id", "least").alias("id"))
+    by_set = materialize(nodes.select("k", "d1", "d2").join(named, "k").select("d1", "d2", "id"), "ids-by-set")
+    whole = thin.select("k", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")
+    own = F.when(F.col("k").isNotNull(), F.coalesce(F.col("id"), F.col("k")))
     return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("k") == own, F.lit(True)).alias("kept"))
 
 
