@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import language, lmscore, quality
@@ -101,17 +102,23 @@ def test_lm_counts_and_base_match_brute_force(spark, some_docs):
 
 
 def test_lm_distributions_add_up_to_one(spark, some_docs):
-    tree, _ = lmscore.fit(some_docs.select(F.col("text").alias("t")), singles=60, classes=16, least=2.0**-8)
-    assert math.isclose((10**tree.root).sum(), 1, rel_tol=1e-9)
+    tree = lmscore.fit(some_docs.select(F.col("text").alias("t")), singles=60, classes=16, least=2.0**-8)
+    lex = tree.lexicon
+    assert math.isclose((10**tree.root).sum(), 1, rel_tol=1e-9) and len(tree.root) == lex.symbols
     assert any(len(s) for s in tree.states)
     draw = np.random.default_rng(3)
     for _ in range(40):
-        before = draw.integers(1, tree.symbols, 3)
-        probe = np.concatenate([np.append(before, s) for s in range(tree.symbols)])
-        begins = np.repeat(np.arange(tree.symbols) * 4, 4)
+        before = draw.integers(1, lex.symbols, 3)
+        probe = np.concatenate([np.append(before, s) for s in range(lex.symbols)])
+        begins = np.repeat(np.arange(lex.symbols) * 4, 4)
         assert math.isclose((10 ** tree.log10(probe, begins)[3::4]).sum(), 1, rel_tol=1e-5)
-    within = [(c + 0.5 * (v + 1)) / (c + 0.5 * (v + 1)) for c, v in zip(tree.class_n, tree.class_v, strict=True)]
-    assert within == [1.0] * len(within)
+    # Within a class: its words and one that is unknown.
+    within = Counter()
+    for r in lex.vocabulary.where("h <> 0").collect():
+        code = int(lex.codes(np.array([r["h"]]))[0])
+        if code <= lex.classes:
+            within[code - 1] += (r["c"] + 0.5) / (lex.class_n[code - 1] + 0.5 * (lex.class_v[code - 1] + 1))
+    assert all(math.isclose(p + 0.5 / (lex.class_n[k] + 0.5 * (lex.class_v[k] + 1)), 1, rel_tol=1e-9) for k, p in within.items())
 
 
 def test_lm_odd_rows(spark, odd_docs, no_docs):
@@ -137,19 +144,62 @@ def test_lm_tree_grows_with_the_corpus(spark):
     assert all(math.isclose(held[k], joined[k], rel_tol=1e-9) for k in held)
 
 
-def test_lm_score_is_the_trees_sum_over_places(spark, some_docs):
-    tree, _ = lmscore.fit(some_docs.select(F.col("text").alias("t")))
-    got = {r["doc_id"]: r["score"] for r in lmscore.score(some_docs, F.lit(True), term_head=100).collect()}
-    number = {c: i for i, c in enumerate(tree.names[0].tolist())}
-    count = {r["h"]: r["c"] for r in tree.marked.collect()}
-    for r in some_docs.limit(20).collect():
-        hashed = np.append(lmscore.Words(tree.classes).hashes(words(r["text"])), 0)
-        code = lmscore.codes(hashed, tree.own, tree.classes)
-        want = tree.log10(np.array([number[c] for c in code.tolist()]), np.zeros(len(code), np.int64)).sum()
-        for h, c in zip(hashed.tolist(), code.tolist(), strict=True):
-            if 0 < c <= tree.classes:
-                want += math.log10((count[h] + 0.5) / (tree.class_n[c - 1] + 0.5 * (tree.class_v[c - 1] + 1)))
-        assert math.isclose(got[r["doc_id"]], want, rel_tol=1e-9)
+def dictionary_tree(texts, depth, few, seen, pull, root):
+    """A suffix tree in dictionaries, by recursion. root: log10 P of a symbol. Texts are lists of symbols, the end (0) included."""
+    follow = [{} for _ in range(depth + 1)]
+    for t in texts:
+        for length in range(1, depth + 1):
+            for i in range(length, len(t)):
+                follow[length].setdefault(tuple(t[i - length : i]), Counter())[t[i]] += 1
+    states = {}
+
+    def log10(ctx, sym):
+        if not ctx:
+            return root[sym]
+        below = log10(ctx[1:], sym)
+        if ctx not in states:
+            return below
+        told, total, back = states[ctx]
+        return math.log10((told[sym] + pull * 10**below) / (total + pull)) if sym in told else below + back
+
+    for length in range(1, depth + 1):
+        made = {}
+        for ctx, nexts in follow[length].items():
+            total, told = sum(nexts.values()), {s: c for s, c in nexts.items() if c >= seen}
+            if total < few or not told:
+                continue
+            p = {s: 10 ** log10(ctx[1:], s) for s in told}
+            left, free = total - sum(told.values()), 1 - sum(p.values())
+            evidence = sum(c * math.log(c / total / p[s]) for s, c in told.items()) + (left * math.log(left / total / free) if left else 0)
+            if evidence > 0.5 * len(told) * math.log(max(total, 2)):
+                made[ctx] = told, total, math.log10((left + pull * free) / ((total + pull) * free))
+        states |= made
+    return states, log10
+
+
+@pytest.mark.parametrize("how", [{"term_head": 50, "head": 100}, {}])
+def test_lm_score_equals_a_tree_of_dictionaries(spark, some_docs, how):
+    few, seen, pull = 8, 3, 16.0
+    docs = some_docs.orderBy("doc_id").limit(50)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lex = lmscore.learn_words(docs.select(F.col("text").alias("t")), few=few)
+    c = Counter(w for t in texts.values() for w in words(t))
+    code = dict(zip(c, lex.codes(lmscore.hashes(list(c), 256)).tolist(), strict=True))
+    assert {w for w in c if c[w] >= few} == {w for w in c if code[w] > 256} and c.most_common(1)[0][1] > 100
+    of = Counter({0: len(texts)})
+    for w, n in c.items():
+        of[code[w]] += n
+    symbols = 1 + sum(s > 256 for s in of) + 256
+    root = {s: math.log10((n + 0.5) / (of.total() + 0.5 * symbols)) for s, n in of.items()}
+    coded = {k: [*(code[w] for w in words(t)), 0] for k, t in texts.items()}
+    states, log10 = dictionary_tree(coded.values(), 3, few, seen, pull, root)
+    assert {len(s) for s in states} == {1, 2, 3}
+    kinds = Counter(s for w, s in code.items() if s <= 256)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, F.lit(True), few=few, seen=seen, pull=pull, **how).collect()}
+    for k, t in texts.items():
+        want = sum(log10(tuple(coded[k][max(i - 3, 0) : i]), s) for i, s in enumerate(coded[k]))
+        want += sum(math.log10((c[w] + 0.5) / (of[code[w]] + 0.5 * (kinds[code[w]] + 1))) for w in words(t) if code[w] <= 256)
+        assert math.isclose(got[k], want, rel_tol=1e-9)
 
 
 def test_confident_leaves_out_what_the_flag_calls_ambiguous(spark):

@@ -5,63 +5,59 @@ symbol of its own, however many such words there are; other words fall into clas
 probability within its class is smoothed as a unigram is, with room for one unknown word.
 
 Tree. Contexts are suffixes of up to `depth` symbols. A context is a candidate if it occurs `few` times or more, at any
-scale; each level's counts cover all training texts. A candidate stays if its next-symbol distribution diverges from that
-of its suffix: the evidence (count times Kullback-Leibler divergence) must outweigh what describing it costs.
-Distributions are smoothed towards the suffix's. A text is scored symbol by symbol from the longest suffix that is a state.
-
-Scale. A state changes log P by a constant for the symbols it has not seen, and by one more number for each that it has. So a
+scale; each level's counts cover all training texts. Of a context's next symbols, those seen `seen` times or more are told
+apart and the others are taken together. A candidate stays if that distribution diverges from its suffix's: the evidence
+(count times Kullback-Leibler divergence) must outweigh what describing it costs. Distributions are smoothed towards the
+suffix's and add up to one. A text is scored symbol by symbol from the longest suffix that is a state.
+
+Scale. Texts are split into words twice: to count them, and to write them down as symbols, small numbers for the frequent
+ones; levels and scores read symbols. A level's tasks add up what they read and send runs of symbols to be counted in sorted
+columns, packed, by a hash of the context; a run whose beginning or end is too rare isn't sent (it can't be frequent). A
+state changes log P by a constant for the symbols it has not told apart, and by one more number for each that it has. So a
 text's score is a sum over its runs of up to depth + 1 symbols, each with one value, in whatever order. Runs are named by a
-hash, and counts, states and values are distributed tables. Tasks hold a head of words and of values, and bit tables of
-bounded size that say which runs need looking up (a bit set by another run costs a lookup that finds nothing); what is
-outside the heads is looked up by a join.
+64-bit hash, as words are, and counts, states and values are distributed tables. Tasks hold a head of words and of values,
+and bit tables of bounded size that say which runs need looking up (a bit set by another run costs a lookup that finds
+nothing); what is outside the heads is looked up by a join.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from tideline.llm.common import few as broadcast_few
-from tideline.llm.common import materialize, rows_in, words
+from tideline.llm.common import forget, materialize, rows_in, words
 
 #: The symbol that ends a text, as a word that no text has.
 END = b" "
 SEED = 20
+MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
-@dataclass
-class Words:
-    """Hashes of words; remembers `most` words."""
+class Numbers(dict):
+    """Words numbered in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        return got
 
-    classes: int
-    most: int = 400_000
-    seen: dict[bytes, int] = field(default_factory=dict)
-
-    def hashes(self, tokens: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        out = list(map(seen.get, tokens))
-        if None in out:
-            digest = xxhash.xxh3_64_intdigest
-            for i, h in enumerate(out):
-                if h is None:
-                    w = tokens[i]
-                    h = seen.get(w)
-                    if h is None:
-                        h = seen[w] = digest(w, SEED) >> 8 << 8 | digest(w[-2:], SEED) % self.classes
-                    out[i] = h
-        return np.array(out, dtype=np.uint64).view(np.int64)
+
+def hashes(tokens: list[bytes], classes: int) -> np.ndarray:
+    """64-bit hashes of words; the low byte is the word's class, which is that of its last two bytes."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w, SEED) >> 8 << 8 | digest(w[-2:], SEED) % classes for w in tokens], dtype=np.uint64).view(np.int64)
 
 
 def level_of(count: str) -> Column:
@@ -70,7 +66,6 @@ def level_of(count: str) -> Column:
 
 
 def class_of(hashed: np.ndarray, classes: int) -> np.ndarray:
-    """A word's class is the low byte of its hash: equal for words that end alike."""
     return (hashed.view(np.uint64) & np.uint64(255)).astype(np.int64) % classes
 
 
@@ -102,29 +97,18 @@ class Bits:
         return out
 
 
-def codes(hashed: np.ndarray, own: Bits, classes: int) -> np.ndarray:
-    """Symbols of hashed words: 0 ends a text, a word of its own is its hash, and 1 to `classes` are classes."""
-    return np.where(hashed == 0, 0, np.where(own.has(hashed), hashed, 1 + class_of(hashed, classes)))
-
-
-def _hash_long(x: np.ndarray, seed) -> np.ndarray:
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
-    h = (seed + p5 + np.uint64(8)) ^ turn(x * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return h ^ h >> np.uint64(32)
-
-
 def extended(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Keys of runs with one more symbol at their end: Spark's xxhash64(key, symbol)."""
-    seed = _hash_long(keys.view(np.uint64), np.full(1, 42, np.uint64))
-    return _hash_long(symbols.view(np.uint64), seed).view(np.int64)
+    """Keys of runs with one more symbol at their end."""
+    x = (keys.view(np.uint64) * MIX[0] ^ symbols.view(np.uint64)) * MIX[1]
+    x ^= x >> np.uint64(32)
+    x *= MIX[2]
+    x ^= x >> np.uint64(29)
+    return x.view(np.int64)
 
 
 def runs(symbols: np.ndarray, most: int) -> list[np.ndarray]:
-    """For each place the keys of the 1, 2, .. `most` symbols that end there (meaningless where there are fewer)."""
+    """For each place the keys of the 1, 2, .. `most` symbols that end there (meaningless where there are fewer). A single
+    symbol's key is the symbol."""
     out = [symbols]
     for _ in range(1, most):
         key = np.zeros_like(symbols)
@@ -141,12 +125,17 @@ def found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, and the sums of values with each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return [keys, *(np.bincount(at, v, len(keys)) for v in values)]
+
+
 @dataclass
-class Tree:
-    """The fitted model. `terms` (key, length, c, entry, back) has the runs of symbols that change log10 P: by `entry` that of
-    their last symbol, in another row by `back` that of the symbol after them (null unless the run is a state)."""
+class Lexicon:
+    """Counts of words, and which of them are symbols. Codes: 0 ends a text, 1 to `classes` are classes; then the words of the head
+    that are symbols, the most frequent first; other words that are symbols have their hash for a code, with bit 62 set."""
 
-    depth: int
     classes: int
     n: int  # training tokens
     v: int  # distinct ones
@@ -155,8 +144,11 @@ class Tree:
     singles: int  # how many
     class_n: np.ndarray
     class_v: np.ndarray
-    marked: DataFrame  # vocabulary: h, c, own
-    terms: DataFrame | None = None
+    head_hash: np.ndarray  # sorted
+    head_count: np.ndarray
+    head_code: np.ndarray
+    floor: int  # level of counts from which on words are in the head
+    vocabulary: DataFrame | None  # h, c; h = 0 ends a text
 
     @property
     def symbols(self) -> int:
@@ -166,296 +158,385 @@ class Tree:
     def unit(self) -> float:
         return math.log10(self.n + 0.5 * self.symbols)
 
-    @cached_property
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and log10 probabilities of all symbols, on the driver: for small models. So are the three that follow."""
-        got = self.marked.where("own").select("h", "c").toArrow()
-        of = np.concatenate([[self.ends], got["c"].to_numpy(), self.class_n])
-        return np.concatenate([[0], got["h"].to_numpy(), np.arange(1, 1 + self.classes)]).astype(np.int64), np.log10(of + 0.5) - self.unit
+    def codes(self, hashed: np.ndarray) -> np.ndarray:
+        at, hit = found(hashed, self.head_hash)
+        big = (hashed.view(np.uint64) & np.uint64((1 << 63) - 1) | np.uint64(1 << 62)).view(np.int64)
+        named = np.where(hit, self.head_code[at], big) if len(self.head_code) else big
+        return np.where(hashed == 0, 0, np.where(self.own.has(hashed), named, 1 + class_of(hashed, self.classes)))
 
-    @property
-    def root(self) -> np.ndarray:
-        return self.names[1]
+    def root(self) -> DataFrame:
+        """key (a symbol), c, lp (its log10 probability)."""
+        lex, rest = self.held(), pa.table({"key": np.arange(1 + self.classes), "c": np.append(self.ends, self.class_n)})
 
-    @cached_property
-    def states(self) -> list[np.ndarray]:
-        """Keys of the states, by length - 1."""
-        return [np.sort(self.terms.where((F.col("length") == k) & F.col("back").isNotNull()).select("key").toArrow()["key"].to_numpy()) for k in range(1, self.depth + 1)]
+        def run(batches):
+            for b in batches:
+                code = lex.codes(b.column(0).to_numpy())
+                mine = code > lex.classes
+                yield pa.RecordBatch.from_arrays([pa.array(code[mine]), pa.array(b.column(1).to_numpy()[mine])], names=["key", "c"])
 
-    def log10(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest suffix that is a state), for each place of texts that follow one another. Symbols are numbers
-        (places in `names`); begins: place of each one's text start."""
-        got = self.terms.fillna(0.0).toArrow()
-        table, entry, back = summed(*(got[c].to_numpy() for c in ("key", "entry", "back")))
-        out, place = self.root[symbols].copy(), np.arange(len(symbols)) - begins
-        for length, key in enumerate(runs(self.names[0][symbols], self.depth + 1), 1):
-            at, hit = found(key, table)
-            hit &= place >= length - 1
-            out[hit] += entry[at[hit]]
-            on = np.flatnonzero(hit[:-1] & (place[1:] > 0))
-            out[on + 1] += back[at[on]]
-        return out
+        named = self.vocabulary.where("h <> 0").select("h", "c").mapInArrow(run, "key long, c long")
+        return named.unionByName(self.vocabulary.sparkSession.createDataFrame(rest)).withColumn("lp", F.log10(F.col("c") + 0.5) - self.unit)
+
+    def held(self) -> Lexicon:
+        """Without the table, for tasks."""
+        return replace(self, vocabulary=None)
+
+
+def head_floor(table: DataFrame, most: int) -> int:
+    """The level of counts c from which on at most so many rows are left, by a histogram."""
+    sizes = table.groupBy(level_of("c").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    held, floor = 0, 1 << 20
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        if held + row["n"] > most:
+            break
+        held, floor = held + row["n"], row["level"]
+    return floor
 
 
-def _texts(batches, memory: Words, span: int = 1 << 16):
-    """(rows, hashes, begins, positions of ends) for runs of whole texts of about `span` tokens or more; END follows each text."""
-    end = np.array([0], np.int64)
+def _numbered(batches, column: int, span: int, memory: Numbers):
+    """(rows, word numbers, lengths) for runs of whole texts of about `span` words or more."""
     rows, parts, size = [], [], 0
+    of = memory.__getitem__
     for whole in batches:
         for batch in rows_in(iter([whole])):
-            for i, text in enumerate(batch.column(0).to_pylist()):
+            for i, text in enumerate(batch.column(column).to_pylist()):
                 tokens = words(text)
                 rows.append((batch, i))
-                parts.append(memory.hashes(tokens))
-                parts.append(end)
+                parts.append(np.fromiter(map(of, tokens), np.int64, len(tokens)))
                 size += len(tokens) + 1
                 if size >= span:
-                    yield rows, parts
+                    yield rows, np.concatenate(parts), np.array([len(p) for p in parts])
                     rows, parts, size = [], [], 0
     if rows:
-        yield rows, parts
-
-
-def _laid(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes in one array, each place's text start, and the texts' lengths."""
-    lengths = np.array([len(p) + 1 for p in parts[::2]])
-    starts = np.cumsum(lengths) - lengths
-    return np.concatenate(parts), np.repeat(starts, lengths), lengths
+        yield rows, np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def count_words(texts: DataFrame, classes: int) -> DataFrame:
+def count_words(texts: DataFrame, classes: int, most: int = 400_000) -> DataFrame:
     """h, c: how often each word occurs (h = 0: ends of texts). Tasks add up what they can hold before anything is shuffled."""
 
     def run(batches):
-        memory = Words(classes)
-        total_h, total_c, size = [], [], 0
-
-        def merged():
-            h, where = np.unique(np.concatenate(total_h), return_inverse=True)
-            return h, np.bincount(where, weights=np.concatenate(total_c)).astype(np.int64)
-
-        for _, parts in _texts(batches, memory, 1 << 20):
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            total_h.append(h)
-            total_c.append(c)
-            size += len(h)
-            if size > 3_000_000:
-                h, c = merged()
-                if len(h) > 1_500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
-                    total_h, total_c, size = [], [], 0
-                else:
-                    total_h, total_c, size = [h], [c], len(h)
-        if total_h:
-            h, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
-
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def count_level(texts: DataFrame, own: Bits, classes: int, candidates: Bits | None, length: int) -> DataFrame:
-    """ctx, sym, c: how often a symbol follows a context of `length` symbols, over all texts; from two on also suf, the key of the
-    last `length` symbols of both. Contexts are those of the candidates' bits, or all."""
-    names = ["ctx", "sym"] if length == 1 else ["ctx", "sym", "suf"]
-
-    def run(batches):
-        memory = Words(classes)
-        for _, parts in _texts(batches, memory, 1 << 21):
-            hashed, begins, _ = _laid(parts)
-            symbols = codes(hashed, own, classes)
-            key = runs(symbols, length)[-1]
-            at = np.flatnonzero(np.arange(len(symbols)) - begins >= length)
-            if candidates is not None:
-                at = at[candidates.has(key[at - 1])]
-            columns = [key[at - 1], symbols[at], key[at]]
-            _, first, times = np.unique(extended(columns[0], columns[1]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c, _ in zip(columns, names, strict=False)), pa.array(times)], names=[*names, "c"])
-
-    counted = texts.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "c"]))
-    if length > 1:
-        counted = counted.repartition("suf")  # tasks have added up; by suf for the join with the level above as well
-    return counted.groupBy(*names).agg(F.sum("c").alias("c"))
-
-
-def entries_of(made: DataFrame, length: int) -> DataFrame:
-    """The terms of symbols that a state has seen; length: of state and symbol."""
-    entry = F.col("lp") - F.col("p") - F.col("back")
-    return materialize(made.where("back IS NOT NULL").select("key", F.lit(length).alias("length"), "c", entry.alias("entry"), F.lit(None).cast("double").alias("back")), "lm-entries")
-
-
-def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, and the sums of values with each."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return [keys, *(np.bincount(at, v, len(keys)) for v in values)]
+        memory, counts, texts = Numbers(), np.zeros(0, np.int64), 0
 
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(np.append(hashes(list(memory), classes), 0)), pa.array(np.append(counts, texts))], names=["h", "c"])
 
-def forget(table: DataFrame) -> None:
-    """Deletes the scratch files of a materialized table that is not read again."""
-    spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/lm-level-" in f}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def head_floor(table: DataFrame, most: int) -> int:
-    """The level of counts c from which on at most so many rows are left, by a histogram."""
-    sizes = table.groupBy(level_of("c").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    held, floor = 0, 1 << 20
-    for row in sorted(sizes, key=lambda r: -r["level"]):
-        if held + row["n"] > most:
-            break
-        held, floor = held + row["n"], row["level"]
-    return floor
+        for rows, numbers, _ in _numbered(batches, 0, 1 << 18, memory):
+            got = np.bincount(numbers, minlength=len(memory))
+            got[: len(counts)] += counts
+            counts, texts = got, texts + len(rows)
+            if len(memory) > most:
+                yield made()
+                memory.clear()
+                counts, texts = np.zeros(0, np.int64), 0
+        yield made()
 
+    return texts.mapInArrow(run, "h long, c long").where("c > 0").groupBy("h").agg(F.sum("c").alias("c"))
 
-def fit(texts: DataFrame, depth: int = 3, singles: int | None = None, classes: int = 256, few: int = 32, least: float = 0.0, pull: float = 64.0) -> tuple[Tree, DataFrame]:
-    """Learns from all rows of texts (one column). Returns the tree and the vocabulary table (h, c).
 
-    few: a word or context needs so many occurrences. For small models, singles: only so many words are symbols, and least:
-    contexts need that share of the tokens too. A training set without rows gives N = 0, V = 0, and even chances.
-    """
-    spark = texts.sparkSession
+def learn_words(texts: DataFrame, classes: int = 256, few: int = 32, singles: int | None = None, head: int = 1 << 18) -> Lexicon:
+    """Counts the words of all rows of texts (one column)."""
     vocabulary = materialize(count_words(texts, classes), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    frequent = vocabulary.where((F.col("h") != 0) & (F.col("c") >= few)) if singles is None else vocabulary.where("h <> 0").orderBy(F.desc("c"), "h").limit(singles)
+    real = vocabulary.where("h <> 0")
+    frequent = real.where(F.col("c") >= few) if singles is None else real.orderBy(F.desc("c"), "h").limit(singles)
     own = Bits.of(frequent.select(F.col("h").alias("key")))
 
     def mark(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.has(b.column(0).to_numpy()))], names=["h", "c", "own"])
 
-    marked = vocabulary.where("h <> 0").mapInArrow(mark, "h long, c long, own boolean")
     class_n, class_v, held = np.zeros(classes, np.int64), np.zeros(classes, np.int64), 0
+    marked = real.mapInArrow(mark, "h long, c long, own boolean")
     for row in marked.groupBy("own", F.when(~F.col("own"), F.pmod(F.col("h").bitwiseAND(255), F.lit(classes))).alias("k")).agg(F.sum("c").alias("n"), F.count("c").alias("v")).collect():
         if row["own"]:
             held = row["v"]
         else:
             class_n[row["k"]], class_v[row["k"]] = row["n"], row["v"]
     ended = vocabulary.where("h = 0").select("c").first()
-    tree = Tree(depth, classes, int(n), int(v), int(ended["c"]) if ended else 0, own, held, class_n, class_v, marked)
-    least_count = max(least * tree.n, few, 2)
-    ends_and_classes = spark.createDataFrame(pa.table({"sym": np.arange(1 + classes), "c": np.append(tree.ends, class_n)}))
-    root = marked.where("own").select(F.col("h").alias("sym"), "c").unionByName(ends_and_classes)
-    root = broadcast_few(root.select(F.col("sym").alias("suf"), (F.log10(F.col("c") + 0.5) - tree.unit).alias("p")), 1 << 20)
-    candidates, made, above, terms = None, None, None, []
+    floor = head_floor(real, head)
+    top = real.where(level_of("c") >= floor).toArrow()
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    code = np.empty(len(h), np.int64)
+    code[np.lexsort((h, -c))] = np.arange(1 + classes, 1 + classes + len(h))
+    order = np.argsort(h)
+    return Lexicon(classes, int(n), int(v), int(ended["c"]) if ended else 0, own, held, class_n, class_v, h[order], c[order], code[order], floor, vocabulary)
+
+
+def coded(docs: DataFrame, lexicon: Lexicon, most: int = 400_000) -> DataFrame:
+    """Of (t, k, learn): k, learn, row (a number of its own), n_tokens, n_known, base and own (sums of log10 for words held by tasks),
+    symbols (codes, the end's included), rare and times (hashes of words that aren't held, and how often the text has them)."""
+    lex = lexicon.held()
+    unit, unit_own = math.log10(lex.n + 0.5 * (lex.v + 1)), lex.unit
+    # What a word's log10 (count + 1/2) is lowered by: that of its class, then of the word within it.
+    classed_by = np.log10(lex.class_n + 0.5 * (lex.class_v + 1)) - (np.log10(lex.class_n + 0.5) - unit_own)
+    end_log = math.log10(lex.ends + 0.5)
+    schema = StructType(docs.select("k", "learn").schema.fields + StructType.fromDDL("row long, n_tokens long, n_known long, base double, own double, symbols array<long>, rare array<long>, times array<int>").fields)
+
+    def run(batches):
+        memory, row, known = Numbers(), TaskContext.get().partitionId() << 36, 0
+        hashed, code, count, logs, lowered = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float))
+        for rows, numbers, lengths in _numbered(batches, 0, 1 << 17, memory):
+            if len(memory) > known:
+                h = hashes(list(itertools.islice(memory, known, None)), lex.classes)
+                at, hit = found(h, lex.head_hash)
+                c = np.where(hit, lex.head_count[at] if len(lex.head_count) else 0, -1)
+                s = lex.codes(h)
+                less = np.full(len(h), unit_own)
+                of_class = s <= lex.classes
+                less[of_class] = classed_by[s[of_class] - 1]
+                # A rare word's count comes by the join, for both scores.
+                fresh = (h, s, c, np.where(c < 0, 0.0, np.log10(np.maximum(c, 0) + 0.5)), less)
+                hashed, code, count, logs, lowered = (np.concatenate(x) for x in zip((hashed, code, count, logs, lowered), fresh, strict=True))
+                known = len(memory)
+            m = len(rows)
+            text_of = np.repeat(np.arange(m), lengths)
+            plain, own = logs[numbers], logs[numbers] - lowered[numbers]
+            sums = [np.bincount(text_of, w, m) for w in (count[numbers] > 0, plain - unit, own)]
+            ends = np.cumsum(lengths + 1)
+            symbols = np.zeros(int(ends[-1]), np.int64)
+            symbols[np.arange(len(numbers)) + text_of] = code[numbers]
+            rare = np.flatnonzero(count[numbers] < 0)
+            which, times = np.unique(text_of[rare] << 32 | numbers[rare], return_counts=True)
+            cut = np.searchsorted(which, np.arange(m + 1) << 32).astype(np.int32)
+            cut = pa.array(cut)
+            columns = [pa.concat_arrays([b.column(j).slice(i, 1) for b, i in rows]) for j in (1, 2)]
+            columns += [pa.array(np.arange(row, row + m)), pa.array(lengths + 1), pa.array(sums[0].astype(np.int64) + (lex.ends > 0)), pa.array(sums[1] + (end_log - unit)), pa.array(sums[2] + (end_log - unit_own))]
+            columns += [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(symbols)), pa.ListArray.from_arrays(cut, pa.array(hashed[which & 0xFFFFFFFF])), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32)))]
+            row += m
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            if len(memory) > most:
+                memory.clear()
+                known, (hashed, code, count, logs, lowered) = 0, (x[:0] for x in (hashed, code, count, logs, lowered))
+
+    return materialize(docs.select("t", "k", "learn").mapInArrow(run, schema), "lm-symbols")
+
+
+def _laid(batches, column: int, span: int):
+    """(batches, symbols in one array, each place's distance from its text's start, lengths) for about `span` symbols at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(column).flatten())
+        if size >= span:
+            yield _joined(held, column)
+            held, size = [], 0
+    if size or held:
+        yield _joined(held, column)
+
+
+def _joined(held: list[pa.RecordBatch], column: int):
+    symbols = np.concatenate([b.column(column).flatten().to_numpy(zero_copy_only=False) for b in held])
+    lengths = np.concatenate([np.asarray(pc.list_value_length(b.column(column))) for b in held]).astype(np.int64)
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return held, symbols, place, lengths
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers by planes of bytes, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    """The n columns of packed bytes."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).reshape(-1).view(np.int64) for p in planes]
+
+
+def count_level(table: DataFrame, length: int, seen: int, contexts: Bits | None, endings: Bits | None, parts: int) -> DataFrame:
+    """ctx, suf, key, ends, c: how often a symbol follows a context of `length` symbols, where that is `seen` times or more. suf is the
+    key of all but the first symbol. contexts, endings: runs of `length` symbols that are frequent enough, if not all are.
+    Tasks send their sums in `parts` parts by the context; a part is counted by itself, so memory is bounded by its size."""
+
+    def send(batches):
+        for _, symbols, place, _ in _laid(batches, 0, 1 << 21):
+            key = runs(symbols, length)[-1]
+            at = np.flatnonzero(place >= length)
+            if contexts is not None:
+                at = at[contexts.has(key[at - 1])]
+                at = at[endings.has(key[at])]
+            if not len(at):
+                continue
+            whole = extended(key[at - 1], symbols[at])
+            _, first, times = np.unique(whole, return_index=True, return_counts=True)
+            at = at[first]
+            columns = [symbols[at - k] for k in range(length, -1, -1)]
+            part = ((key[at - 1].view(np.uint64) * MIX[2] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((columns[1], columns[0], part))
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            columns = [c[order] for c in [*columns, times]]
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pack([c[cut[p] : cut[p + 1]] for c in columns]) for p in some], pa.binary())], names=["part", "data"])
+
+    def counted(held):
+        columns = [np.concatenate(c) for c in zip(*(unpack(x, length + 2) for x in held), strict=True)]
+        ctx, suf = columns[0], columns[1]
+        for c in columns[1:length]:
+            ctx = extended(ctx, c)
+        for c in columns[2 : length + 1]:
+            suf = extended(suf, c)
+        key = extended(ctx, columns[length])
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        c = np.bincount(at, columns[-1]).astype(np.int64)
+        first, c = first[c >= seen], c[c >= seen]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ctx[first], suf[first], key[first], columns[length][first] == 0, c)], names=["ctx", "suf", "key", "ends", "c"])
+
+    def receive(batches):
+        held, now = [], None
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and held:
+                    yield counted(held)
+                    held = []
+                held.append(data)
+                now = part
+        if held:
+            yield counted(held)
+
+    sent = table.select("symbols").mapInArrow(send, "part long, data binary").repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(receive, "ctx long, suf long, key long, ends boolean, c long")
+
+
+@dataclass
+class Tree:
+    """The fitted model. `terms` (key, length, c, entry, back) has the runs of symbols that change log10 P: by `entry` that of
+    their last symbol, in another row by `back` that of the symbol after them (null unless the run is a state)."""
+
+    depth: int
+    lexicon: Lexicon
+    terms: DataFrame
+
+    @cached_property
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and log10 probabilities of all symbols, on the driver: for small models. So are the three that follow."""
+        got = self.lexicon.root().orderBy("key").toArrow()
+        return got["key"].to_numpy(), got["lp"].to_numpy()
+
+    @property
+    def root(self) -> np.ndarray:
+        return self.names[1]
+
+    @cached_property
+    def states(self) -> list[np.ndarray]:
+        """Keys of the states, by length - 1."""
+        return [np.sort(self.terms.where((F.col("length") == k) & F.col("back").isNotNull()).select("key").toArrow()["key"].to_numpy()) for k in range(1, self.depth + 1)]
+
+    def log10(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | longest suffix that is a state), for each place of texts that follow one another. Symbols are numbers
+        (places in `names`); begins: place of each one's text start."""
+        got = self.terms.fillna(0.0).toArrow()
+        table, entry, back = summed(*(got[c].to_numpy() for c in ("key", "entry", "back")))
+        out, place = self.root[symbols].copy(), np.arange(len(symbols)) - begins
+        for length, key in enumerate(runs(self.names[0][symbols], self.depth + 1), 1):
+            at, hit = found(key, table)
+            hit &= place >= length - 1
+            out[hit] += entry[at[hit]]
+            on = np.flatnonzero(hit[:-1] & (place[1:] > 0))
+            out[on + 1] += back[at[on]]
+        return out
+
+
+def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen: int = 4, least: float = 0.0, pull: float = 64.0) -> Tree:
+    """Learns states from the symbols of all rows of table. few, seen: as the module says, the same at any scale. least: for small
+    models, contexts need that share of the tokens too. pull: how many tokens the suffix's distribution counts as."""
+    least_count = max(least * lexicon.n, few, 2)
+    spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * spread, lexicon.n >> 20)
+    above, contexts, endings, terms = broadcast_few(materialize(lexicon.root(), "lm-root"), 1 << 18), None, None, []
+    c, total, p, kept, q = (F.col(x) for x in ("c", "total", "p", "kept", "q"))
     # Level by level: candidates come from the level above, counts from all texts, the test decides what stays.
     for length in range(1, depth + 1):
-        level = count_level(texts, own, classes, candidates, length)
-        if length == 1:
-            above = materialize(level, "lm-level")  # a symbol's own log10 is cheaper joined than kept
-            level = above.withColumn("suf", F.col("sym")).join(root, "suf").select("ctx", F.xxhash64("ctx", "sym").alias("key"), (F.col("sym") == 0).alias("ends"), "c", "p")
-        else:
-            parents = made.select(F.col("key").alias("suf"), F.col("lp").alias("p"))
-            level = materialize(level.join(parents, "suf").select("ctx", F.xxhash64("ctx", "sym").alias("key"), (F.col("sym") == 0).alias("ends"), "c", "p"), "lm-level")
-            terms.append(entries_of(made, length))
-            forget(above)
-            above = level
-        c, total, p = F.col("c"), F.col("total"), F.col("p")
-        sums = level.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(c * (F.ln("c") - p * math.log(10))).alias("e"), F.count(F.lit(1)).alias("kinds"))
-        evidence = F.col("e") - total * F.ln("total")
-        stays = (total >= least_count) & (evidence > 0.5 * F.col("kinds") * F.ln(F.greatest(total, F.lit(2))))
-        states = materialize(sums.where(stays).select("ctx", "total", (F.log10(pull / (total + pull))).alias("back")), "lm-states")
+        level = materialize(count_level(table, length, seen, contexts, endings, parts), "lm-level")
+        met = materialize(level.join(above.select(F.col("key").alias("suf"), F.col("lp").alias("p")), "suf").select("ctx", "key", "ends", "c", "p"), "lm-met")
+        sums = met.groupBy("ctx").agg(F.sum("c").alias("kept"), F.sum(c * (F.ln("c") - p * math.log(10))).alias("e"), F.sum(F.pow(F.lit(10.0), p)).alias("q"), F.count(F.lit(1)).alias("kinds"))
+        sums = sums.join(above.select(F.col("key").alias("ctx"), F.col("c").alias("total")), "ctx").where(total >= least_count)
+        left, free = total - kept, F.greatest(1 - q, F.lit(1e-12))
+        evidence = F.col("e") - kept * F.ln(total) + F.when(left > 0, left * (F.ln(left / total) - F.ln(free))).otherwise(0.0)
+        back = F.when(1 - q > 1e-9, (left + pull * (1 - q)) / ((total + pull) * (1 - q))).otherwise(pull / (total + pull))
+        states = materialize(sums.where(evidence > 0.5 * F.col("kinds") * F.ln(F.greatest(total, F.lit(2)))).select("ctx", "total", F.log10(back).alias("back")), "lm-states")
         terms.append(states.select(F.col("ctx").alias("key"), F.lit(length).alias("length"), F.col("total").alias("c"), F.lit(0.0).alias("entry"), "back"))
         smoothed = F.log10((c + pull * F.pow(F.lit(10.0), p)) / (total + pull))
-        made = level.join(broadcast_few(states, 1 << 20), "ctx", "left").select("key", "ends", "c", "back", "p", F.coalesce(smoothed, p).alias("lp"))
+        made = materialize(met.join(broadcast_few(states, 1 << 18), "ctx", "left").select("key", "ends", "c", "back", "p", F.coalesce(smoothed, p).alias("lp")), "lm-made")
+        entry = made.where("back IS NOT NULL").select("key", F.lit(length + 1).alias("length"), "c", (F.col("lp") - p - F.col("back")).alias("entry"), F.lit(None).cast("double").alias("back"))
+        terms.append(entry)
+        forget(level, met)
+        above = made
         if length < depth:
-            candidates = Bits.of(made.where((c >= least_count) & ~F.col("ends")).select("key"))
-        spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of what is materialized
-    terms.append(entries_of(made, depth + 1))
-    forget(above)
-    tree.terms = reduce(DataFrame.unionByName, terms)
-    return tree, vocabulary
+            contexts, endings = Bits.of(made.where((c >= least_count) & ~F.col("ends")).select("key")), Bits.of(made.select("key"))
+    return Tree(depth, lexicon, reduce(DataFrame.unionByName, terms))
+
+
+def fit(texts: DataFrame, depth: int = 3, singles: int | None = None, classes: int = 256, few: int = 32, **how) -> Tree:
+    """Learns from all rows of texts (one column). singles: for small models, only so many words are symbols. A training set without
+    rows gives N = 0, V = 0, and even chances."""
+    lexicon = learn_words(texts, classes, few, singles)
+    table = coded(texts.select(F.col(texts.columns[0]).alias("t"), F.lit(0).alias("k"), F.lit(True).alias("learn")), lexicon)
+    return grow(table, lexicon, depth, few, **how)
 
 
-def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", head: int = 1 << 18, term_head: int = 1 << 21, **how) -> DataFrame:
+def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", head: int = 1 << 18, term_head: int = 1 << 21, classes: int = 256, few: int = 32, **how) -> DataFrame:
     """Per row of docs: key, n_tokens, n_known, train_tokens, base_score, score; learns from rows where `learn` holds.
 
     A null or empty text is its end token alone. base_score: unigrams, each word's count plus a half over N + (V + 1) / 2.
     score: log10 probability of the whole text under the tree. Rows are scored one by one even if keys repeat or are null;
-    an empty table gives no rows. head, term_head: words and runs that tasks hold, the most frequent; others are joined.
+    an empty table gives no rows. head, term_head: words and runs that tasks hold, the most frequent; others are joined. Words
+    count by a 56-bit hash: with 10**8 distinct words some tens share theirs and count together.
     """
-    tree, vocabulary = fit(docs.where(learn).select(F.col(text).alias("t")), **how)
-    n, v, own, classes, depth, end_count, unit_own = tree.n, tree.v, tree.own, tree.classes, tree.depth, tree.ends, tree.unit
-    unit = math.log10(n + 0.5 * (v + 1))
-    # What a word's log10 (count + 1/2) is lowered by: that of its class, then of the word within it.
-    classed_by = np.log10(tree.class_n + 0.5 * (tree.class_v + 1)) - (np.log10(tree.class_n + 0.5) - unit_own)
-
-    floor = head_floor(vocabulary.where("h <> 0"), head)
-    top = vocabulary.where((F.col("h") != 0) & (level_of("c") >= floor)).orderBy("h").toArrow()
-    head_hash, head_count = top["h"].to_numpy(), top["c"].to_numpy()
-    terms = tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value"))
-    term_floor = head_floor(terms, term_head)
-    top = terms.where(level_of("c") >= term_floor).select("key", "value").toArrow()
+    lexicon = learn_words(docs.where(learn).select(F.col(text).alias("t")), classes, few, None, head)
+    table = coded(docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.coalesce(learn, F.lit(False)).alias("learn")), lexicon)
+    tree = grow(table.where("learn"), lexicon, few=few, **how)
+    depth = tree.depth
+    terms = materialize(tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value")), "lm-terms")
+    floor = head_floor(terms, term_head)
+    top = terms.where(level_of("c") >= floor).select("key", "value").toArrow()
     head_key, head_value = summed(top["key"].to_numpy(), top["value"].to_numpy())
-    tail_terms = terms.where(level_of("c") < term_floor).select(F.col("key").alias("g"), "value")
-    term_bits = Bits.of(terms.select("key"))
-
-    fields = docs.select(F.col(key).alias("k")).schema
-    key_type = to_arrow_type(fields[0].dataType)
-    names = ["k", "row", "h", "g", "times", "n_tokens", "n_known", "base", "own"]
-    numbers_of = "row long, h long, g long, times int, n_tokens long, n_known long, base double, own double"
-    fields = StructType(fields.fields + StructType.fromDDL(numbers_of).fields)
+    tail_terms = terms.where(level_of("c") < floor).select(F.col("key").alias("g"), "value")
+    tail = tail_terms.count()
+    bits = Bits.of(terms.select("key"))
+    passed = ["k", "row", "n_tokens", "n_known", "base", "own"]
 
     def run(batches):
-        memory, row = Words(classes), TaskContext.get().partitionId() << 36
-        for rows, parts in _texts(batches, memory):
-            hashed, begins, lengths = _laid(parts)
-            at, hit = found(hashed, head_hash)
-            counts = np.where(hit, head_count[at] if len(head_count) else 0, -1)
-            counts[hashed == 0] = end_count
-            symbols = codes(hashed, own, classes)
-            classed = np.flatnonzero((symbols > 0) & (symbols <= classes))
-            # A rare word's count comes by the join, for both scores.
-            logs = np.where(counts < 0, 0.0, np.log10(np.maximum(counts, 0) + 0.5))
-            plain = logs - unit
-            lowered = np.full(len(logs), unit_own)
-            lowered[classed] = classed_by[symbols[classed] - 1]
-            logs -= lowered
-            rare = np.flatnonzero(counts < 0)
-            cut = np.cumsum(lengths) - lengths
-            text_of, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(symbols)) - begins
+        for held, symbols, place, lengths in _laid(batches, len(passed), 1 << 18):
+            m = len(lengths)
+            text_of, own = np.repeat(np.arange(m), lengths), np.zeros(m)
             asked_text, asked_key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for length, key_at in enumerate(runs(symbols, depth + 1), 1):
                 near = np.flatnonzero((place >= length - 1) & (symbols != 0 if length == 1 else True))
-                near = near[term_bits.has(key_at[near])]
+                near = near[bits.has(key_at[near])]
+                near = near[np.argsort(key_at[near])]  # lookups in order are quick
                 at, hit = found(key_at[near], head_key)
-                logs[near[hit]] += head_value[at[hit]]
-                near = near[~hit]
-                asked_text.append(text_of[near])
-                asked_key.append(key_at[near])
-            known = np.add.reduceat((counts > 0).astype(np.int64), cut)
-            base, score = np.add.reduceat(plain, cut), np.add.reduceat(logs, cut)
-            numbers = np.arange(row, row + len(lengths))
-            row += len(lengths)
-            m = len(lengths)
-            keys = pa.array([b.column(1)[i].as_py() for b, i in rows], key_type)
-            whole = [keys, numbers, *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32())), lengths.astype(np.int64), known, base, score]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names=names)
-            for of, (texts, what) in enumerate(((text_of[rare], hashed[rare]), (np.concatenate(asked_text), np.concatenate(asked_key)))):
-                if not len(what):
-                    continue
-                order = np.lexsort((what, texts))
-                pair = np.stack([texts[order], what[order]])
-                fresh = np.concatenate([[True], (np.diff(pair) != 0).any(axis=0)])
-                times = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-                which, m = pair[:, fresh], len(times)
-                asked = [which[1], pa.nulls(m, pa.int64())]
-                looked_up = [pa.nulls(m, key_type), numbers[which[0]], *(asked[::-1] if of else asked), times.astype(np.int32), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in looked_up], names=names)
-
-    mixed = materialize(docs.select(F.col(text).alias("t"), F.col(key).alias("k")).mapInArrow(run, fields), "lm-scores")
-    rare = mixed.where("h IS NOT NULL").select("row", "h", "times")
-    tail = vocabulary.where((F.col("h") != 0) & (level_of("c") < floor))
+                own += np.bincount(text_of[near[hit]], head_value[at[hit]], m)
+                if tail:
+                    asked_text.append(text_of[near[~hit]])
+                    asked_key.append(key_at[near[~hit]])
+            texts, what = np.concatenate(asked_text), np.concatenate(asked_key)
+            order = np.lexsort((what, texts))
+            texts, what = texts[order], what[order]
+            fresh = np.flatnonzero(np.append(True, (np.diff(texts) != 0) | (np.diff(what) != 0))[: len(what)])
+            times = np.diff(np.append(fresh, len(what)))
+            cut = pa.array(np.searchsorted(texts[fresh], np.arange(m + 1)).astype(np.int32))
+            columns = [pa.concat_arrays([b.column(j) for b in held]) for j in range(len(passed))]
+            columns[-1] = pa.array(columns[-1].to_numpy() + own)
+            columns += [pa.ListArray.from_arrays(cut, pa.array(what[fresh])), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*passed, "asked", "times"])
+
+    schema = StructType(table.select(*passed).schema.fields + StructType.fromDDL("asked array<long>, times array<int>").fields)
+    scored = materialize(table.select(*passed, "symbols").mapInArrow(run, schema), "lm-scores")
+    pair = lambda what: F.explode(F.arrays_zip(what, "times")).alias("z")
+    rare = table.where(F.size("rare") > 0).select("row", pair("rare")).select("row", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
+    words_left = lexicon.vocabulary.where((F.col("h") != 0) & (level_of("c") < lexicon.floor))
     logs = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
-    met = rare.join(tail, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"), logs.alias("own_logs"))
-    passed = mixed.where("g IS NOT NULL").select("row", "g", "times").join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs"))
-    passed = materialize(passed, "lm-passed")
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    passed = passed.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), "own_logs")
-    added = met.unionByName(passed).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "logs", "own_logs")))
-    rows = mixed.where("h IS NULL AND g IS NULL").join(added, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    met = rare.join(words_left, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"))
+    met = materialize(met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs")), "lm-rare")
+    rows = scored.select(*passed).join(met, "row", "left")
+    if tail:
+        asks = scored.where(F.size("asked") > 0).select("row", pair("asked")).select("row", F.col("z.asked").alias("g"), F.col("z.times").alias("times"))
+        more = materialize(asks.join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs")), "lm-passed")
+        rows = rows.join(more, "row", "left")
+    else:
+        rows = rows.withColumn("own_logs", F.lit(0.0))
+    forget(table)
+    plus = lambda a, *b: sum((F.coalesce(F.col(x), F.lit(0)) for x in b), F.col(a))
     return rows.select(
         F.col("k").alias(key), "n_tokens", plus("n_known", "more").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), plus("base", "logs").alias("base_score"), plus("own", "own_logs").alias("score"),
+        F.lit(lexicon.n).cast("long").alias("train_tokens"), plus("base", "logs").alias("base_score"), plus("own", "logs", "own_logs").alias("score"),
     )
