@@ -72,6 +72,42 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_hot_group_of_near_copies_equals_brute_force(spark):
+    """Copies of one text with more and more words changed share bands without end; only some of their pairs are links."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(260):
+        t = list(base)
+        for _ in range(draw.choice([1, 2, 3, 4, 6, 8, 12, 30])):
+            t[draw.randrange(len(t))] = f"x{draw.randrange(40)}"
+        rows.append((i, " ".join(t if i % 3 else [f"y{i}"] * 60 + t[:60])))
+    want, sizes = components(rows, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {k: (want[k], sizes[k]) for k in want}
+    assert 20 < len(set(want.values())) < 240
+
+
+def test_prefixes_meet_every_pair_that_is_alike(spark):
+    draw = random.Random(4)
+    sets = {i: {draw.randrange(400) for _ in range(draw.choice([1, 3, 20, 60]))} for i in range(40)}
+    sets |= {i + 40: {x for x in sets[i] if draw.random() > 0.08} or sets[i] for i in range(40)}
+    table = spark.createDataFrame([(i, i, sorted(x)) for i, x in sets.items()], "k long, c long, shingles array<long>")
+    met = table.selectExpr("k", "c", "CAST(size(shingles) AS LONG) AS n", "explode(shingles) AS h")
+    first = neardup.prefixes(met, 80)
+    got = {tuple(sorted(r)) for r in neardup.across(first, 80).distinct().collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike <= got and len(alike) > 10
+
+
+def test_rows_that_share_a_key_are_one_document(spark):
+    draw = random.Random(8)
+    a, b = (" ".join(f"{p}{draw.randrange(10**6)}" for _ in range(40)) for p in "ab")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (7, b + " more"), (8, "alone in the world"), (5, a), (9, None), (9, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (6, 5), (7, 5), (8, 8), (9, 9)}
+
+
 def test_estimate_is_near_jaccard():
     draw = np.random.default_rng(2)
     for share in (0.5, 0.8, 0.95):

@@ -237,7 +237,7 @@ def components(links: DataFrame) -> DataFrame:
 def open_part(rows: DataFrame) -> DataFrame:
     """Of (band, k, c) the rows of bands that hold more than one component."""
     mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    return rows.join(materialize(mixed, "mixed-bands"), "band")
+    return rows.join(materialize(mixed, "mixed-bands"), "band").select(*rows.columns)
 
 
 def relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
@@ -274,26 +274,37 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(met: DataFrame, percent: int) -> DataFrame:
-    """h, k, c, n, at: the first shingles of each node, by which it meets any set of another component that is like it.
+    """band (a shingle), k, c, n, at: the first shingles of each node, by which it meets any set of another component that is like it.
 
     A node's shingles are put in one order for all nodes: first those of one component only, then by df. Sets of n shingles and
-    more that are `percent` alike share one of the first n - ceil(n * percent / 100) + 1; `at` is the place, from 1."""
+    more that are `percent` alike share one of the first n - ceil(n * percent / 100) + 1; `at` is the place, from 1. The order
+    stays good when components have grown."""
     kinds = materialize(common(met), "common-shingles")
     node = Window.partitionBy("k")
     ranked = met.join(kinds, "h").withColumn("i", F.row_number().over(node.orderBy("df", "h"))).withColumn("s", F.count(F.lit(1)).over(node))
     at = F.col("n") - F.col("s") + F.col("i")
-    return ranked.withColumn("at", at).where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent).select("h", "k", "c", "n", "at")
+    return ranked.withColumn("at", at).where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent).select(F.col("h").alias("band"), "k", "c", "n", "at")
 
 
-def across(first: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that share a shingle of their prefixes, where its places leave room for `percent`.
+def _room(percent: int) -> str:
+    """Whether places a.at and b.at of a shared shingle leave room for sets that are alike. The first shingle that two sets share has
+    all others behind it, so their intersection is at most what stands from there on in either."""
+    return f"least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND least(a.n - a.at, b.n - b.at) + 1 >= (a.n + b.n) * {percent} / {100 + percent}.0D - 1e-9"
+
+
+def prefix_stars(first: DataFrame, turn: int, percent: int) -> DataFrame:
+    """As star_pairs(), by shingles of the prefixes, where their places leave room."""
+    center = first.groupBy("band").agg(F.min_by(F.struct("k", "c", "n", "at"), F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("z"))
+    center = materialize(center.select("band", "z.*"), "centers")
+    met = first.alias("a").join(center.alias("b"), "band").where(f"a.c <> b.c AND {_room(percent)}").groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("zk")).agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy(F.col("k").alias("a")).agg(F.max_by("zk", F.struct("times", -F.col("zk"))).alias("b"))
+
 
-    The first shingle that two sets share has all others behind it, so their intersection is at most what stands from there on
-    in either. The smaller set of a pair needs still fewer shingles: its size is the least that the other one can have."""
-    left, right = (first.select("h", *(F.col(x).alias(f"{x}{y}") for x in ("k", "c", "n", "at"))) for y in "ab")
-    left = left.where((F.col("na") - F.col("ata") + 1) * (100 + percent) >= 2 * percent * F.col("na"))
-    fits = f"ca <> cb AND (na < nb OR na = nb AND ka < kb) AND na * 100 >= nb * {percent} AND least(na - ata, nb - atb) + 1 >= (na + nb) * {percent} / {100 + percent}.0D - 1e-9"
-    return left.join(right, "h").where(fits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+def across(first: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that share a shingle of their prefixes, where its places leave room for `percent`. The
+    smaller set of a pair needs still fewer shingles: its size is the least that the other one can have."""
+    short = first.where((F.col("n") - F.col("at") + 1) * (100 + percent) >= 2 * percent * F.col("n"))
+    return short.alias("a").join(first.alias("b"), "band").where(f"a.c <> b.c AND (a.n < b.n OR a.n = b.n AND a.k < b.k) AND {_room(percent)}").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
 
 
 def _merged(labels: DataFrame | None, rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -308,7 +319,21 @@ def _merged(labels: DataFrame | None, rows: DataFrame, links: DataFrame) -> tupl
     else:
         fresh = moved.join(labels.select("k"), "k", "left_anti")
         labels = materialize(relabelled(labels, moved).select("k", "c").unionByName(fresh.select("k", "c")), "labels")
-    return labels, materialize(open_part(relabelled(rows, moved).select("band", "k", "c")), "open-bands")
+    return labels, materialize(open_part(relabelled(rows, moved).select(*rows.columns)), "open-bands")
+
+
+def _rounds(labels: DataFrame | None, rows: DataFrame, live: DataFrame, percent: int, stars) -> tuple[DataFrame | None, DataFrame]:
+    """_merged() by rounds of stars (rows, turn), until less than a tenth of a round's pairs are links."""
+    for turn in range(16):
+        pairs = materialize(stars(rows, turn), "star-pairs")
+        links = materialize(confirmed(pairs, live, percent), "links")
+        tried, found = pairs.count(), links.count()
+        if found:
+            labels, rows = _merged(labels, rows, links)
+        forget(pairs, links)
+        if 10 * found < tried or not found:
+            break
+    return labels, rows
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 48, rows: int = 5) -> DataFrame:
@@ -351,22 +376,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         same = materialize(same.select("doc", F.col("k").alias("a")).distinct(), "repeated-nodes")
         links = same.join(same.groupBy("doc").agg(F.min("a").alias("b")), "doc").where("a <> b").select("a", "b")
         labels, rows = _merged(labels, rows, links)
-    # Rounds of stars: cheap, and they join nearly all that belongs together. They end when they find little more.
-    for turn in range(16):
-        pairs = materialize(star_pairs(rows, turn), "star-pairs")
-        links = materialize(confirmed(pairs, live, percent), "links")
-        tried, found = pairs.count(), links.count()
-        if found:
-            labels, rows = _merged(labels, rows, links)
-        forget(pairs, links)
-        if found < 0.02 * tried or not found:
-            break
-    # What is left: nodes of different components that could still be linked, by the rarest shingles of their sets.
+    # Rounds of stars: cheap, and they join nearly all that belongs together. They end when few of their pairs are links.
+    labels, rows = _rounds(labels, rows, live, percent, star_pairs)
+    # What is left: nodes of different components that could still be linked, by the rarest shingles of their sets. Again stars
+    # first, then all pairs across components.
     met = spread(live, materialize(rows.select("k", "c").distinct(), "open-labels"))
-    first = materialize(prefixes(met, percent), "prefixes")
+    first = materialize(open_part(prefixes(met, percent)), "prefixes")
+    labels, first = _rounds(labels, first, live, percent, functools.partial(prefix_stars, percent=percent))
     pairs = materialize(across(first, percent).distinct(), "across")
     links = materialize(confirmed(pairs, live, percent), "links")
-    labels, _ = _merged(labels, rows, links)
+    labels, _ = _merged(labels, first, links)
     forget(first, pairs, links, live, rows)
     names = nodes.select("k", "least")
     ids = materialize(labels.join(names, "k").groupBy("c").agg(F.min("least").alias("id")), "component-ids")
