@@ -314,13 +314,13 @@ def coded(docs: DataFrame, lexicon: Lexicon, most: int = 400_000) -> DataFrame:
 def _laid(batches, column: int, span: int):
     """(batches, symbols in one array, each place's distance from its text's start, lengths) for about `span` symbols at a time."""
     held, size = [], 0
-    for batch in batches:
+    for batch in rows_in(batches, 4 * span):
         held.append(batch)
         size += len(batch.column(column).flatten())
         if size >= span:
             yield _joined(held, column)
             held, size = [], 0
-    if size or held:
+    if held:
         yield _joined(held, column)
 
 
@@ -348,7 +348,7 @@ def count_level(table: DataFrame, length: int, seen: int, contexts: Bits | None,
     Tasks send their sums in `parts` parts by the context; a part is counted by itself, so memory is bounded by its size."""
 
     def send(batches):
-        for _, symbols, place, _ in _laid(batches, 0, 1 << 21):
+        for _, symbols, place, _ in _laid(batches, 0, 1 << 20):
             key = runs(symbols, length)[-1]
             at = np.flatnonzero(place >= length)
             if contexts is not None:
