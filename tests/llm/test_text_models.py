@@ -65,6 +65,82 @@ def test_quality_score_is_a_sparse_dot_product():
     assert math.isclose(model.scorer()(text), 1 / (1 + math.exp(-z)), rel_tol=1e-4)
 
 
+def test_quality_looks_at_the_order_of_words():
+    make = quality.Featurizer(18)
+    a, b = (set(make.vector(t)[0].tolist()) for t in ("alpha beta gamma", "gamma beta alpha"))
+    assert a != b and len(a & b) >= 3
+
+
+def test_quality_weights_equal_ftrl_in_dictionaries(spark, some_docs):
+    labels = load(spark, "/root/testdata/sf0.001", "labels")
+    model = quality.train(some_docs, labels, F.lit(True), bits=14, epochs=2, seed=7)
+    text = {r["doc_id"]: r["text"] for r in some_docs.collect()}
+    make, rows = quality.Featurizer(14), []
+    for r in labels.where("quality IS NOT NULL").select("doc_id", "quality").distinct().collect():
+        if r["doc_id"] in text:
+            at, x = make.vector(text[r["doc_id"]])
+            rows.append((at.astype(np.int32).tobytes(), x.tobytes(), r["quality"]))
+    rows.sort()
+    alpha, beta, l1, l2, bias, ones = 2.0, 1.0, 1e-4, 1e-3, 1 << 14, sum(y for *_, y in rows)
+    z, n = Counter(), Counter()
+    z[bias] = -math.log((ones + 1) / (len(rows) - ones + 1)) * (beta / alpha + l2)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    draw = np.random.default_rng(7)
+    for _ in range(2):
+        for i in draw.permutation(len(rows)):
+            at, x, y = rows[i]
+            one = dict(zip(np.frombuffer(at, np.int32).tolist(), (np.frombuffer(x, np.float32) * np.float32(model.scale)).tolist(), strict=True)) | {bias: 1.0}
+            p = 1 / (1 + math.exp(-min(max(sum(weight(k) * v for k, v in one.items()), -30), 30)))
+            step = {k: ((p - y) * v, weight(k)) for k, v in one.items()}
+            for k, (g, w) in step.items():
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w
+                n[k] += g * g
+    want = np.array([weight(k) for k in range(bias)])
+    assert len(rows) > 50 and np.abs(want).max() > 0.01
+    assert np.allclose(model.weights, want, atol=1e-4) and math.isclose(model.bias, weight(bias), abs_tol=1e-4)
+
+
+def test_language_decoding_equals_loops(spark, some_docs):
+    model = language.train(some_docs, F.lit(True), bits=10)
+    assert len(model.languages) > 2 and model.code.shape == (len(model.languages), model.bias.size)
+    for r in some_docs.limit(80).collect():
+        lang, score, unsure, second = model.predict(r["text"])
+        if lang == language.UNDETERMINED:
+            continue
+        counts = Counter()
+        data = b" " + r["text"].encode().translate(language.FOLD) + b" "
+        for i in range(len(data)):
+            for k, shift in ((1, 0), (2, 1 << 24), (3, 77)):
+                if i + k <= len(data):
+                    whole = data[i] if k == 1 else (data[i] * 256 + data[i + k - 1] + shift)
+                    if k == 3:
+                        whole = (data[i] * 256 + data[i + 1] + (1 << 24)) * 256 + data[i + 2] + shift
+                    counts[whole % 2**32 * 2654435761 % 2**32 >> 32 - 10] += 1
+        size = math.sqrt(sum(counts.values()))
+        loss = {}
+        for name, word in zip(model.languages, model.code, strict=True):
+            total = 0.0
+            for bit, side in enumerate(word):
+                margin = float(model.bias[bit]) + sum(math.sqrt(c) / size * float(model.weights[k, bit]) for k, c in counts.items())
+                total += float(model.trust[bit]) * math.log1p(math.exp(-float(side) * margin))
+            loss[name] = total
+        order = sorted(loss, key=loss.get)
+        odds = {name: math.exp(-v) for name, v in loss.items()}
+        assert (lang, second) == (order[0], order[1]) or loss[order[1]] - loss[order[0]] < 1e-4
+        assert math.isclose(score, odds[order[0]] / sum(odds.values()), abs_tol=1e-3)
+
+
+def test_samples_are_bounded_however_often_a_key_repeats(spark):
+    docs = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('word ', id) AS text", "'en' AS lang")
+    docs = docs.unionByName(spark.range(2000).selectExpr("1 AS doc_id", "'same' AS text", "'en' AS lang"))
+    from tideline.llm.common import bounded
+
+    assert bounded(docs, 100, 1).count() == 100 and bounded(docs.where("text = 'same'"), 100, 1).count() == 1
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (99, 1)], "doc_id long, quality int")
     model = quality.train(odd_docs, labels, F.lit(True))

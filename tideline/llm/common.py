@@ -79,6 +79,17 @@ def sampled(df: DataFrame, key: str, share: Column, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
 
 
+def bounded(df: DataFrame, most: int, seed: int) -> DataFrame:
+    """df, a sample of about `most` rows by sampled(), as a written table of that many rows at most: equal rows count once (a key that
+    repeats adds no more), and beyond `most` those of least hash of all columns stay."""
+    marked = df.withColumn("_h", F.xxhash64(F.lit(seed), *df.columns)).dropDuplicates(["_h"])
+    out = materialize(marked, "sample")
+    if out.count() > most:
+        last = out.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+        out = out.where(F.col("_h") <= last)
+    return out.drop("_h")
+
+
 def map_text(df: DataFrame, text: str, added: str, make, keep=None) -> DataFrame:
     """Adds columns computed from whole texts, a batch at a time.
 

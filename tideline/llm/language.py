@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_text, rows_in, sampled
+from tideline.llm.common import bounded, map_text, rows_in, sampled
 
 UNDETERMINED = "und"
 #: ASCII letters in lower case; all other ASCII is a space; bytes of other letters stay.
@@ -89,8 +89,8 @@ class LanguageModel:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most_rows: int = 4000, bits: int = 12, epochs: int = 12, close: float = 0.2, seed: int = 1) -> LanguageModel:
     """Learns from text and non-null language of the rows where `learn` holds.
 
-    The sample is bounded: each of L languages gives about most_rows / L rows, picked by a seeded hash; one count of
-    each language over all rows sets the shares. Features of the sample (2**bits half floats a row) go to the driver.
+    The sample is bounded: each of L languages gives about most_rows / L rows, picked by a seeded hash, equal rows once, and all
+    together a quarter more than most_rows at most; one count of each language over all rows sets the shares. Features of the sample (2**bits half floats a row) go to the driver.
     No labelled rows: a model without languages, which answers `und` to everything.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -110,7 +110,8 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                 made = [features(t, bits).astype(np.float16).tobytes() for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["lang", "x"])
 
-    picked = sampled(known, key, share, seed).select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "lang string, x binary").toArrow()
+    picked = bounded(sampled(known, key, share, seed).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), most_rows + most_rows // 4, seed)
+    picked = picked.select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
     order = sorted(range(picked.num_rows), key=lambda i: (picked["x"][i].as_py(), picked["lang"][i].as_py()))
     x = np.frombuffer(b"".join(picked["x"][i].as_py() for i in order), dtype=np.float16).reshape(len(order), 1 << bits)
     place = {name: i for i, name in enumerate(languages)}

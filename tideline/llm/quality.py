@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 A word gives two tokens: itself, and its shape (runs of capitals, small letters and digits become X, x and 9, runs of a
-sign one sign). Features are hashed words, hashed 1- to 3-grams of shapes, and whether a word bigram repeats; their values are shares of the text, so
-that long and short texts are alike. A text's score is a sparse dot product: weights taken at its features.
+sign one sign). Features are hashed 1- to 3-grams of words, hashed 1- to 3-grams of shapes, and whether a word bigram repeats;
+their values are shares of the text, so that long and short texts are alike. A text's score is a sparse dot product: weights
+taken at its features.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_text, rows_in, sampled
+from tideline.llm.common import bounded, map_text, rows_in, sampled
 
 RUNS = re.compile(r"(.)\1+", re.S)
 SPAN = 1 << 18  # words of a text worked on at a time
@@ -61,13 +62,16 @@ class Featurizer:
             one = code >> np.uint64(32)
             two = one[:-1] * np.uint64(1000003) + one[1:]
             three = two[:-1] * np.uint64(1000003) + one[2:]
+            word = code & np.uint64(0xFFFFFFFF)
+            words2 = word[:-1] * np.uint64(1000003) + word[1:]
+            words3 = words2[:-1] * np.uint64(1000003) + word[2:]
             pair = (code[:-1] * np.uint64(1000003) + code[1:])[max(back - 1, 0) :]
             again = np.ones(len(pair), np.uint64)  # word bigrams that the text has had before
             kinds_of_pair, first = np.unique(pair, return_index=True)
             again[first] = np.isin(kinds_of_pair, earlier) if len(earlier) else 0
             if at + SPAN < len(words):
                 earlier = np.union1d(earlier, kinds_of_pair)
-            kinds = ((code[back:] & np.uint64(0xFFFFFFFF), 1), (one[back:], 2), (two[max(back - 1, 0) :], 3), (three, 4), (again, 5))
+            kinds = ((word[back:], 1), (one[back:], 2), (two[max(back - 1, 0) :], 3), (three, 4), (again, 5), (words2[max(back - 1, 0) :], 6), (words3, 7))
             yield [((k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03 * n & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)) >> top for k, n in kinds]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +128,16 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", label: str = "quality", key: str = "doc_id", most_rows: int = 4000, bits: int = 18, epochs: int = 4, seed: int = 7) -> QualityModel:
     """Learns label 0 or 1 from the texts of rows where `learn` (over the key) holds.
 
-    Bounded sample: about most_rows labelled rows, picked by a seeded hash of the key on both sides of the join, so that
-    neither side is shuffled whole. Rows with a null key or label don't count; of a key's several labels all count. With no labelled
-    rows the model says 0.5; with one class, near that class's share.
+    Bounded sample: about most_rows labelled rows (a quarter more at most), picked by a seeded hash of the key on both sides of the join,
+    so that neither side is shuffled whole. Rows with a null key or label don't count, equal rows count once; of a key's several
+    labels all count. With no labelled rows the model says 0.5; with one class, near that class's share.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
     n = marked.count()
     share = F.lit(min(1.0, most_rows / max(n, 1)))
     some = sampled(docs.where(learn), key, share, seed).select(key, text)
-    pairs = some.join(sampled(marked, key, share, seed), key).select(text, F.col(label).cast("int").alias("y"))
+    pairs = some.join(sampled(marked, key, share, seed), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    pairs = bounded(pairs, most_rows + most_rows // 4, seed).select("t", "y")
 
     def run(batches):
         make = Featurizer(bits)
@@ -144,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     got = pairs.mapInArrow(run, "y int, at binary, x binary").toArrow()
     rows = sorted(zip(got["at"].to_pylist(), got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
     ones = sum(y for *_, y in rows)
-    scale, prior = 30.0, float(np.log((ones + 1) / (len(rows) - ones + 1)))
+    scale, prior = 100.0, float(np.log((ones + 1) / (len(rows) - ones + 1)))
     leader, draw = Ftrl((1 << bits) + 1), np.random.default_rng(seed)
     leader.z[-1] = -prior * (leader.beta / leader.alpha + leader.l2)  # the bias starts at the class shares
     for _ in range(epochs):
