@@ -184,6 +184,42 @@ def test_edmd_of_a_sine(spark):
         whole.predict(tsc.initial_states(1))
 
 
+def test_stepwise_prediction_with_control(spark):
+    """Stepwise and plain prediction agree for a linear system with control; the plan of a step reads two folders at most."""
+    draw = np.random.default_rng(1)
+    rows, x = [], np.zeros(4)
+    for k in range(12):
+        u = draw.normal(size=4)
+        rows += [(i, k, float(x[i]), float(u[i])) for i in range(4)]
+        x = 0.8 * x + 0.5 * u + 0.1
+    df = spark.createDataFrame(rows, "id long, time long, x double, u double")
+    state, control = Collection.of(df, features=["x"]), Collection.of(df, features=["u"])
+    made = []
+    for stepwise in (False, True):
+        model = edmd.Edmd([transformers.Identity(const=True)], dynamics.ControlDmd(), stepwise=stepwise).fit(state, control.drop_last(1))
+        made.append(model.reconstruct(state, control).df.orderBy("id", "time").toPandas())
+    want = state.df.orderBy("id", "time").toPandas()
+    assert all(np.allclose(m[["time", "x"]], want[["time", "x"]], atol=1e-6) for m in made)
+
+
+def test_controls_need_the_keys_of_the_states(spark):
+    df = spark.createDataFrame([(0, k, float(k % 3), 1.0) for k in range(8)], "id long, time long, x double, u double")
+    state, control = Collection.of(df, features=["x"]), Collection.of(df.where("time <> 3"), features=["u"])
+    for model in (dynamics.ControlDmd(), dynamics.AffineDmd()):
+        with pytest.raises(CollectionError):
+            model.fit(state, control, delta=1.0)
+
+
+def test_box_programme_that_does_not_end_is_an_error():
+    with pytest.raises(linalg.NumericalError):
+        linalg.box_qp(np.array([[2.0, 0.3], [0.3, 5.0]]), np.array([-7.0, 3.0]), np.full(2, -9.0), np.full(2, 9.0), rounds=3)
+
+
+def test_bandwidths_need_a_negative_coefficient(spark):
+    with pytest.raises(ValueError):
+        kernels.variable_bandwidth(cloud(spark, np.zeros((3, 1))), 1.0, 2, 1.0, 0.5)
+
+
 def test_grid_search(spark):
     tsc, _ = linear_data(spark, A, n=4)
     best, value, tried = edmd.grid_search(lambda rank: edmd.Edmd([], dynamics.Dmd(rank=rank)), {"rank": [1, 2]}, tsc, {"kind": "series", "k": 2}, workers=2)

@@ -139,6 +139,8 @@ def box_qp(h: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, g: n
         gap, z = np.abs(fresh - z).max(initial=0), fresh
         if k % 10 == 9 and max(gap, np.abs(x @ a.T - z).max(initial=0)) < tol * max(1.0, np.abs(z).max(initial=0)):
             break
+    else:
+        raise NumericalError(f"no solution after {rounds} rounds: the last step was {gap:.2g}")
     x = np.clip(x, low, high)
     return x if many else x[0]
 

@@ -246,6 +246,12 @@ class GeneratorDmd(Model):
         return self
 
 
+def _all_met(found: int, wanted: int) -> None:
+    """Controls are needed, once, at each time of a state that is learnt from."""
+    if found != wanted:
+        raise CollectionError(f"controls don't have the keys of the states: {found} rows meet one of {wanted}")
+
+
 @dataclass
 class ControlDmd(Model):
     """x+ = A x + B u."""
@@ -257,7 +263,8 @@ class ControlDmd(Model):
         self.controls = list(control.features)
         pairs = shift_pairs(tsc).join(control.df.select(F.col(control.id).alias(tsc.id), F.col(control.time).alias(tsc.time), *self.controls), [tsc.id, tsc.time])
         d, m = len(self.features), len(self.controls)
-        both, _ = gram.matrix(pairs, self.features + self.controls + [f"{f}_next" for f in self.features])
+        both, n = gram.matrix(pairs, self.features + self.controls + [f"{f}_next" for f in self.features])
+        _all_met(n, shift_pairs(tsc).count())
         ab = least_squares(both[: d + m, : d + m], both[: d + m, d + m :], self.rcond)
         self.system = LinearSystem(ab[:, :d], "flowmap", "matrix", self.delta, control=ab[:, d:])
         return self
@@ -275,10 +282,12 @@ class AffineDmd(Model):
         self._begin(tsc, delta)
         self.controls = list(control.features)
         dots = finite_difference(tsc, self.delta, self.scheme, 1, self.accuracy, suffix="_dot")
-        rows = tsc.join_features(dots).join_features(control).df
+        known = tsc.join_features(dots)
+        rows = known.join_features(control).df
         rows, products = gram.kronecker(rows, self.features, self.controls)
         d, m = len(self.features), len(self.controls)
-        both, _ = gram.matrix(rows, self.features + products + [f"{f}_dot" for f in self.features])
+        both, n = gram.matrix(rows, self.features + products + [f"{f}_dot" for f in self.features])
+        _all_met(n, known.df.count())
         ab = least_squares(both[: d + d * m, : d + d * m], both[: d + d * m, d + d * m :], self.rcond)
         self.system = LinearSystem(ab[:, :d], "differential", "matrix", self.delta, control=ab[:, d:].reshape(d, m, d).transpose(1, 0, 2), affine=True)
         return self

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.vectors import dot, fold, sqeuclidean
+from tideline.operators.collection import Collection
 from tideline.operators.distance import distances, full
+from tideline.operators.windows import finite_difference
 
 
 @dataclass(frozen=True)
@@ -65,10 +67,9 @@ BY_NAME: dict[str, Callable[..., Kernel]] = {k.__name__: k for k in (gaussian, m
 
 def kth_distance(distance: DataFrame, k: int, out: str = "dk") -> DataFrame:
     """Per query the k-th smallest distance, its own zero included; rows with fewer have none."""
-    nearest = F.element_at(F.array_sort(F.collect_list("d")), F.when(F.count(F.lit(1)) >= k, F.lit(k)))
     from tideline.operators.distance import nearest as best
 
-    return best(distance, k).groupBy("i").agg(nearest.alias(out)).where(F.col(out).isNotNull())
+    return best(distance, k).groupBy("i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias(out)).where(F.col(out).isNotNull())
 
 
 def continuous_knn(distance: DataFrame, k: int = 10, delta: float = 1.0, reference: DataFrame | None = None) -> DataFrame:
@@ -145,27 +146,57 @@ def mahalanobis(x: DataFrame, inverse_covariances: DataFrame, epsilon: float) ->
     return pairs.select("i", "j", F.exp(-(F.lit(0.5) * (form("ci") + form("cj"))) / F.lit(2 * epsilon)).alias("w"))
 
 
+def flow(tsc: Collection, delta: float, accuracy: int = 2) -> DataFrame:
+    """Collections as states with velocities (id, time, point_id, x, v): central differences, at the stencil's last sample; rows near a
+    series' beginning have none and are left out. point_id is a hash of id and time."""
+    moves = finite_difference(tsc, delta, "center", 1, accuracy, shift_index=True, suffix="_dot")
+    both = tsc.df.join(moves.df, [tsc.id, tsc.time])
+    x, v = (F.array(*(F.col(f"{f}{s}") for f in tsc.features)) for s in ("", "_dot"))
+    return both.select(tsc.id, tsc.time, F.xxhash64(tsc.id, tsc.time).alias("point_id"), x.alias("x"), v.alias("v"))
+
+
 def cone(states: DataFrame, zeta: float, epsilon: float, delta: float) -> DataFrame:
-    """Time-aware kernel of states with velocities (point_id, x, v): near along the flow, less so across it."""
-    left = states.select(F.col("point_id").alias("i"), F.col("x").alias("xi"), F.col("v").alias("vi"))
-    right = states.select(F.col("point_id").alias("j"), F.col("x").alias("xj"), F.col("v").alias("vj"))
-    pairs = left.crossJoin(right).withColumn("g", F.zip_with("xi", "xj", lambda a, b: a - b))
+    """Time-aware kernel of states with velocities (point_id, x, v): near along the flow, less so across it.
+
+    The cosine of a velocity with the difference of two states counts as 0 where either is (nearly) zero; a pair with a velocity of
+    zero has the kernel value 1. All pairs are formed: for small clouds."""
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    angle = lambda v: F.cos(F.coalesce(F.try_divide(dot(F.col("g"), F.col(v)), norm("g") * norm(v)), F.lit(1.0)))
-    shrink = F.sqrt((F.lit(1.0) - zeta * angle("vi") * angle("vi")) * (F.lit(1.0) - zeta * angle("vj") * angle("vj")))
-    far = sqeuclidean(F.col("xi"), F.col("xj")) * shrink
-    return pairs.select("i", "j", F.exp(-far / (F.lit(epsilon * delta * delta) * norm("vi") * norm("vj"))).alias("w"))
+    sized = states.withColumn("s", norm("v"))
+    left, right = (sized.select(F.col("point_id").alias(k), *(F.col(c).alias(f"{c}{k}") for c in "xvs")) for k in "ij")
+    pairs = left.crossJoin(right).withColumn("g", F.zip_with("xi", "xj", lambda a, b: a - b)).withColumn("d", norm("g"))
+
+    def shrink(k: str) -> Column:
+        size = F.col(f"s{k}") * F.col("d")
+        angle = F.cos(F.when(size > 1e-14, dot(F.col(f"v{k}"), F.col("g")) / size).otherwise(0.0))
+        return F.lit(1.0) - F.lit(zeta) * angle * angle
+
+    shrunk = F.sqrt(shrink("i") * shrink("j")) if zeta else F.lit(1.0)
+    factor = F.coalesce(F.try_divide(shrunk, F.col("si") * F.col("sj") * F.lit(float(epsilon * delta * delta))), F.lit(0.0))
+    return pairs.select("i", "j", F.exp(-F.col("d") * F.col("d") * factor).alias("w"))
 
 
 def variable_bandwidth(x: DataFrame, epsilon: float, k: int, dimension: float, beta: float) -> tuple[DataFrame, DataFrame]:
-    """Kernel with a bandwidth for each point from a k-nearest-neighbour density: (edges, (i, rho)). For some thousand points."""
+    """Kernel with a bandwidth for each point from a k-nearest-neighbour density, and divided by the density that it implies:
+    (edges, (i, rho, q)). For some thousand points.
+
+    The pilot bandwidth is relative to its mean, whose square is the pilot scale; so is rho = q0**beta to its own mean. The power of
+    the density is -dimension / 4, which with beta has to give a negative drift coefficient."""
+    alpha = -dimension / 4
+    if (c2 := 0.5 - 2 * alpha + 2 * dimension * alpha + dimension * beta / 2 + beta) >= 0:
+        raise ValueError(f"dimension {dimension} and beta {beta} give {c2}, which isn't negative")
     d2 = full(x, metric="sqeuclidean")
     rho0 = nearest_mean(d2, k)
-    pairs = d2.join(rho0.select("i", F.col("rho0").alias("a")), "i").join(rho0.select(F.col("i").alias("j"), F.col("rho0").alias("b")), "j")
-    q0 = pairs.groupBy("i").agg((F.sum(F.exp(-F.col("d") / (2 * epsilon * F.col("a") * F.col("b")))) * F.lit((2 * math.pi * epsilon) ** (-dimension / 2)) / F.pow(F.first("a"), F.lit(dimension)) / F.count(F.lit(1))).alias("q0"))
-    rho = q0.select("i", F.pow("q0", F.lit(beta)).alias("rho"))
+    mean0 = rho0.agg(F.avg("rho0")).first()[0]
+    # exp(-d / (2 eps0 a b)) with eps0 = mean0**2 and a, b relative to the mean: the means cancel.
+    q0 = d2.join(rho0.withColumnRenamed("rho0", "a"), "i").join(rho0.select(F.col("i").alias("j"), F.col("rho0").alias("b")), "j")
+    q0 = q0.groupBy("i").agg((F.sum(F.exp(-F.col("d") / (2 * F.col("a") * F.col("b")))) * F.lit((2 * math.pi * mean0 * mean0) ** (-dimension / 2)) / F.pow(F.first("a"), F.lit(float(dimension))) / F.count(F.lit(1))).alias("q0"))
+    rho = q0.select("i", F.pow("q0", F.lit(float(beta))).alias("rho"))
+    mean = rho.agg(F.avg("rho")).first()[0]
+    rho = rho.select("i", (F.col("rho") / F.lit(mean)).alias("rho"))
     joined = d2.join(rho.withColumnRenamed("rho", "a"), "i").join(rho.select(F.col("i").alias("j"), F.col("rho").alias("b")), "j")
-    return joined.select("i", "j", F.exp(-F.col("d") / (4 * epsilon * F.col("a") * F.col("b"))).alias("w")), rho
+    edges = joined.select("i", "j", "a", F.exp(-F.col("d") / (4 * epsilon * F.col("a") * F.col("b"))).alias("w"))
+    q = edges.groupBy("i").agg((F.sum("w") / F.pow(F.first("a"), F.lit(float(dimension)))).alias("q"))
+    return divide(edges.select("i", "j", "w"), q.select("i", F.pow("q", F.lit(alpha)).alias("q"))), rho.join(q, "i")
 
 
 def nearest_mean(d2: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from copy import deepcopy
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.linalg import least_squares, spectrum
@@ -19,6 +19,7 @@ from tideline.operators.collection import Collection, CollectionError
 from tideline.operators.dynamics import ControlDmd, Dmd, Model
 from tideline.operators.splits import splits
 from tideline.operators.windows import finite_difference, shift_pairs, takens
+from tideline.plans.session import shared_folder
 from tideline.plans.transformers import Identity, Pipeline, Principal, Transformer
 
 
@@ -70,6 +71,8 @@ class Edmd:
         self.model.features, self.model.delta = self.names, self.delta
         self.model.fit_gram(self.sums[:d, :d], self.sums[:d, d:], self.sums[d:, d:])
         self.n_samples_ic = checked.row["most_n"] - lifted.n_timesteps().agg(F.max("n_timesteps")).first()[0] + 1
+        if missing := [f for f in self.features if f not in self.names]:
+            raise CollectionError(f"the dictionary of a model in batches has no {missing}: the way back would need all batches")
         self.back = np.eye(d)[[self.names.index(f) for f in self.features]]
         return self
 
@@ -112,28 +115,39 @@ class Edmd:
             raise CollectionError(f"initial conditions have {self.n_samples_ic} samples")
         times = [0.0, self.delta] if times is None else list(times)
         names = list(qois or self.features)
-        if self.stepwise and control is None:
-            return self._stepwise(initial, times, names)
+        if self.stepwise:
+            return self._stepwise(initial, times, names, control)
         lifted = self.transform(initial).final_states(1)
         back = self.back[[self.features.index(q) for q in names]]
         made = self.model.predict(lifted, times, control, modes=back)
         return made.with_df(made.df.select(made.id, made.time, *(F.col(f"mode{k}").alias(n) for k, n in enumerate(names))), names)
 
-    def _stepwise(self, initial: Collection, times: Sequence[float], names: Sequence[str]) -> Collection:
+    def _stepwise(self, initial: Collection, times: Sequence[float], names: Sequence[str], control: Collection | None = None) -> Collection:
+        """A step at a time: lift the last n_samples_ic rows, step, go back. Each step is a table in the shared folder, so a plan reads
+        two folders however many steps there are. control: from a series' last initial time on."""
         steps = round(times[-1] / self.delta)
         if any(abs(t / self.delta - round(t / self.delta)) > 1e-9 for t in times):
             raise CollectionError("stepwise prediction moves in whole steps")
-        now = initial.with_df(initial.df.withColumn(initial.time, F.col(initial.time).cast("double")))
-        origin = now.df.groupBy(now.id).agg(F.max(now.time).alias("_t0"))
-        found = now.final_states(1).df
-        for _ in range(steps):
-            step = self.model.predict(self.transform(now).final_states(1), [self.delta], modes=self.back)
-            step = step.df.select(step.id, step.time, *(F.col(f"mode{k}").alias(n) for k, n in enumerate(self.features)))
-            found = found.unionByName(step)
-            now = now.with_df(now.df.unionByName(step)).final_states(self.n_samples_ic)
-        whole = F.round((F.col(now.time) - F.col("_t0")) / self.delta).cast("long")
-        kept = found.join(F.broadcast(origin), now.id).where(whole.isin([round(t / self.delta) for t in times])).drop("_t0")
-        return now.with_df(kept.select(now.id, now.time, *names), names)
+        i, t, n, spark = initial.id, initial.time, self.n_samples_ic, initial.spark
+        root = shared_folder(spark, "stepwise")
+        at = F.row_number().over(Window.partitionBy(i).orderBy(F.desc(t)))
+        begin = initial.df.select(i, F.col(t).cast("double").alias(t), *self.features, (1 - at).cast("long").alias("_step"))
+        begin.write.parquet(f"{root}/begin")
+        read = lambda folders: spark.read.schema(begin.schema).parquet(*(f"{root}/{x}" for x in folders))
+        for k in range(1, steps + 1):
+            folders = [*(["begin"] if k <= n else []), *range(max(1, k - n), k)]
+            now = initial.with_df(read(folders).where(F.col("_step") >= k - n).drop("_step"), self.features)
+            lifted = self.transform(now).final_states(1)
+            if control is None:
+                step = self.model.predict(lifted, [self.delta], modes=self.back).df
+            else:
+                held = control.df.join(lifted.df.select(F.col(i).alias(control.id), F.col(t).alias("_from")), control.id)
+                held = control.with_df(held.where(F.col(control.time) >= F.col("_from") - 1e-9 * self.delta).drop("_from"))
+                made = self.model.predict(lifted, [0.0, self.delta], held, modes=self.back)
+                step = made.final_states(1).df
+            step.select(i, t, *(F.col(f"mode{j}").alias(f) for j, f in enumerate(self.features)), F.lit(k).cast("long").alias("_step")).write.parquet(f"{root}/{k}")
+        kept = read(["begin", *range(1, steps + 1)]).where(F.col("_step").isin([round(x / self.delta) for x in times]))
+        return initial.with_df(kept.select(i, t, *names), names)
 
     def reconstruct(self, tsc: Collection, control: Collection | None = None) -> Collection:
         n = tsc.n_timesteps().agg(F.max("n_timesteps")).first()[0] - self.n_samples_ic + 1

@@ -228,6 +228,10 @@ class RadialBasis(Transformer):
             self.points = np.array(rows.select(*self.names_in).toArrow().to_pandas(), float)
         else:
             self.points = np.asarray(self.centers, float)
+        out = self.transform(tsc)
+        joined, m = out.join_features(tsc), len(self.points)
+        both, _ = gram.matrix(joined.df, joined.features)
+        self.back = least_squares(both[:m, :m], both[:m, m:])
         return self
 
     def transform(self, tsc):
@@ -238,13 +242,7 @@ class RadialBasis(Transformer):
             for g in gaps[1:]:
                 d2 = d2 + g * g
             columns.append(self.kernel.of(d2 if self.kernel.metric == "sqeuclidean" else F.sqrt(d2)))
-        out = self.project(tsc, columns, [f"rbf{i}" for i in range(len(columns))])
-        if not hasattr(self, "back"):
-            joined = out.join_features(tsc)
-            both, _ = gram.matrix(joined.df, joined.features)
-            m = len(columns)
-            self.back = least_squares(both[:m, :m], both[:m, m:])
-        return out
+        return self.project(tsc, columns, [f"rbf{i}" for i in range(len(columns))])
 
     def inverse(self, tsc):
         return self.project(tsc, [linear([F.col(f) for f in tsc.features], row.tolist()) for row in self.back], self.names_in)

@@ -167,9 +167,9 @@ def tsc_transpose(s, d):
     return events(s, d).transpose()
 
 
-@query(f"WITH {EVENTS} SELECT id FROM t GROUP BY id HAVING count(*) = 1")
+@query(f"WITH {ORDERS} SELECT id FROM t GROUP BY id HAVING count(*) = 1")
 def tsc_degenerate_ids(s, d):
-    return checks.degenerate_ids(events(s, d))
+    return checks.degenerate_ids(orders(s, d)[0])
 
 
 @query(f"WITH {EVENTS} SELECT time, count(*) AS n FROM t GROUP BY time HAVING count(*) > 1")
@@ -177,9 +177,11 @@ def tsc_overlap_check(s, d):
     return checks.overlapping_times(events(s, d))
 
 
-@query(f"WITH {EVENTS} SELECT id, time, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id AS id, CAST(date_diff('day', TIMESTAMP '2000-01-01', ts) AS BIGINT) AS time, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def tsc_duplicate_check(s, d):
-    return checks.duplicates(events(s, d))
+    """Events by day: a user's days with several events repeat a key."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date")).cast("long")
+    return checks.duplicates(Collection.of(table(s, d, "events").select(F.col("user_id").alias("id"), day.alias("time"), "value"), features=["value"]))
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT id, time - lag(time) OVER ({ID}) AS step, time FROM t), p AS (SELECT id, count(*) n, min(step) lo, max(step) hi FROM s GROUP BY id)
@@ -191,9 +193,9 @@ def tsc_const_delta_check(s, d):
     return one_row(s, n_series=row["n_series"], n_rows=row["n_rows"], least_n=row["least_n"], most_n=row["most_n"], equal_length=tsc.equal_length, const_delta=tsc.const_delta, n_times=row["n_times"], has_degenerate=tsc.has_degenerate)
 
 
-@query(f"WITH {EVENTS}, i AS (SELECT DISTINCT id FROM t), w AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey <= 100) SELECT id, 'collection' AS \"where\" FROM i WHERE id NOT IN (SELECT id FROM w) UNION ALL SELECT id, 'wanted' FROM w WHERE id NOT IN (SELECT id FROM i)")
+@query(f"WITH {EVENTS}, i AS (SELECT DISTINCT id FROM t), w AS (SELECT DISTINCT c_custkey AS id FROM customer) SELECT id, 'collection' AS \"where\" FROM i WHERE id NOT IN (SELECT id FROM w) UNION ALL SELECT id, 'wanted' FROM w WHERE id NOT IN (SELECT id FROM i)")
 def tsc_required_ids(s, d):
-    return checks.missing_ids(events(s, d), table(s, d, "customer").where("c_custkey <= 100").select("c_custkey"))
+    return checks.missing_ids(events(s, d), table(s, d, "customer").select("c_custkey"))
 
 
 @query(f"WITH {EVENTS}, k AS (SELECT 0 AS f, id, time, value, hr FROM t WHERE id <= 50 UNION ALL SELECT 1, id, time, value, hr FROM t WHERE id > 20) SELECT CAST(dense_rank() OVER (ORDER BY f, id) - 1 AS BIGINT) AS id, time, value, hr FROM k")
@@ -208,10 +210,10 @@ def tsc_insert(s, d):
     return tsc.insert(tsc.cross_section(1)).df
 
 
-@query(f"WITH {EVENTS} SELECT CAST(dense_rank() OVER (ORDER BY id) - 1 AS BIGINT) AS id, time, value, hr FROM t WHERE id % 3 = 1")
+@query(f"WITH {EVENTS} SELECT CAST(dense_rank() OVER (ORDER BY id) - 1 AS BIGINT) AS id, time, value, hr FROM t")
 def tsc_assign_ids_sequential(s, d):
     tsc = events(s, d)
-    return tsc.with_df(tsc.df.where("id % 3 = 1")).assign_ids_sequential().df
+    return tsc.with_df(tsc.df.withColumn("id", F.col("id") * 3 + 1)).assign_ids_sequential().df
 
 
 @query(f"WITH {EVENTS}, o AS (SELECT id, min(time) a, max(time) b, count(*) n FROM t GROUP BY id) SELECT id, n AS n_timesteps, a AS start, b AS \"end\", CASE WHEN n > 1 THEN 1 END AS delta, min(id) OVER (PARTITION BY a, b, n > 1) AS \"group\" FROM o")
@@ -410,13 +412,19 @@ def radial_basis(s, d):
     return rounded(made.df, made.features)
 
 
-@query()
+@query(f"""WITH {EVENTS}, m AS (SELECT avg(value) AS mv, avg(hr) AS mh, var_samp(value) AS a, covar_samp(value, hr) AS b, var_samp(hr) AS c FROM t),
+l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS top FROM m), w AS (SELECT *, sqrt(b * b + (top - a) * (top - a)) AS size FROM l)
+SELECT id, time, round(abs(((value - mv) * b + (hr - mh) * (top - a)) / size), 5) AS pca0 FROM t, w""")
 def principal_components(s, d):
+    """The first principal component; its sign is free, so sizes are compared."""
     made = transformers.Principal(1).fit_transform(events(s, d))
-    return rounded(made.df, made.features)
+    return made.df.select("id", "time", F.round(F.abs(made.features[0]), 5).alias("pca0"))
 
 
-@query()
+_WAVES = np.random.default_rng(1).normal(0, 0.1, (2, 2)).tolist()
+
+
+@query(f"WITH {EVENTS} SELECT id, time, " + ", ".join(f"round({f}({a!r} * value + {b!r} * hr), 6) + 0.0 AS {f}{k}" for f in ("sin", "cos") for k, (a, b) in enumerate(_WAVES)) + " FROM t")
 def fourier_features(s, d):
     made = transformers.FourierFeatures(2, 10.0).fit_transform(events(s, d))
     return rounded(made.df, made.features)
@@ -483,9 +491,11 @@ _kernel("kern_cubic", kernels.cubic(), "d * d * d")
 _kernel("kern_quintic", kernels.quintic(), "d * d * d * d * d")
 
 
-@query(f"{EDGE}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM e), q AS (SELECT i, d AS dk FROM n WHERE k = 10) SELECT e.i, e.j, true AS w FROM e JOIN q a ON a.i = e.i JOIN q b ON b.i = e.j WHERE e.d / sqrt(a.dk * b.dk) < 0.9")
+@query(f"WITH {CLOUD}, e AS (SELECT i, j, sqrt(d2) AS d FROM (SELECT a.point_id AS i, b.point_id AS j, {D2} AS d2 FROM c a, c b)), q AS (SELECT i, list_sort(min(d, 10))[10] AS dk FROM e GROUP BY i) SELECT e.i, count(*) AS n, min(e.j) AS least, max(e.j) AS most, CAST(sum(e.j) AS BIGINT) AS total FROM e JOIN q a ON a.i = e.i JOIN q b ON b.i = e.j WHERE e.d / sqrt(a.dk * b.dk) < 0.9 GROUP BY e.i")
 def kern_cknn(s, d):
-    return kernels.continuous_knn(distance.distances(cloud(s, d), plan="full"), 10, 0.9)
+    """Of each point's neighbours by continuous k-NN: how many, the first, the last and the sum of their numbers."""
+    edges = kernels.continuous_knn(distance.distances(cloud(s, d), plan="full"), 10, 0.9)
+    return edges.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("least"), F.max("j").alias("most"), F.sum("j").alias("total"))
 
 
 GAUSS = f"{EDGE}, g AS (SELECT i, j, exp(-d2 / 1.4) AS w FROM e), q AS (SELECT i, sum(w) AS q FROM g GROUP BY i)"
@@ -517,6 +527,37 @@ def kern_landmark(s, d):
     return _summed(kernels.landmark(kernels.gaussian(0.7)(x.where("point_id % 4 = 0"), x, plan="full"))[0])
 
 
+SUPPLY = "t AS (SELECT CAST(s_nationkey AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS time, CAST(s_acctbal AS DOUBLE) / 1000 AS a, CAST(s_suppkey % 10 AS DOUBLE) AS b FROM supplier)"
+
+
+def supply(spark: SparkSession, d: str) -> Collection:
+    """A series for each nation: its suppliers in order of number."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    df = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("id"), (F.row_number().over(w) - 1).cast("long").alias("time"), (F.col("s_acctbal").cast("double") / 1000).alias("a"), (F.col("s_suppkey") % 10).cast("double").alias("b"))
+    return Collection.of(df, features=["a", "b"])
+
+
+@query(f"""WITH {SUPPLY}, f AS (SELECT id * 100000 + time AS p, a, b, (a - lag(a, 2) OVER ({ID})) / 2 AS va, (b - lag(b, 2) OVER ({ID})) / 2 AS vb FROM t QUALIFY va IS NOT NULL), v AS (SELECT *, sqrt(va * va + vb * vb) AS s FROM f),
+e AS (SELECT i.p AS i, i.va * (i.a - j.a) + i.vb * (i.b - j.b) AS ni, j.va * (i.a - j.a) + j.vb * (i.b - j.b) AS nj, i.s AS si, j.s AS sj, sqrt((i.a - j.a) * (i.a - j.a) + (i.b - j.b) * (i.b - j.b)) AS d FROM v i, v j),
+c AS (SELECT *, cos(CASE WHEN si * d > 1e-14 THEN ni / (si * d) ELSE 0 END) AS ci, cos(CASE WHEN sj * d > 1e-14 THEN nj / (sj * d) ELSE 0 END) AS cj FROM e),
+w AS (SELECT i, exp(-d * d * CASE WHEN si * sj = 0 THEN 0 ELSE sqrt((1 - 0.9 * ci * ci) * (1 - 0.9 * cj * cj)) / (si * sj * 2.0) END) AS w FROM c) SELECT i, count(*) AS n, round(sum(w), 5) AS total, round(min(w), 6) AS least FROM w GROUP BY i""")
+def kern_cone(s, d):
+    states = kernels.flow(supply(s, d), 1.0).withColumn("point_id", F.col("id") * 100000 + F.col("time"))
+    return kernels.cone(states, 0.9, 2.0, 1.0).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 5).alias("total"), F.round(F.min("w"), 6).alias("least"))
+
+
+@query(f"""WITH {SUPPLY}, c AS (SELECT id * 100000 + time AS p, a, b FROM t), e AS (SELECT i.p AS i, j.p AS j, (i.a - j.a) * (i.a - j.a) + (i.b - j.b) * (i.b - j.b) AS d FROM c i, c j),
+n AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM e WHERE i <> j), r0 AS (SELECT i, sqrt(avg(d)) AS r FROM n WHERE k <= 5 GROUP BY i), m AS (SELECT avg(r) AS m FROM r0),
+q0 AS (SELECT e.i, sum(exp(-d / (2 * x.r * y.r))) / (2 * pi() * any_value(m) * any_value(m)) / (any_value(x.r) * any_value(x.r)) / count(*) AS q FROM e JOIN r0 x ON x.i = e.i JOIN r0 y ON y.i = e.j, m GROUP BY e.i),
+rho AS (SELECT i, pow(q, -0.5) / (SELECT avg(pow(q, -0.5)) FROM q0) AS r FROM q0), k AS (SELECT e.i, e.j, x.r, exp(-d / (4 * 0.5 * x.r * y.r)) AS w FROM e JOIN rho x ON x.i = e.i JOIN rho y ON y.i = e.j),
+q AS (SELECT i, sum(w) / any_value(r * r) AS q FROM k GROUP BY i) SELECT k.i, round(any_value(k.r), 5) AS rho, round(any_value(x.q), 4) AS q, round(sum(w / (pow(x.q, -0.5) * pow(y.q, -0.5))), 3) AS total FROM k JOIN q x ON x.i = k.i JOIN q y ON y.i = k.j GROUP BY k.i""")
+def kern_variable_bandwidth(s, d):
+    x = supply(s, d).df.select((F.col("id") * 100000 + F.col("time")).alias("point_id"), F.array("a", "b").alias("x"))
+    edges, found = kernels.variable_bandwidth(x, 0.5, 5, 2.0, -0.5)
+    sums = edges.groupBy("i").agg(F.round(F.sum("w"), 3).alias("total"))
+    return rounded(rounded(found, ["rho"], 5), ["q"], 4).join(sums, "i")
+
+
 @query(f"WITH {CLOUD}, {KNN} SELECT round(max(d), 6) AS cut_off, round(max(d) * max(d) / -ln(1e-8), 8) AS epsilon FROM k WHERE n = 10")
 def pcm_cutoff(s, d):
     cut = pointcloud.estimate_cutoff(cloud(s, d), n_subsample=1 << 30, k=10, plan="blocks")
@@ -668,13 +709,30 @@ def edmd_gram(s, d):
     return pairs.agg(F.count(F.lit(1)).alias("n"), c("value", "value").alias("g00"), c("value", "`value:d1`").alias("g01"), c("value", "value_next").alias("h00"))
 
 
-@query()
+_AR3 = f"""WITH {EVENTS}, d AS (SELECT value AS x, lag(value, 1) OVER ({ID}) AS y, lag(value, 2) OVER ({ID}) AS z, lead(value) OVER ({ID}) AS o FROM t QUALIFY time >= 2 AND o IS NOT NULL),
+g AS (SELECT sum(x*x) a, sum(x*y) b, sum(x*z) c, sum(y*y) e, sum(y*z) f, sum(z*z) i, sum(x*o) u, sum(y*o) v, sum(z*o) w FROM d),
+k AS (SELECT (u*(e*i-f*f) - b*(v*i-f*w) + c*(v*f-e*w)) / det AS p, (a*(v*i-f*w) - u*(b*i-f*c) + c*(b*w-v*c)) / det AS q, (a*(e*w-v*f) - b*(b*w-v*c) + u*(b*f-e*c)) / det AS r FROM (SELECT *, a*(e*i-f*f) - b*(b*i-f*c) + c*(b*f-e*c) AS det FROM g)),
+s AS (SELECT id, max(CASE WHEN time = 0 THEN value END) AS z, max(CASE WHEN time = 1 THEN value END) AS y, max(CASE WHEN time = 2 THEN value END) AS x FROM t GROUP BY id),
+n AS (SELECT s.*, p*x + q*y + r*z AS o, p, q, r FROM s, k)"""
+
+
+@query(f"{_AR3} SELECT id, CAST(2 AS DOUBLE) AS time, round(x, 4) AS value FROM n UNION ALL SELECT id, 3, round(o, 4) FROM n UNION ALL SELECT id, 4, round(p*o + q*x + r*y, 4) FROM n")
 def edmd_predict(s, d):
     tsc = events(s, d).select("value")
     model = edmd.Edmd([transformers.Takens(2)], dynamics.Dmd(mode="matrix")).fit(tsc)
     return rounded(model.predict(tsc.initial_states(model.n_samples_ic), [0.0, 1.0, 2.0]).df, ["value"], 4)
 
 
+@query(f"""WITH {EVENTS}, d AS (SELECT value AS x, lead(value) OVER ({ID}) AS o FROM t QUALIFY o IS NOT NULL), g AS (SELECT sum(x*x) a, sum(x*x*x) b, sum(x*x*x*x) c, sum(x*o) u, sum(x*x*o) v FROM d),
+k AS (SELECT (u*c - b*v) / (a*c - b*b) AS p, (a*v - b*u) / (a*c - b*b) AS q FROM g), s0 AS (SELECT id, value FROM t WHERE time = 0), s1 AS (SELECT id, p*value + q*value*value AS value FROM s0, k), s2 AS (SELECT id, p*value + q*value*value AS value FROM s1, k), s3 AS (SELECT id, p*value + q*value*value AS value FROM s2, k)
+SELECT id, CAST(0 AS DOUBLE) AS time, round(value, 4) AS value FROM s0 UNION ALL SELECT id, 1, round(value, 4) FROM s1 UNION ALL SELECT id, 3, round(value, 4) FROM s3""")
+def edmd_stepwise(s, d):
+    """A quadratic map: each step is lifted anew."""
+    tsc = events(s, d).select("value")
+    model = edmd.Edmd([transformers.Polynomial(2)], dynamics.Dmd(mode="matrix"), stepwise=True).fit(tsc)
+    return rounded(model.predict(tsc.initial_states(1), [0.0, 1.0, 3.0]).df, ["value"], 4)
+
+
 @query()
 def edmd_window_scores(s, d):
     tsc = events(s, d).select("value")
@@ -761,8 +819,15 @@ def kmpc(s, d):
     return rounded(plan.plan_all(state.initial_states(1), np.array([30.0])), ["u0"], 3)
 
 
-@query()
+_STARTS = np.random.default_rng(42).uniform(-2, 2, (8, 2))
+_H = 0.1 / 20
+_SLOPE = lambda n, x, y: f"{y} AS a{n}, (1 - ({x}) * ({x})) * ({y}) - ({x}) AS b{n}"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT * FROM (VALUES {", ".join(f"({i}::BIGINT, 0, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, (x, y) in enumerate(_STARTS.tolist()))}) v(id, n, x, y) UNION ALL
+SELECT id, n + 1, x + {_H} / 6 * (a1 + 2 * a2 + 2 * a3 + a4), y + {_H} / 6 * (b1 + 2 * b2 + 2 * b3 + b4) FROM (SELECT *, {_SLOPE(4, f"x + {_H} * a3", f"y + {_H} * b3")} FROM (SELECT *, {_SLOPE(3, f"x + {_H / 2} * a2", f"y + {_H / 2} * b2")}
+FROM (SELECT *, {_SLOPE(2, f"x + {_H / 2} * a1", f"y + {_H / 2} * b1")} FROM (SELECT *, {_SLOPE(1, "x", "y")} FROM s WHERE n < 200))))) SELECT id, round(n // 20 * 0.1, 6) AS time, round(x, 6) AS x0, round(y, 6) AS x1 FROM s WHERE n % 20 = 0""")
 def simulate_van_der_pol(s, d):
-    states = np.random.default_rng(42).uniform(-2, 2, (8, 2))
+    states = _STARTS
     made = systems.simulate(s, systems.van_der_pol, states, np.linspace(0, 1, 11))
-    return rounded(made.df, made.features)
+    return rounded(made.df, ["time", *made.features])

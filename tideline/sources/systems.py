@@ -15,7 +15,7 @@ Field = Callable[[float, np.ndarray, np.ndarray], np.ndarray]
 
 
 def three_stable_points(t, x, u):
-    return np.array([x[0] - x[0] ** 3, -x[1]]) if len(x) > 1 else x - x**3
+    return np.array([x[0] * (1 - x[1]), x[0] ** 2 - 2 * x[1]])
 
 
 def hopf(t, x, u, mu: float = 1.0):
@@ -40,9 +40,13 @@ def inverted_pendulum(t, x, u, cart: float = 1.0, bob: float = 0.2, length: floa
     return np.array([x[1], push - bob * length * turn * c / (cart + bob), x[3], turn])
 
 
+#: Constant, own rate and coupling by the input, of the current and of the speed.
+MOTOR = ((19.10828025, -39.3153, -32.2293), (-3.333333333, -1.6599, 22.9478))
+
+
 def dc_motor(t, x, u):
     force = float(u[0]) if len(u) else 0.0
-    return np.array([-39.3153 * x[0] - 32.2293 * x[1] * force + 19.10, -1.6599 * x[1] + 22.9478 * x[0] * force - 3.3061])
+    return np.array([c + own * x[k] + turn * x[1 - k] * force for k, (c, own, turn) in enumerate(MOTOR)])
 
 
 def van_der_pol(t, x, u, mu: float = 1.0):
