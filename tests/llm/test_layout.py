@@ -69,7 +69,7 @@ def test_simple8b_round_trip(ids):
 
 def test_blocks_round_trip():
     keys, ids = [3, None, 9], [np.array([5, 2], "<u4"), np.array([2], "<u4"), np.arange(1000, dtype="<u4")]
-    k, got = tokenfile.read_block(tokenfile.block_bytes(keys, ids))
+    k, got = tokenfile.read_block(tokenfile.block_bytes(keys, [x.tobytes() for x in ids]))
     assert k == keys and all((a == b).all() for a, b in zip(got, ids, strict=True))
     with pytest.raises(ValueError):
         tokenfile.read_block(b"nope" + bytes(40))
@@ -82,6 +82,20 @@ def test_piecewise_ids_equal_the_librarys(some_docs):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_another_vocabulary_goes_through_the_library_whole(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    with open(tmp_path / "cased.json", "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, ours = Tokenizer.from_file(str(tmp_path / "cased.json")), tokenfile.WordBpe(str(tmp_path / "cased.json"))
+    text = "Some WORDS, and É don't"
+    assert not ours.by_word and tokenfile.WordBpe(BPE).by_word
+    assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_file_of_documents(spark):
     library = Tokenizer.from_file(BPE)
     rows = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())

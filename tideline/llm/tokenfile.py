@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +99,10 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def block_bytes(keys: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """One block: counts, the documents' keys (and which are null), where each ends, the words."""
-    ends = np.cumsum([len(x) for x in ids], dtype="<i8")
-    words = pack(np.concatenate(ids))
+def block_bytes(keys: list[int | None], ids: list[bytes]) -> bytes:
+    """One block of documents' ids (little-endian, 32 bits): counts, the documents' keys (and which are null), where each ends, the words."""
+    ends = np.cumsum([len(x) // 4 for x in ids], dtype="<i8")
+    words = pack(np.frombuffer(b"".join(ids), "<u4"))
     head = struct.pack("<4sIQQ", MAGIC, len(keys), int(ends[-1]), len(words))
     return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], "u1").tobytes(), ends.tobytes(), words.astype("<u8").tobytes()])
 
@@ -117,19 +119,55 @@ def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if gone else int(k) for k, gone in zip(keys, null, strict=True)], np.split(ids, ends[:-1])
 
 
+#: The pre-tokenizer pattern for which words may be taken apart at white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file works word by word in the way that WordBpe relies on."""
+    normal, before, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [x.get("type") for x in normal.get("normalizers", [])]
+    split, *rest = before.get("pretokenizers") or [{}]
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and normal["normalizers"][1].get("content") == " "
+        and split.get("type") == "Split" and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and all(x["content"].startswith("<|") for x in spec.get("added_tokens", []))
+    )
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
     """One tokenizer, with what it remembers, for all tasks of a Python worker."""
     return WordBpe(path)
 
 
+class Memory(dict):
+    """What a function gives for texts that have been asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        got = self[text] = self.make(text)
+        return got
+
+    def trim(self, most: int) -> None:
+        """Forgets the later half beyond `most` texts: what came first is what comes often."""
+        if len(self) > most:
+            for text in list(itertools.islice(self, most // 2, None)):
+                del self[text]
+
+
 class WordBpe:
-    """Ids of whole texts by the tokenizers library, each distinct piece encoded once while it is remembered.
+    """Ids of whole texts by the tokenizers library, each distinct piece encoded once while it is remembered, and so are words.
 
-    The vocabulary's own pre-tokenizer never lets a piece span white space, and matches words, single digits and
-    runs of signs apart. For texts within Latin-1 (without control characters) those pieces are found here, and new ones go through the
-    library in one call, a space between them; a piece's last id is one that ends a word. Other texts go to the library
-    by their space-separated parts. `remember` bounds memory.
+    Words are what stands between white space. Where the vocabulary file lower-cases, never lets a token span white space and
+    pre-tokenises by the pattern below, words of texts within Latin-1 (without control characters) are split at white space
+    here, and new ones into the pattern's pieces, which go through the library. Other texts go to the library by their space-separated parts, and with
+    another vocabulary file every text goes to it whole. `remember` bounds memory.
     """
 
     LETTERS = "a-zªµºß-öø-ÿ"
@@ -143,55 +181,56 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library, self.remember = Tokenizer.from_file(path), remember
-        self.final = np.zeros(self.library.get_vocab_size(), bool)
-        for token, i in self.library.get_vocab().items():
-            self.final[i] = token.endswith("</w>")
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.by_word = _splits_at_space(json.load(f))
+        self.model = self.library.model
+        self.pieces = Memory(self._piece)
+        of, split = self.pieces.__getitem__, self.PIECE.findall
+        self.words = Memory(lambda word: b"".join(map(of, split(word))))
+        self.parts = Memory(self._alone)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, fresh: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.final[ids]) + 1
-        if len(ends) == len(fresh) and (not len(ids) or ends[-1] == len(ids)):
-            self.pieces.update(zip(fresh, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-        else:
-            self.pieces.update((x, self._alone(x)) for x in fresh)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece in lower case. Normalising and pre-tokenising change nothing in one of visible ASCII characters."""
+        if piece.isascii():
+            return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return self._alone(piece)
 
-    def _plain(self, text: str | None) -> list[str] | None:
-        """The pieces of a text within Latin-1, without control characters and special tokens; None for others."""
+    def _plain(self, text: str | None) -> str | None:
+        """A text within Latin-1, without control characters and special tokens, in lower case; None for others."""
         try:
             odd = not text or text.encode("latin-1").translate(None, self.PLAIN) or "<|" in text
         except UnicodeEncodeError:
             return None
-        return None if odd else self.PIECE.findall(text.lower())
+        return None if odd else text.lower()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > self.remember:  # what came first is what comes often
-            self.pieces = dict(itertools.islice(self.pieces.items(), self.remember // 2))
-        if len(self.parts) > self.remember // 4:
-            self.parts.clear()
+        if not self.by_word:
+            return [self._alone(t or "") for t in texts]
+        for memory in (self.pieces, self.words, self.parts):
+            memory.trim(self.remember)
         plain = [self._plain(t) for t in texts]
-        fresh = list(set().union(*filter(None, plain)).difference(self.pieces))
-        for at in range(0, len(fresh), 4096):
-            self._learn(fresh[at : at + 4096])
-        out = []
-        for text, found in zip(texts, plain, strict=True):
-            if found is not None:
-                out.append(b"".join(map(self.pieces.__getitem__, found)))
-            else:
-                out.append(b"".join(self._part(p) for p in self.SPACE.split(text or "") if p))
+        out = [b"".join(self.parts[p] for p in self.SPACE.split(t or "") if p) if low is None else b"" for t, low in zip(texts, plain, strict=True)]
+        at = [i for i, low in enumerate(plain) if low is not None]
+        if at:
+            # Words of all those texts at once, each distinct one looked up once.
+            split = pc.utf8_split_whitespace(pa.array([plain[i] for i in at], pa.large_string()))
+            words = split.flatten().dictionary_encode()
+            made = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
+            code = words.indices.to_numpy()
+            size = np.array([len(x) >> 2 for x in made], np.int64)
+            begin = np.cumsum(size) - size
+            ids, sizes = np.frombuffer(b"".join(made), "<u4"), size[code]
+            ends = np.cumsum(sizes)
+            raw = ids[np.repeat(begin[code] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+            cut = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+            for i, x, y in zip(at, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                out[i] = raw[x:y]
         return out
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.parts[part] = self._alone(part)
-        return got
-
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block_ids: int = 1 << 16) -> None:
     """Encodes every text, appends end_id, and writes blocks to `path` in ascending order of key (nulls first).
@@ -212,10 +251,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
         for whole in batches:
             for batch in rows_in(iter([whole]), 4 << 20):
                 for k, got in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist()), strict=True):
-                    one = np.frombuffer(got + end, "<u4")
+                    one = got + end
                     keys.append(k)
                     ids.append(one)
-                    held += len(one)
+                    held += len(one) >> 2
                     if held >= block_ids:
                         yield block()
                         keys, ids, held, number, before = [], [], 0, number + 1, before + held
