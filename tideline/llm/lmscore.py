@@ -435,7 +435,7 @@ class Tree:
         return out
 
 
-def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen: int = 4, least: float = 0.0, pull: float = 64.0) -> Tree:
+def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen: int = 8, least: float = 0.0, pull: float = 64.0) -> Tree:
     """Learns states from the symbols of all rows of table. few, seen: as the module says, the same at any scale. least: for small
     models, contexts need that share of the tokens too. pull: how many tokens the suffix's distribution counts as."""
     least_count = max(least * lexicon.n, few, 2)
