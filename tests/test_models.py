@@ -323,6 +323,26 @@ def test_batch_sink_skips_replays(spark):
     assert sink.state.n == 22 and np.allclose(sink.state.model(mode="matrix").system.matrix, A)
 
 
+def test_batch_sink_goes_on_after_a_restart(spark, tmp_path):
+    tsc, _ = linear_data(spark, A, n=3)
+    for number, whole in ((0, 11), (1, 22), (1, 22), (2, 33)):
+        sink = online.BatchSink(list(tsc.features), path=f"file://{tmp_path}/state")
+        sink(tsc.df.where(F.col("id") == number), number)
+        assert sink.state.n == whole
+    assert np.allclose(sink.state.model(mode="matrix").system.matrix, A)
+
+
+def test_weighted_batches_equal_the_recursion(spark):
+    tsc, _ = linear_data(spark, A, n=3)
+    model, by_row = online.OnlineDmd(weight=0.9), online.Recursive(2, 0.9)
+    for k in range(3):
+        part = tsc.with_df(tsc.df.where(F.col("id") == k))
+        model.partial_fit(part)
+        rows = part.df.orderBy("time").select(*tsc.features).toPandas().to_numpy()
+        by_row.batch(rows[:-1], rows[1:])
+    assert np.allclose(model.state.g, by_row.g) and np.allclose(model.state.h, by_row.h) and model.state.seen == by_row.seen
+
+
 def test_stream_of_keys(spark, tmp_path):
     tsc, _ = linear_data(spark, A, n=3)
     for k, part in enumerate(("time < 6", "time >= 6")):

@@ -762,6 +762,14 @@ def online_dmd(s, d):
     return one_row(s, a=round(float(model.system.matrix[0, 0]), 4))
 
 
+@query(f"""WITH {EVENTS}, d AS (SELECT id, time, value AS x, lead(value) OVER ({ID}) AS y FROM t QUALIFY y IS NOT NULL), w AS (SELECT x, y, pow(0.999, count(*) OVER () - row_number() OVER (ORDER BY time, id) + 1) AS w FROM d)
+SELECT round(sum(w * x * y) / sum(w * x * x), 6) AS a FROM w""")
+def online_forgetting(s, d):
+    """Each pair weighs a thousandth less than the next."""
+    model = online.OnlineDmd(weight=0.999).partial_fit(events(s, d).select("value"))
+    return one_row(s, a=round(float(model.system.matrix[0, 0]), 6))
+
+
 # -- manifolds, regression, control -------------------------------------------------------------------------------------
 
 

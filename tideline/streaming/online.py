@@ -10,13 +10,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tideline.functions.linalg import spectrum
 from tideline.operators import gram
-from tideline.operators.collection import Collection
+from tideline.operators.collection import Collection, running_before
 from tideline.operators.dynamics import Dmd, LinearSystem, Model
 from tideline.operators.windows import shift_pairs
 
@@ -51,8 +51,12 @@ class Recursive:
     def batch(self, x: np.ndarray, y: np.ndarray) -> Recursive:
         """Many pairs at once, each weighing `weight` less than the next."""
         w = self.weight ** np.arange(len(x), 0, -1)[:, None]
-        fade = self.weight ** len(x)
-        self.g, self.h, self.seen = fade * self.g + x.T @ (w * x), fade * self.h + y.T @ (w * x), self.seen + len(x)
+        return self.add(x.T @ (w * x), y.T @ (w * x), len(x))
+
+    def add(self, g: np.ndarray, h: np.ndarray, n: int) -> Recursive:
+        """n pairs by their weighted sums of products."""
+        fade = self.weight**n
+        self.g, self.h, self.seen = fade * self.g + g, fade * self.h + h, self.seen + n
         return self
 
     def update(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -61,18 +65,23 @@ class Recursive:
 
 @dataclass
 class OnlineDmd(Model):
-    """One recursive model over batches of series, in the order they come."""
+    """One recursive model over batches of series, in the order they come; within a batch pairs count in order of time, then id.
+
+    A pair weighs `weight` less for each one after it, so a batch is one weighted sum of products."""
 
     weight: float = 1.0
     state: Recursive | None = None
 
     def partial_fit(self, tsc: Collection, delta: float = 1.0) -> OnlineDmd:
         self.features, self.delta = list(tsc.features), delta
-        rows = shift_pairs(tsc).orderBy(tsc.time, tsc.id).select(*self.features, *(f"{f}_next" for f in self.features)).toArrow()
-        pairs = np.column_stack([rows[i].to_numpy() for i in range(rows.num_columns)])
-        d = len(self.features)
+        d, both = len(self.features), [*tsc.features, *(f"{f}_next" for f in tsc.features)]
+        pairs, weigh = shift_pairs(tsc).select(tsc.id, tsc.time, *both), None
+        if self.weight != 1.0:
+            pairs = running_before(pairs.withColumn("_one", F.lit(1)), [tsc.time, tsc.id], "_one", "_before")
+            pairs, weigh = pairs.crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("_all")))).withColumn("_w", F.pow(F.lit(self.weight), F.col("_all") - F.col("_before"))), "_w"
+        products, n = gram.matrix(pairs, self.features, both, weigh)
         self.state = self.state or Recursive(d, self.weight)
-        self.state.batch(pairs[:, :d], pairs[:, d:])
+        self.state.add(products[:, :d], products[:, d:].T, n)
         if self.state.ready:
             self.system = LinearSystem(self.state.a, "flowmap", "spectral", delta)
         return self
@@ -187,18 +196,40 @@ def online_by_key(stream: DataFrame, id: str, time: str, features: list[str], we
 
 @dataclass
 class BatchSink:
-    """For foreachBatch: adds each micro-batch of whole series to a Gram state. A batch number that has been added is skipped, so replays don't count twice."""
+    """For foreachBatch: adds each micro-batch of whole series to a Gram state. A batch number that has been added is skipped, so
+    replays don't count twice. path: a folder that outlives the driver (beside the stream's checkpoint); each batch's number and the
+    sums so far are written there, and a new sink goes on from the last. Without one a restart begins anew."""
 
     features: list[str]
     id: str = "id"
     time: str = "time"
+    path: str | None = None
     state: GramState = field(init=False)
     last: int = -1
 
     def __post_init__(self) -> None:
-        self.state = GramState(self.features)
+        self.state, self.resumed = GramState(self.features), self.path is None
+
+    def resume(self, spark: SparkSession) -> BatchSink:
+        """Takes up the last state that was written, if there is one."""
+        self.resumed = True
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = [x.getPath() for x in files.listStatus(folder)] if files.exists(folder) else []
+        whole = [int(p.getName()) for p in done if p.getName().isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        if whole:
+            self.last = max(whole)
+            row, d = spark.read.parquet(f"{self.path}/{self.last}").first(), 2 * len(self.features)
+            self.state.n = row["n"]
+            self.state.products = np.array(row["products"]).reshape(d, d) if row["products"] is not None else None
+        return self
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        if not self.resumed:
+            self.resume(batch.sparkSession)
         if number > self.last:
             self.state.add(Collection.of(batch, self.id, self.time, self.features))
             self.last = number
+            if self.path is not None:
+                row = [(int(self.state.n), self.state.products.ravel().tolist())]
+                batch.sparkSession.createDataFrame(row, "n long, products array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{number}")
