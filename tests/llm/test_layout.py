@@ -149,8 +149,9 @@ def test_unigram_paths_have_the_best_score():
 
 
 def test_pieces_odd_rows(odd_docs, no_docs):
-    out = pieces.encode(odd_docs.drop("score"), PIECES, ["doc_id", "lang"]).collect()
-    assert len(out) == odd_docs.count() and all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in out)
+    clashing = odd_docs.withColumn("IDS", F.lit("clash")).withColumn("exact", F.lit(7))
+    out = pieces.encode(clashing, PIECES, clashing.columns).collect()
+    assert len(out) == odd_docs.count() and out[0].asDict().keys() == {*odd_docs.columns, "n_ids", "ids", "exact"} and all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in out)
     assert pieces.encode(no_docs, PIECES, ["doc_id"]).count() == 0
 
 

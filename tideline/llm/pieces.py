@@ -225,8 +225,9 @@ def encode(docs: DataFrame, model: str, keep: list[str], text: str = "text") ->
 
     Null and empty texts have no ids and are exact. Texts are read whole, however long; equal texts get equal ids; an
     empty table gives no rows. exact is false only for texts with the space mark itself (it decodes as a space) or lone surrogates.
-    `keep` must not have n_ids, ids or exact; other columns are not read.
+    Columns of `keep` that are called n_ids, ids or exact (in any case) give way to these; columns not in it are not read.
     """
+    keep = [c for c in keep if c.lower() not in ("n_ids", "ids", "exact")]
     schema = StructType([docs.schema[c] for c in keep] + StructType.fromDDL("n_ids int, ids array<int>, exact boolean").fields)
     list_type = to_arrow_type(schema["ids"].dataType)
 
