@@ -77,38 +77,48 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"metric {metric!r}")
 
 
-def reference_blocks(x: DataFrame, rows: int):
-    """The references in blocks of about `rows`, one at a time on the driver."""
+def blocks(x: DataFrame, y: DataFrame | None = None, metric: str = "euclidean", cut_off: float | None = None, k: int | None = None, rows: int = 8192) -> DataFrame:
+    """Pairs within the cut-off, or each query's k nearest, by blocks of points. Up to `rows` references are shipped to the queries as
+    one block; beyond that both sides are dealt into blocks of about `rows`, each pair of blocks meets in a task of its own, and of a
+    query's neighbours only the k best of each block go on."""
+    queries, x = (x if y is None else y).select("point_id", "x"), x.select("point_id", "x")
+
+    def met(name: pa.Array, q: np.ndarray, ids: np.ndarray, points: np.ndarray):
+        """Edges of some queries with one block of references (in order of their ids)."""
+        for at in range(0, len(q), 512):
+            d = pairwise(q[at : at + 512], points, metric)
+            if k is None:
+                i, j = np.nonzero(d <= bound(metric, cut_off)) if cut_off is not None else np.nonzero(np.ones_like(d))
+            else:
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+            yield pa.RecordBatch.from_arrays([name.slice(at, 512).take(pa.array(i)), pa.array(ids[j]), pa.array(d[i, j])], names=["i", "j", "d"])
+
     n = x.count()
-    parts = max(1, -(-n // rows))
-    for b in range(parts):
-        got = x.where(F.pmod(F.xxhash64("point_id"), F.lit(parts)) == b).select("point_id", "x").toArrow()
-        if got.num_rows:
-            order = np.argsort(got["point_id"].to_numpy())
-            yield got["point_id"].to_numpy()[order], _matrix(got["x"].to_pylist())[order]
+    if n == 0:
+        return queries.sparkSession.createDataFrame([], EDGES)
+    if n <= rows:
+        got = x.toArrow().sort_by("point_id")
+        ids, points = got["point_id"].to_numpy(), _matrix(got["x"].to_pylist())
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield from met(batch.column(0), _matrix(batch.column(1).to_pylist()), ids, points)
 
+        out = queries.mapInArrow(run, EDGES)
+    else:
+        of_x, of_y = -(-n // rows), max(1, -(-queries.count() // rows))
+        dealt = lambda df, own, mine, others, theirs: df.withColumn(mine, F.pmod(F.xxhash64("point_id"), F.lit(own))).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        left, right = dealt(queries, of_y, "_q", of_x, "_r"), dealt(x, of_x, "_r", of_y, "_q")
 
-def blocks(x: DataFrame, y: DataFrame | None = None, metric: str = "euclidean", cut_off: float | None = None, k: int | None = None, rows: int = 8192) -> DataFrame:
-    """Pairs within the cut-off, or each query's k nearest: references in blocks of `rows`, whose size bounds what is shipped."""
-    queries = (x if y is None else y).select("point_id", "x")
-    out = None
-    for ids, points in reference_blocks(x, rows):
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by("point_id")
+            sides = [(t["point_id"].combine_chunks(), _matrix(t["x"].to_pylist())) for t in (left, right) if t.num_rows]
+            made = list(met(*sides[0], sides[1][0].to_numpy(), sides[1][1])) if len(sides) == 2 else []
+            return pa.Table.from_batches(made, pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())]))
 
-        def run(batches, ids=ids, points=points):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    d = pairwise(_matrix(part.column(1).to_pylist()), points, metric)
-                    if k is None:
-                        i, j = np.nonzero(d <= bound(metric, cut_off)) if cut_off is not None else np.nonzero(np.ones_like(d))
-                    else:
-                        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                        i, j = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(ids[j]), pa.array(d[i, j])], names=["i", "j", "d"])
-
-        edges = queries.mapInArrow(run, EDGES)
-        out = edges if out is None else out.unionByName(edges)
-    out = queries.sparkSession.createDataFrame([], EDGES) if out is None else out
+        out = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(meet, EDGES)
     return out if k is None else nearest(out, k)
 
 

@@ -454,7 +454,7 @@ def dist_knn(s, d):
 
 @query(f"WITH {CLOUD}, {KNN}, u AS (SELECT i, j, d FROM e WHERE d <= 0.9 UNION SELECT i, j, d FROM k WHERE n <= 3 UNION SELECT j, i, d FROM k WHERE n <= 3) SELECT DISTINCT i, j, round(d, 6) AS d FROM u")
 def dist_kmin(s, d):
-    return rounded(distance.distances(cloud(s, d), cut_off=0.9, kmin=3, plan="full"), ["d"]).distinct()
+    return rounded(distance.distances(cloud(s, d), cut_off=0.9, kmin=3, plan="blocks"), ["d"]).distinct()
 
 
 @query(f"WITH {CLOUD} SELECT a.point_id AS i, b.point_id AS j, round({D2}, 6) AS d FROM c a JOIN c b ON a.point_id % 10 = 3 AND b.point_id % 10 <> 3 AND {D2} <= 1.21")
@@ -477,7 +477,7 @@ EDGE = f"WITH {CLOUD}, e AS (SELECT a.point_id AS i, b.point_id AS j, {D2} AS d2
 
 def _kernel(name: str, make, sql: str) -> None:
     def run(s, d):
-        return make(cloud(s, d), plan="full").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"), F.round(F.min("w"), 6).alias("least"), F.round(F.max("w"), 6).alias("most"))
+        return make(cloud(s, d), plan="blocks").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"), F.round(F.min("w"), 6).alias("least"), F.round(F.max("w"), 6).alias("most"))
 
     query(f"{EDGE}, k AS (SELECT i, {sql} AS w FROM e) SELECT i, count(*) AS n, round(sum(w), 4) AS total, round(min(w), 6) AS least, round(max(w), 6) AS most FROM k GROUP BY i", name)(run)
 
@@ -494,7 +494,7 @@ _kernel("kern_quintic", kernels.quintic(), "d * d * d * d * d")
 @query(f"WITH {CLOUD}, e AS (SELECT i, j, sqrt(d2) AS d FROM (SELECT a.point_id AS i, b.point_id AS j, {D2} AS d2 FROM c a, c b)), q AS (SELECT i, list_sort(min(d, 10))[10] AS dk FROM e GROUP BY i) SELECT e.i, count(*) AS n, min(e.j) AS least, max(e.j) AS most, CAST(sum(e.j) AS BIGINT) AS total FROM e JOIN q a ON a.i = e.i JOIN q b ON b.i = e.j WHERE e.d / sqrt(a.dk * b.dk) < 0.9 GROUP BY e.i")
 def kern_cknn(s, d):
     """Of each point's neighbours by continuous k-NN: how many, the first, the last and the sum of their numbers."""
-    edges = kernels.continuous_knn(distance.distances(cloud(s, d), plan="full"), 10, 0.9)
+    edges = kernels.continuous_knn(distance.distances(cloud(s, d), plan="blocks"), 10, 0.9)
     return edges.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("least"), F.max("j").alias("most"), F.sum("j").alias("total"))
 
 
@@ -508,23 +508,23 @@ def _summed(e: DataFrame) -> DataFrame:
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / (a.q * b.q) AS w FROM g JOIN q a ON a.i = g.i JOIN q b ON b.i = g.j) {SUMS} w GROUP BY i")
 def kern_density_alpha(s, d):
-    return _summed(kernels.density_normalized(kernels.gaussian(0.7)(cloud(s, d), plan="full"))[0])
+    return _summed(kernels.density_normalized(kernels.gaussian(0.7)(cloud(s, d), plan="blocks"))[0])
 
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / q AS w FROM g JOIN q USING (i)) {SUMS} w GROUP BY i")
 def kern_stochastic(s, d):
-    return _summed(kernels.stochastic(kernels.gaussian(0.7)(cloud(s, d), plan="full")))
+    return _summed(kernels.stochastic(kernels.gaussian(0.7)(cloud(s, d), plan="blocks")))
 
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / (sqrt(a.q) * sqrt(b.q)) AS w FROM g JOIN q a ON a.i = g.i JOIN q b ON b.i = g.j) {SUMS} w GROUP BY i")
 def kern_conjugate(s, d):
-    return _summed(kernels.conjugate(kernels.gaussian(0.7)(cloud(s, d), plan="full"))[0])
+    return _summed(kernels.conjugate(kernels.gaussian(0.7)(cloud(s, d), plan="blocks"))[0])
 
 
 @query(f"{GAUSS}, l AS (SELECT * FROM g WHERE j % 4 = 0), cs AS (SELECT j, sum(w) AS c FROM l GROUP BY j), s AS (SELECT i, 1 / sqrt(sum(w * c)) AS s FROM l JOIN cs USING (j) GROUP BY i), w AS (SELECT l.i, l.w * s AS w FROM l JOIN s USING (i)) {SUMS} w GROUP BY i")
 def kern_landmark(s, d):
     x = cloud(s, d)
-    return _summed(kernels.landmark(kernels.gaussian(0.7)(x.where("point_id % 4 = 0"), x, plan="full"))[0])
+    return _summed(kernels.landmark(kernels.gaussian(0.7)(x.where("point_id % 4 = 0"), x, plan="blocks"))[0])
 
 
 SUPPLY = "t AS (SELECT CAST(s_nationkey AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS time, CAST(s_acctbal AS DOUBLE) / 1000 AS a, CAST(s_suppkey % 10 AS DOUBLE) AS b FROM supplier)"
@@ -777,14 +777,14 @@ def online_forgetting(s, d):
 def lp_level0(s, d):
     x = cloud(s, d)
     labels = table(s, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").cast("double").alias("label"))
-    model = regress.LaplacianPyramid(epsilon=0.7, auto=False, most=1, how={"plan": "full"}).fit(x, labels, "label")
+    model = regress.LaplacianPyramid(epsilon=0.7, auto=False, most=1, how={"plan": "blocks"}).fit(x, labels, "label")
     return rounded(model.predict(x), ["label"])
 
 
 @query(f"{GAUSS}, a AS (SELECT g.i, g.j, w / (a.q * b.q) AS w FROM g JOIN q a ON a.i = g.i JOIN q b ON b.i = g.j), r AS (SELECT i, sum(w) AS r FROM a GROUP BY i) SELECT i AS point_id, round(sum(w / r), 6) AS one FROM a JOIN r USING (i) GROUP BY i")
 def nystrom_rowsum(s, d):
     """The constant function is an eigenfunction: its Nystroem extension is constant."""
-    edges = kernels.stochastic(kernels.density_normalized(kernels.gaussian(0.7)(cloud(s, d), plan="full"))[0])
+    edges = kernels.stochastic(kernels.density_normalized(kernels.gaussian(0.7)(cloud(s, d), plan="blocks"))[0])
     return edges.groupBy(F.col("i").alias("point_id")).agg(F.round(F.sum("w"), 6).alias("one"))
 
 
