@@ -457,10 +457,12 @@ def dist_kmin(s, d):
     return rounded(distance.distances(cloud(s, d), cut_off=0.9, kmin=3, plan="blocks"), ["d"]).distinct()
 
 
-@query(f"WITH {CLOUD} SELECT a.point_id AS i, b.point_id AS j, round({D2}, 6) AS d FROM c a JOIN c b ON a.point_id % 10 = 3 AND b.point_id % 10 <> 3 AND {D2} <= 1.21")
+@query(f"WITH {CLOUD}, y AS (SELECT point_id + 1000000 AS point_id, list_transform(x, lambda v: 0.9::DOUBLE * v) AS x FROM c), e AS (SELECT a.point_id AS i, b.point_id AS j, {D2} AS d FROM y a, c b) SELECT i, j, round(d, 6) AS d FROM e WHERE d <= 1.21")
 def dist_cdist(s, d):
+    """All points moved a tenth towards the origin, against all points."""
     x = cloud(s, d)
-    return rounded(distance.distances(x.where("point_id % 10 <> 3"), x.where("point_id % 10 = 3"), "sqeuclidean", cut_off=1.1, plan="blocks"), ["d"])
+    moved = x.select((F.col("point_id") + 1000000).alias("point_id"), F.transform("x", lambda v: F.lit(0.9) * v).alias("x"))
+    return rounded(distance.distances(x, moved, "sqeuclidean", cut_off=1.1, plan="blocks"), ["d"])
 
 
 def _metric_sql(term: str, step: str) -> str:
