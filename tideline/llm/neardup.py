@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import few, forget, materialize, rows_in, words
@@ -246,10 +246,15 @@ def relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return rows.join(moved, "c", "left").withColumn("c", F.coalesce("_to", "c")).drop("_to")
 
 
+def _order(turn: int) -> Column:
+    return F.struct(F.lit(0) if turn else F.col("lack"), F.xxhash64("k", F.lit(turn)), "k")
+
+
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """For each node the center of another component that it shares most bands with. Each band has one center, drawn anew each turn:
-    the node of least hash. Nodes and centers only, so a band of n nodes gives n - 1 rows at most."""
-    center = rows.groupBy("band").agg(F.min_by(F.struct("k", "c"), F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("z"))
+    """For each node the center of another component that it shares most bands with. Each band has one center: at first the node that
+    lacks least (of a group of near copies the one most like all others), then one drawn anew each turn. Nodes and centers only, so a
+    band of n nodes gives n - 1 rows at most."""
+    center = rows.groupBy("band").agg(F.min_by(F.struct("k", "c"), _order(turn)).alias("z"))
     center = materialize(center.select("band", F.col("z.k").alias("zk"), F.col("z.c").alias("zc")), "centers")
     met = rows.join(center, "band").where("c <> zc").groupBy("k", "zk").agg(F.count(F.lit(1)).alias("times"))
     return met.groupBy(F.col("k").alias("a")).agg(F.max_by("zk", F.struct("times", -F.col("zk"))).alias("b"))
@@ -266,15 +271,15 @@ def common(met: DataFrame) -> DataFrame:
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """k of the nodes that can be linked at all: at least `percent` of their shingles occur in other nodes, too. (An intersection
-    can't be larger than that, nor a union smaller than the set.)"""
+    """k of the nodes that can be linked at all: at least `percent` of their shingles occur in other nodes, too (an intersection
+    can't be larger than that, nor a union smaller than the set); and lack, how many of its shingles don't."""
     met = sets.select("k", F.col("k").alias("c"), F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     able = met.join(common(met).select("h"), "h", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"))
-    return able.where(F.col("s") * 100 >= F.col("n") * percent).select("k")
+    return able.where(F.col("s") * 100 >= F.col("n") * percent).select("k", (F.col("n") - F.col("s")).alias("lack"))
 
 
 def prefixes(met: DataFrame, percent: int) -> DataFrame:
-    """band (a shingle), k, c, n, at: the first shingles of each node, by which it meets any set of another component that is like it.
+    """band (a shingle), k, c, n, at, lack: the first shingles of each node, by which it meets any set of another component that is like it.
 
     A node's shingles are put in one order for all nodes: first those of one component only, then by df. Sets of n shingles and
     more that are `percent` alike share one of the first n - ceil(n * percent / 100) + 1; `at` is the place, from 1. The order
@@ -283,7 +288,7 @@ def prefixes(met: DataFrame, percent: int) -> DataFrame:
     node = Window.partitionBy("k")
     ranked = met.join(kinds, "h").withColumn("i", F.row_number().over(node.orderBy("df", "h"))).withColumn("s", F.count(F.lit(1)).over(node))
     at = F.col("n") - F.col("s") + F.col("i")
-    return ranked.withColumn("at", at).where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent).select(F.col("h").alias("band"), "k", "c", "n", "at")
+    return ranked.withColumn("at", at).where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent).select(F.col("h").alias("band"), "k", "c", "n", "at", (F.col("n") - F.col("s")).alias("lack"))
 
 
 def _room(percent: int) -> str:
@@ -294,7 +299,7 @@ def _room(percent: int) -> str:
 
 def prefix_stars(first: DataFrame, turn: int, percent: int) -> DataFrame:
     """As star_pairs(), by shingles of the prefixes, where their places leave room."""
-    center = first.groupBy("band").agg(F.min_by(F.struct("k", "c", "n", "at"), F.struct(F.xxhash64("k", F.lit(turn)), "k")).alias("z"))
+    center = first.groupBy("band").agg(F.min_by(F.struct("k", "c", "n", "at"), _order(turn)).alias("z"))
     center = materialize(center.select("band", "z.*"), "centers")
     met = first.alias("a").join(center.alias("b"), "band").where(f"a.c <> b.c AND {_room(percent)}").groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("zk")).agg(F.count(F.lit(1)).alias("times"))
     return met.groupBy(F.col("k").alias("a")).agg(F.max_by("zk", F.struct("times", -F.col("zk"))).alias("b"))
@@ -367,8 +372,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = materialize(sets.dropDuplicates(["k"]) if repeats else sets, "sets")
     # Most bands are met by chance: nodes without enough shingles in common with any other go first.
     able = few(materialize(linkable(sets, percent), "linkable"), 1_000_000)
-    live = materialize(sets.join(able, "k").join(nodes.select("k", "regs").join(able, "k", "left_semi"), "k"), "live")
-    rows = materialize(open_part(shared.join(able, "k", "left_semi").select("band", "k", F.col("k").alias("c"))), "open-bands")
+    live = materialize(sets.join(able.select("k"), "k").join(nodes.select("k", "regs").join(able, "k", "left_semi"), "k"), "live")
+    rows = materialize(open_part(shared.join(able, "k").select("band", "k", F.col("k").alias("c"), "lack")), "open-bands")
     forget(sets, shared)
     labels = None
     if repeats:
