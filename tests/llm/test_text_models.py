@@ -1,6 +1,7 @@
 """Language ID, quality and language-model scoring: held-out accuracy, proper distributions, brute force, odd rows."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -278,6 +279,34 @@ def test_lm_score_equals_a_tree_of_dictionaries(spark, some_docs, how):
         assert math.isclose(got[k], want, rel_tol=1e-9)
 
 
+def test_lm_lookups_find_what_they_ask_for(spark, some_docs, monkeypatch):
+    made, write = {}, lmscore.materialize
+    monkeypatch.setattr(lmscore, "materialize", lambda df, name: made.setdefault(name, write(df, name)) if name in ("lm-terms", "lm-scores") else write(df, name))
+    lmscore.score(some_docs, F.lit(True), few=8, seen=3, term_head=0)
+    terms = {r["key"] for r in made["lm-terms"].select("key").collect()}
+    asked = [r["key"] for r in made["lm-scores"].select(F.explode("asked").alias("key")).collect()]
+    assert len(terms) > 1000 and terms <= set(asked)
+    assert sum(k not in terms for k in asked) < 0.02 * len(asked)
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 100)
+    there = spark.createDataFrame([(int(k),) for k in keys], "key long").select("key", lmscore.spread(F.col("key")).alias("s")).collect()
+    assert [r["s"] for r in there] == lmscore.spread(np.array([r["key"] for r in there])).tolist()
+
+
+def test_lm_leaves_no_shuffle_files(spark, some_docs):
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for i in range(blocks.size()) if (b := blocks.apply(i).name()).startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(setting)
+    out = lmscore.score(some_docs, F.lit(True), few=8, seen=3, term_head=50)
+    ends = time.time() + 20
+    while (left := shuffles() - before) and time.time() < ends:
+        time.sleep(0.2)  # they are deleted in the background
+    assert not left and spark.conf.get(setting) == was
+    assert out.count() == some_docs.count() == len(out.collect())
+
+
 def test_confident_leaves_out_what_the_flag_calls_ambiguous(spark):
     docs = load(spark, SF, "documents")
     model = language.train(docs, ~held_out("doc_id", 4, 2), most_rows=800)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,19 @@ def forget(*tables: DataFrame | None) -> None:
             _delete(table.sparkSession, path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While it holds, a query's shuffle files go when the query has ended, not when the driver happens to collect its garbage. For
+    queries whose results are written or collected; a DataFrame made meanwhile should not be run twice."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that materialize() has written in this application."""
     _delete(spark, f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")

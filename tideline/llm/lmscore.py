@@ -16,8 +16,9 @@ columns, packed, by a hash of the context; a run whose beginning or end is too r
 state changes log P by a constant for the symbols it has not told apart, and by one more number for each that it has. So a
 text's score is a sum over its runs of up to depth + 1 symbols, each with one value, in whatever order. Runs are named by a
 64-bit hash, as words are, and counts, states and values are distributed tables. Tasks hold a head of words and of values,
-and bit tables of bounded size that say which runs need looking up (a bit set by another run costs a lookup that finds
-nothing); what is outside the heads is looked up by a join.
+and bit tables of bounded size that say which runs need looking up, one of states and one of what states tell apart, where
+only a state's next symbols are asked for (a bit set by another run costs a lookup that finds nothing); what is outside the
+heads is looked up by a join. Scratch tables and shuffle files go as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tideline.llm.common import few as broadcast_few
-from tideline.llm.common import forget, materialize, rows_in, words
+from tideline.llm.common import forget, materialize, rows_in, shuffles_dropped, words
 
 #: The symbol that ends a text, as a word that no text has.
 END = b" "
@@ -97,6 +98,14 @@ class Bits:
         return out
 
 
+def spread(keys):
+    """Keys of runs, one to one, as Bits wants them: a single symbol's key is a small number, of which Bits would see the upper bits
+    alone; so it is there again in both places where Bits looks, turned in one of them. Of an array or a column."""
+    if isinstance(keys, Column):
+        return reduce(Column.bitwiseXOR, [F.shiftleft(keys, k) for k in (8, 29, 45)], keys)
+    return keys ^ keys << 8 ^ keys << 29 ^ keys << 45
+
+
 def extended(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Keys of runs with one more symbol at their end."""
     x = (keys.view(np.uint64) * MIX[0] ^ symbols.view(np.uint64)) * MIX[1]
@@ -399,11 +408,13 @@ def count_level(table: DataFrame, length: int, seen: int, contexts: Bits | None,
 @dataclass
 class Tree:
     """The fitted model. `terms` (key, length, c, entry, back) has the runs of symbols that change log10 P: by `entry` that of
-    their last symbol, in another row by `back` that of the symbol after them (null unless the run is a state)."""
+    their last symbol, in another row by `back` that of the symbol after them (null unless the run is a state). `scratch`: written
+    tables that terms reads."""
 
     depth: int
     lexicon: Lexicon
     terms: DataFrame
+    scratch: list[DataFrame]
 
     @cached_property
     def names(self) -> tuple[np.ndarray, np.ndarray]:
@@ -441,7 +452,8 @@ def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen
     least_count = max(least * lexicon.n, few, 2)
     spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * spread, lexicon.n >> 20)
-    above, contexts, endings, terms = broadcast_few(materialize(lexicon.root(), "lm-root"), 1 << 18), None, None, []
+    root = materialize(lexicon.root(), "lm-root")
+    above, contexts, endings, terms, scratch = broadcast_few(root, 1 << 18), None, None, [], [root]
     c, total, p, kept, q = (F.col(x) for x in ("c", "total", "p", "kept", "q"))
     # Level by level: candidates come from the level above, counts from all texts, the test decides what stays.
     for length in range(1, depth + 1):
@@ -459,10 +471,11 @@ def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen
         entry = made.where("back IS NOT NULL").select("key", F.lit(length + 1).alias("length"), "c", (F.col("lp") - p - F.col("back")).alias("entry"), F.lit(None).cast("double").alias("back"))
         terms.append(entry)
         forget(level, met)
+        scratch += [states, made]
         above = made
         if length < depth:
             contexts, endings = Bits.of(made.where((c >= least_count) & ~F.col("ends")).select("key")), Bits.of(made.select("key"))
-    return Tree(depth, lexicon, reduce(DataFrame.unionByName, terms))
+    return Tree(depth, lexicon, reduce(DataFrame.unionByName, terms), scratch)
 
 
 def fit(texts: DataFrame, depth: int = 3, singles: int | None = None, classes: int = 256, few: int = 32, **how) -> Tree:
@@ -481,17 +494,47 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     an empty table gives no rows. head, term_head: words and runs that tasks hold, the most frequent; others are joined. Words
     count by a 56-bit hash: with 10**8 distinct words some tens share theirs and count together.
     """
-    lexicon = learn_words(docs.where(learn).select(F.col(text).alias("t")), classes, few, None, head)
-    table = coded(docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.coalesce(learn, F.lit(False)).alias("learn")), lexicon)
-    tree = grow(table.where("learn"), lexicon, few=few, **how)
-    depth = tree.depth
-    terms = materialize(tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value")), "lm-terms")
+    spark = docs.sparkSession
+    with shuffles_dropped(spark):
+        lexicon = learn_words(docs.where(learn).select(F.col(text).alias("t")), classes, few, None, head)
+        table = coded(docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.coalesce(learn, F.lit(False)).alias("learn")), lexicon)
+        met = _rare_words(table, lexicon)
+        tree = grow(table.where("learn"), lexicon, few=few, **how)
+        terms = materialize(tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value"), F.col("back").isNotNull().alias("state")), "lm-terms")
+        forget(lexicon.vocabulary, *tree.scratch)
+        scored, more = _scored(table, terms, tree.depth, term_head)
+    rows = scored.join(met, "row", "left").join(more, "row", "left")
+    plus = lambda a, *b: sum((F.coalesce(F.col(x), F.lit(0)) for x in b), F.col(a))
+    return rows.select(
+        F.col("k").alias(key), "n_tokens", plus("n_known", "more").alias("n_known"),
+        F.lit(lexicon.n).cast("long").alias("train_tokens"), plus("base", "logs").alias("base_score"), plus("own", "logs", "own_logs").alias("score"),
+    )
+
+
+def _pairs(table: DataFrame, column: str, name: str) -> DataFrame:
+    """row, name, times: one row for each of the keys in an array column of table."""
+    pairs = table.where(F.size(column) > 0).select("row", F.explode(F.arrays_zip(column, "times")).alias("z"))
+    return pairs.select("row", F.col(f"z.{column}").alias(name), F.col("z.times").alias("times"))
+
+
+def _rare_words(table: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """row, more, logs: of a text's words that tasks don't hold, how many are known and their sum of log10 (count + 1/2)."""
+    words_left = lexicon.vocabulary.where((F.col("h") != 0) & (level_of("c") < lexicon.floor))
+    logs = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
+    met = _pairs(table, "rare", "h").join(words_left, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"))
+    return materialize(met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs")), "lm-rare")
+
+
+def _scored(table: DataFrame, terms: DataFrame, depth: int, term_head: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of table with values that tasks hold added to `own`, and row, own_logs: sums of the values that are joined. Deletes
+    table."""
     floor = head_floor(terms, term_head)
     top = terms.where(level_of("c") >= floor).select("key", "value").toArrow()
     head_key, head_value = summed(top["key"].to_numpy(), top["value"].to_numpy())
     tail_terms = terms.where(level_of("c") < floor).select(F.col("key").alias("g"), "value")
     tail = tail_terms.count()
-    bits = Bits.of(terms.select("key"))
+    # A run that isn't a state can only have a value if it is a state with one more symbol.
+    stated, told = (Bits.of(terms.where(F.col("state") == s).select(spread(F.col("key")).alias("key"))) for s in (True, False))
     passed = ["k", "row", "n_tokens", "n_known", "base", "own"]
 
     def run(batches):
@@ -499,9 +542,14 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             m = len(lengths)
             text_of, own = np.repeat(np.arange(m), lengths), np.zeros(m)
             asked_text, asked_key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            before = np.zeros(len(symbols), bool)
             for length, key_at in enumerate(runs(symbols, depth + 1), 1):
-                near = np.flatnonzero((place >= length - 1) & (symbols != 0 if length == 1 else True))
-                near = near[bits.has(key_at[near])]
+                bit_key, may = spread(key_at), place >= length - 1
+                states = may & (symbols != 0) & stated.has(bit_key) if length <= depth else np.zeros(len(symbols), bool)
+                after = np.flatnonzero(np.append(False, before[:-1]) & may & ~states)
+                chosen = states.copy()
+                chosen[after] = told.has(bit_key[after])
+                near, before = np.flatnonzero(chosen), states
                 near = near[np.argsort(key_at[near])]  # lookups in order are quick
                 at, hit = found(key_at[near], head_key)
                 own += np.bincount(text_of[near[hit]], head_value[at[hit]], m)
@@ -521,22 +569,6 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
     schema = StructType(table.select(*passed).schema.fields + StructType.fromDDL("asked array<long>, times array<int>").fields)
     scored = materialize(table.select(*passed, "symbols").mapInArrow(run, schema), "lm-scores")
-    pair = lambda what: F.explode(F.arrays_zip(what, "times")).alias("z")
-    rare = table.where(F.size("rare") > 0).select("row", pair("rare")).select("row", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
-    words_left = lexicon.vocabulary.where((F.col("h") != 0) & (level_of("c") < lexicon.floor))
-    logs = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
-    met = rare.join(words_left, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"))
-    met = materialize(met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs")), "lm-rare")
-    rows = scored.select(*passed).join(met, "row", "left")
-    if tail:
-        asks = scored.where(F.size("asked") > 0).select("row", pair("asked")).select("row", F.col("z.asked").alias("g"), F.col("z.times").alias("times"))
-        more = materialize(asks.join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs")), "lm-passed")
-        rows = rows.join(more, "row", "left")
-    else:
-        rows = rows.withColumn("own_logs", F.lit(0.0))
     forget(table)
-    plus = lambda a, *b: sum((F.coalesce(F.col(x), F.lit(0)) for x in b), F.col(a))
-    return rows.select(
-        F.col("k").alias(key), "n_tokens", plus("n_known", "more").alias("n_known"),
-        F.lit(lexicon.n).cast("long").alias("train_tokens"), plus("base", "logs").alias("base_score"), plus("own", "logs", "own_logs").alias("score"),
-    )
+    more = _pairs(scored, "asked", "g").join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs"))
+    return scored.select(*passed), materialize(more, "lm-passed")
