@@ -281,10 +281,10 @@ def test_lm_score_equals_a_tree_of_dictionaries(spark, some_docs, how):
 
 def test_lm_lookups_find_what_they_ask_for(spark, some_docs, monkeypatch):
     made, write = {}, lmscore.materialize
-    monkeypatch.setattr(lmscore, "materialize", lambda df, name: made.setdefault(name, write(df, name)) if name in ("lm-terms", "lm-scores") else write(df, name))
+    monkeypatch.setattr(lmscore, "materialize", lambda df, name, **how: made.setdefault(name, write(df, name, **how)) if name in ("lm-terms", "lm-scores") else write(df, name, **how))
     lmscore.score(some_docs, F.lit(True), few=8, seen=3, term_head=0)
-    terms = {r["key"] for r in made["lm-terms"].select("key").collect()}
-    asked = [r["key"] for r in made["lm-scores"].select(F.explode("asked").alias("key")).collect()]
+    terms = set((np.array([r["key"] for r in made["lm-terms"].select("key").collect()]).view(np.uint64) * lmscore.MIX[1]).tolist())
+    asked = [k for r in made["lm-scores"].select(F.explode("asked.data").alias("data")).collect() for k in lmscore.undealt(bytes(r["data"]), 2)[0].tolist()]
     assert len(terms) > 1000 and terms <= set(asked)
     assert sum(k not in terms for k in asked) < 0.02 * len(asked)
     keys = np.random.default_rng(1).integers(-(2**63), 2**63, 100)

@@ -30,11 +30,11 @@ def scratch_root(spark: SparkSession) -> str:
     return (root or "file:///tmp/checkpoints/tideline").rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet (with options) to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -18,7 +18,7 @@ text's score is a sum over its runs of up to depth + 1 symbols, each with one va
 64-bit hash, as words are, and counts, states and values are distributed tables. Tasks hold a head of words and of values,
 and bit tables of bounded size that say which runs need looking up, one of states and one of what states tell apart, where
 only a state's next symbols are asked for (a bit set by another run costs a lookup that finds nothing); what is outside the
-heads is looked up by a join. Scratch tables and shuffle files go as soon as nothing reads them.
+heads is looked up by a join: words in rows, runs in packed parts by key. Scratch tables and shuffle files go as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -79,10 +79,10 @@ class Bits:
     keys: int
 
     @classmethod
-    def of(cls, table: DataFrame) -> Bits:
-        """Of the column `key`."""
+    def of(cls, table: DataFrame, each: int = 32) -> Bits:
+        """Of the column `key`. each: bits of the table for each key, or up to twice as many."""
         n = table.count()
-        size = 1 << min(max((32 * n).bit_length(), 16), 28)
+        size = 1 << min(max((each * n).bit_length(), 16), 28)
         places = F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(F.lit(size - 1)) for k in (8, 36)))
         rows = table.select(F.explode(places).alias("b")).groupBy(F.shiftright("b", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
         data = np.zeros((size >> 15, 4096), np.uint8)
@@ -90,6 +90,14 @@ class Bits:
             data[k] = np.frombuffer(bits, np.uint8)
         return cls(size, data.reshape(-1), n)
 
+    def __reduce__(self):
+        """Compressed on the way to tasks, whose workers keep what was sent beside what they read from it."""
+        return Bits._read, (self.size, zstandard.compress(self.data, 1), self.keys)
+
+    @staticmethod
+    def _read(size: int, data: bytes, keys: int) -> Bits:
+        return Bits(size, np.frombuffer(zstandard.decompress(data), np.uint8), keys)
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for k in (8, 36):
@@ -317,7 +325,8 @@ def coded(docs: DataFrame, lexicon: Lexicon, most: int = 400_000) -> DataFrame:
                 memory.clear()
                 known, (hashed, code, count, logs, lowered) = 0, (x[:0] for x in (hashed, code, count, logs, lowered))
 
-    return materialize(docs.select("t", "k", "learn").mapInArrow(run, schema), "lm-symbols")
+    # Room for a dictionary of all symbols that tasks hold: without one, symbols take 8 bytes before they are compressed.
+    return materialize(docs.select("t", "k", "learn").mapInArrow(run, schema), "lm-symbols", **{"parquet.dictionary.page.size": 4 << 20})
 
 
 def _laid(batches, column: int, span: int):
@@ -405,6 +414,82 @@ def count_level(table: DataFrame, length: int, seen: int, contexts: Bits | None,
     return sent.mapInArrow(receive, "ctx long, suf long, key long, ends boolean, c long")
 
 
+def parts_for(table: DataFrame, lexicon: Lexicon) -> int:
+    """In how many parts packed columns are sent, so that a part has some million tokens' at most."""
+    return max(2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), lexicon.n >> 20)
+
+
+def dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Numbers of parts by key, and packed for each: distances between its mixed keys in order, and columns in that order."""
+    mixed = keys.view(np.uint64) * MIX[1]
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    cut = np.searchsorted((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    columns = [c[order] for c in columns]
+    return some, [pack([np.diff(mixed[a:b], prepend=np.uint64(0)), *(c[a:b] for c in columns)]) for a, b in ((cut[k], cut[k + 1]) for k in some)]
+
+
+def undealt(data: bytes, n: int) -> list[np.ndarray]:
+    """Of a part: its mixed keys and n columns."""
+    steps, *columns = unpack(data, n + 1)
+    return [np.cumsum(steps.view(np.uint64)), *columns]
+
+
+def looked_up(asks: DataFrame, table: DataFrame, parts: int) -> DataFrame:
+    """row, own_logs: per row the sum of times * value. asks: (part, data) with rows and times by key as dealt() gives them. table: key,
+    value. Both are sent packed; a part is looked up by itself, its sums go back packed by the task that numbered the rows."""
+
+    def send(batches):
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.num_rows
+            if size and (batch is None or size >= 1 << 18):
+                some, data = dealt(np.concatenate([b.column(0).to_numpy() for b in held]), parts, np.concatenate([b.column(1).to_numpy() for b in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([False] * len(some)), pa.array(data, pa.binary())], names=["part", "asks", "data"])
+                held, size = [], 0
+
+    def receive(batches):
+        now, held, known, value = None, [], None, None
+        for batch in batches:
+            rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for part, asked, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, held, known = part, [], None
+                if not asked:
+                    held.append(undealt(data, 1))
+                    continue
+                if known is None:
+                    known, value = summed(*(np.concatenate(c) for c in zip(*((k, v.view(float)) for k, v in held), strict=True))) if held else (np.zeros(0, np.uint64), np.zeros(0))
+                key, row, times = undealt(data, 2)
+                at, hit = found(key, known)
+                rows.append(row[hit])
+                sums.append(times[hit] * value[at[hit]])
+            row, total = summed(np.concatenate(rows), np.concatenate(sums))
+            cut = np.flatnonzero(np.diff(row >> 36, prepend=-1))
+            data = [pack([np.diff(row[a:b], prepend=0), total[a:b]]) for a, b in itertools.pairwise([*cut.tolist(), len(row)])]
+            yield pa.RecordBatch.from_arrays([pa.array(row[cut] >> 36), pa.array(data, pa.binary())], names=["task", "data"])
+
+    def add(batches):
+        now, held = None, []
+        for task, data in itertools.chain((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), [(None, b"")]):
+            if task != now and held:
+                row, total = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(total)], names=["row", "own_logs"])
+                held = []
+            now = task
+            if data:
+                steps, total = unpack(data, 2)
+                held.append((np.cumsum(steps), total.view(float)))
+
+    sent = table.select("key", "value").mapInArrow(send, "part long, asks boolean, data binary")
+    sent = sent.unionByName(asks.select("part", F.lit(True).alias("asks"), "data")).repartition("part").sortWithinPartitions("part", "asks")
+    back = sent.mapInArrow(receive, "task long, data binary").repartition("task").sortWithinPartitions("task")
+    return back.mapInArrow(add, "row long, own_logs double")
+
+
 @dataclass
 class Tree:
     """The fitted model. `terms` (key, length, c, entry, back) has the runs of symbols that change log10 P: by `entry` that of
@@ -446,12 +531,11 @@ class Tree:
         return out
 
 
-def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen: int = 8, least: float = 0.0, pull: float = 64.0) -> Tree:
+def grow(table: DataFrame, lexicon: Lexicon, depth: int = 3, few: int = 32, seen: int = 4, least: float = 0.0, pull: float = 64.0) -> Tree:
     """Learns states from the symbols of all rows of table. few, seen: as the module says, the same at any scale. least: for small
     models, contexts need that share of the tokens too. pull: how many tokens the suffix's distribution counts as."""
     least_count = max(least * lexicon.n, few, 2)
-    spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2 * spread, lexicon.n >> 20)
+    parts = parts_for(table, lexicon)
     root = materialize(lexicon.root(), "lm-root")
     above, contexts, endings, terms, scratch = broadcast_few(root, 1 << 18), None, None, [], [root]
     c, total, p, kept, q = (F.col(x) for x in ("c", "total", "p", "kept", "q"))
@@ -502,7 +586,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         tree = grow(table.where("learn"), lexicon, few=few, **how)
         terms = materialize(tree.terms.select("key", "c", (F.col("entry") + F.coalesce(F.col("back"), F.lit(0.0))).alias("value"), F.col("back").isNotNull().alias("state")), "lm-terms")
         forget(lexicon.vocabulary, *tree.scratch)
-        scored, more = _scored(table, terms, tree.depth, term_head)
+        scored, more = _scored(table, terms, tree.depth, term_head, parts_for(table, lexicon))
     rows = scored.join(met, "row", "left").join(more, "row", "left")
     plus = lambda a, *b: sum((F.coalesce(F.col(x), F.lit(0)) for x in b), F.col(a))
     return rows.select(
@@ -511,30 +595,25 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     )
 
 
-def _pairs(table: DataFrame, column: str, name: str) -> DataFrame:
-    """row, name, times: one row for each of the keys in an array column of table."""
-    pairs = table.where(F.size(column) > 0).select("row", F.explode(F.arrays_zip(column, "times")).alias("z"))
-    return pairs.select("row", F.col(f"z.{column}").alias(name), F.col("z.times").alias("times"))
-
-
 def _rare_words(table: DataFrame, lexicon: Lexicon) -> DataFrame:
     """row, more, logs: of a text's words that tasks don't hold, how many are known and their sum of log10 (count + 1/2)."""
     words_left = lexicon.vocabulary.where((F.col("h") != 0) & (level_of("c") < lexicon.floor))
     logs = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
-    met = _pairs(table, "rare", "h").join(words_left, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"))
+    rare = table.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
+    met = rare.join(words_left, "h", "left").select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"), logs.alias("logs"))
     return materialize(met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs")), "lm-rare")
 
 
-def _scored(table: DataFrame, terms: DataFrame, depth: int, term_head: int) -> tuple[DataFrame, DataFrame]:
+def _scored(table: DataFrame, terms: DataFrame, depth: int, term_head: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """The rows of table with values that tasks hold added to `own`, and row, own_logs: sums of the values that are joined. Deletes
     table."""
     floor = head_floor(terms, term_head)
     top = terms.where(level_of("c") >= floor).select("key", "value").toArrow()
     head_key, head_value = summed(top["key"].to_numpy(), top["value"].to_numpy())
-    tail_terms = terms.where(level_of("c") < floor).select(F.col("key").alias("g"), "value")
+    tail_terms = terms.where(level_of("c") < floor)
     tail = tail_terms.count()
     # A run that isn't a state can only have a value if it is a state with one more symbol.
-    stated, told = (Bits.of(terms.where(F.col("state") == s).select(spread(F.col("key")).alias("key"))) for s in (True, False))
+    stated, told = (Bits.of(terms.where(F.col("state") == s).select(spread(F.col("key")).alias("key")), 16) for s in (True, False))
     passed = ["k", "row", "n_tokens", "n_known", "base", "own"]
 
     def run(batches):
@@ -561,14 +640,16 @@ def _scored(table: DataFrame, terms: DataFrame, depth: int, term_head: int) -> t
             texts, what = texts[order], what[order]
             fresh = np.flatnonzero(np.append(True, (np.diff(texts) != 0) | (np.diff(what) != 0))[: len(what)])
             times = np.diff(np.append(fresh, len(what)))
-            cut = pa.array(np.searchsorted(texts[fresh], np.arange(m + 1)).astype(np.int32))
             columns = [pa.concat_arrays([b.column(j) for b in held]) for j in range(len(passed))]
             columns[-1] = pa.array(columns[-1].to_numpy() + own)
-            columns += [pa.ListArray.from_arrays(cut, pa.array(what[fresh])), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*passed, "asked", "times"])
+            some, data = dealt(what[fresh], parts, columns[1].to_numpy()[texts[fresh]], times)
+            # All that these texts ask for stands in the first one's row.
+            asked = pa.StructArray.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.full(m, len(some))).astype(np.int32)), asked))
+            yield pa.RecordBatch.from_arrays(columns, names=[*passed, "asked"])
 
-    schema = StructType(table.select(*passed).schema.fields + StructType.fromDDL("asked array<long>, times array<int>").fields)
+    schema = StructType(table.select(*passed).schema.fields + StructType.fromDDL("asked array<struct<part: long, data: binary>>").fields)
     scored = materialize(table.select(*passed, "symbols").mapInArrow(run, schema), "lm-scores")
     forget(table)
-    more = _pairs(scored, "asked", "g").join(tail_terms, "g").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("own_logs"))
-    return scored.select(*passed), materialize(more, "lm-passed")
+    asks = scored.select(F.explode("asked").alias("z")).select("z.part", "z.data")
+    return scored.select(*passed), materialize(looked_up(asks, tail_terms, parts), "lm-passed")
