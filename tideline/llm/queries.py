@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language, lmscore, media, mixing, neardup, pieces, quality, tokenfile
+from tideline.llm import collocations, language, lmscore, media, mixing, neardup, negatives, pieces, quality, tokenfile, urls
 from tideline.llm.common import held_out, load, materialize
 from tideline.llm.sharding import shard
 from tideline.llm.topk import top_k
@@ -91,6 +91,30 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
+#: Words of hosts whose pages make up the list.
+UNWANTED = r"(^|[.-])(pills|casino|adult|bets|ads|spam)([.-]|\z)"
+URL_RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"), urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
+
+
+def op11_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by five rules; the list is what the tables have on hosts with unwanted words."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.rlike(urls.host_of(urls.rest_of(F.col("url"))), F.lit(UNWANTED)))
+    return urls.judge(pages, listed, URL_RULES).drop("url")
+
+
+def op12_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector; where vec_id is divisible by 7 the label is another one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = load(spark, sf_dir, "embeddings").withColumn("label", label.cast("long"))
+    return negatives.mine(vectors, every=100, scale=256.0, positives=5, count=5)
+
+
+def op13_count_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language."""
+    return collocations.phrases(load(spark, sf_dir, "documents"), least=30, longest=4, covered=80, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_codes": op1_language_codes,
     "op2_minimax_shards": op2_minimax_shards,
@@ -102,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_simple8b": op9_simple8b,
     "op10_interleaved_media": op10_interleaved_media,
+    "op11_blocked_bloom": op11_blocked_bloom,
+    "op12_voronoi_negatives": op12_voronoi_negatives,
+    "op13_count_tries": op13_count_tries,
 }
 
 def _split_sql(name: str, table: str, parent: str, node: str, budget: str, weight: str, out: str) -> str:
@@ -142,4 +169,43 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_hierarchical_mix": _MIX_SQL,
+    "op11_blocked_bloom": r"""
+        WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        b AS (SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&') AS asked FROM a),
+        c AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+                     regexp_replace(regexp_replace(host, '(:80|:443)\z', ''), '^www\.|\.\z', '', 'g') || coalesce(nullif(regexp_replace(path, '/+\z', ''), ''), '/')
+                     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(asked, lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|\z)'))), '&'), ''), '') AS canonical FROM b),
+        d AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                             WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                             WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                             WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                             WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM c),
+        e AS (SELECT *, CASE WHEN rule IS NULL AND canonical IS NOT NULL THEN canonical IN (SELECT canonical FROM d WHERE regexp_matches(host, '(^|[.-])(pills|casino|adult|bets|ads|spam)([.-]|\z)') AND canonical IS NOT NULL) END AS listed FROM d)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed FROM e""",
+    "op12_voronoi_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+        p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_count_tries": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t),
+        w AS (SELECT lang, pid, unnest(words) AS w1, generate_subscripts(words, 1) AS pos FROM p),
+        x AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY pid ORDER BY pos)),
+        g AS (SELECT lang, 1 AS k, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+              UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+        u AS (SELECT c.*, cut, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+              FROM c, range(1, 4) q(cut) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1 :], ' ') WHERE cut < c.k),
+        m AS (SELECT lang, k, phrase, a, l, r, score FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        d AS (SELECT m.lang, m.phrase, max(o.a) AS longer FROM m JOIN m o ON m.lang = o.lang AND o.k > m.k AND contains(' ' || o.phrase || ' ', ' ' || m.phrase || ' ') GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM m JOIN n USING (lang) LEFT JOIN d USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000""",
 }
