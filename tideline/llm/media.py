@@ -56,66 +56,133 @@ def feature(data: bytes) -> str:
     return f"m{total * 1000 // n}:v{(squares * n - total * total) * 1000 // (n * n)}:d{steps * 1000 // (len(rows) * (WIDTH - 1))}:b" + ",".join(map(str, bands))
 
 
-class _Sequence(HTMLParser):
+class _Tokens(HTMLParser):
+    """What a page says, in order: (kind, ..) with the kinds text, block, media, figure, /figure, caption and /caption. What a closed element
+    of SKIPPED holds is dropped; an element that is never closed hides nothing, but for the code in a script or style."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[dict] = []
-        self.text: list[str] = []
-        self.hidden = 0
-        self.caption: list[str] | None = None
-        self.figure: list[int] | None = None
-
-    def flush(self) -> None:
-        said = "".join(self.text)
-        self.text = []
-        if said.strip():
-            self.parts.append({"kind": "text", "text": said, "ref": None, "caption": None})
+        self.tokens: list[tuple] = []
+        self.hidden: list[tuple[str, int]] = []  # open elements of SKIPPED and where they began
 
     def handle_starttag(self, tag, attrs):
         got = dict(attrs)
         if tag in SKIPPED:
-            self.hidden += 1
+            self.hidden.append((tag, len(self.tokens)))
         elif tag == "figure":
-            self.flush()
-            self.figure = []
+            self.tokens.append(("figure",))
         elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+            self.tokens.append(("caption",))
         elif tag in ("img", "video", "audio", "source") and (got.get("data-sha256") or got.get("src")):
-            self.flush()
-            if self.figure is not None:
-                self.figure.append(len(self.parts))
-            self.parts.append({"kind": "media", "text": None, "ref": got.get("data-sha256") or got["src"], "caption": got.get("alt")})
+            self.tokens.append(("media", got.get("data-sha256") or got["src"], got.get("alt")))
         elif tag in BLOCKS:
-            self.flush()
+            self.tokens.append(("block",))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in SKIPPED:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = "".join(self.caption).strip(), None
-            for at in self.figure or ():
-                self.parts[at]["caption"] = said
-        elif tag == "figure":
-            self.flush()
-            self.figure = None
+            for k in reversed(range(len(self.hidden))):
+                if self.hidden[k][0] == tag:
+                    del self.tokens[self.hidden[k][1] :]
+                    del self.hidden[k:]
+                    break
+        elif tag in ("figure", "figcaption"):
+            self.tokens.append(("/figure",) if tag == "figure" else ("/caption",))
         elif tag in BLOCKS:
-            self.flush()
+            self.tokens.append(("block",))
 
     def handle_data(self, data):
-        if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+        if not (self.hidden and self.hidden[-1][0] in ("script", "style")):
+            self.tokens.append(("text", data))
+
+
+def _caption_end(tokens: list[tuple], at: int) -> int:
+    """Where the caption that begins before `at` ends: at its end tag, or, if it is never closed, at the next token that isn't text."""
+    depth = 0
+    for k in range(at, len(tokens)):
+        kind = tokens[k][0]
+        if depth == 0 and kind == "/caption":
+            return k
+        if depth == 0 and kind in ("/figure", "caption"):
+            break
+        depth += (kind == "figure") - (kind == "/figure")
+    return next((k for k in range(at, len(tokens)) if tokens[k][0] != "text"), len(tokens))
+
+
+class _Sequence:
+    """Parts of a page from its tokens."""
+
+    def __init__(self, tokens: list[tuple]) -> None:
+        self.parts: list[dict] = []
+        self.text: list[str] = []
+        self.figures: list[dict] = []
+        at = 0
+        while at < len(tokens):
+            kind = tokens[at][0]
+            if kind == "caption":
+                self.flush()
+                end = _caption_end(tokens, at + 1)
+                said = [t[1] for t in tokens[at + 1 : end] if t[0] == "text"]
+                if self.figures:
+                    self.figures[-1]["caption"] = "".join(said).strip()
+                else:
+                    self.text += said
+                    self.flush()
+                for token in tokens[at + 1 : end]:
+                    if token[0] == "media":
+                        self.add_media(token)
+                at = end
+                continue
+            if kind == "text":
+                self.text.append(tokens[at][1])
+            elif kind == "media":
+                self.add_media(tokens[at])
+            else:
+                self.flush()
+                if kind == "figure":
+                    self.figures.append({"media": [], "caption": None})
+                elif kind == "/figure" and self.figures:
+                    self.close_figure()
+            at += 1
+        self.flush()
+        while self.figures:
+            self.close_figure()
+
+    def flush(self) -> None:
+        said, self.text = "".join(self.text), []
+        if said.strip():
+            self.parts.append({"kind": "text", "text": said, "ref": None, "caption": None})
+
+    def add_media(self, token: tuple) -> None:
+        self.flush()
+        if self.figures:
+            self.figures[-1]["media"].append(len(self.parts))
+        self.parts.append({"kind": "media", "text": None, "ref": token[1], "caption": token[2]})
+
+    def close_figure(self) -> None:
+        """A caption goes to the media that no inner figure's caption went to."""
+        figure = self.figures.pop()
+        if figure["caption"] is not None:
+            for at in figure["media"]:
+                self.parts[at]["caption"] = figure["caption"]
+        elif self.figures:
+            self.figures[-1]["media"] += figure["media"]
 
 
 def sequence(page: str | None) -> list[dict]:
     """The parts of a page in their order, numbered from 0. Null and empty pages have none; broken HTML gives what can be read.
-    A figure's caption goes to each media reference in it; without one the alt text is the caption."""
-    reader = _Sequence()
+
+    A figure's caption (the last, if it has several) goes to each media reference in it, and in figures inside it that have none; without
+    one the alt text is the caption. A caption that is never closed ends at the next tag that isn't inline; one outside a figure is text.
+    What an unclosed noscript or template hides is read."""
+    reader = _Tokens()
     if page:
         reader.feed(page)
         reader.close()
-        reader.flush()
-    return [{"pos": i} | part for i, part in enumerate(reader.parts)]
+    return [{"pos": i} | part for i, part in enumerate(_Sequence(reader.tokens).parts)]
 
 
 def parts_of(pages: DataFrame, key: str, page: str = "html") -> DataFrame:

@@ -14,14 +14,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, map_text, rows_in, sampled
+from tideline.llm.common import bounded, forget, map_text, materialize, rows_in, sampled
 
 RUNS = re.compile(r"(.)\1+", re.S)
 SPAN = 1 << 18  # words of a text worked on at a time
-#: Words longer than this are taken in pieces.
+#: Longer words are hashed each time, not remembered.
 LONG = 256
 
 
@@ -46,14 +46,14 @@ class Featurizer:
                 if code is None:
                     w = words[i]
                     raw = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                    out[i] = seen[w] = raw | zlib.crc32(b"s" + shape(w).encode("utf-8", "surrogatepass")) << 32
+                    out[i] = raw | zlib.crc32(b"s" + shape(w).encode("utf-8", "surrogatepass")) << 32
+                    if len(w) <= LONG:
+                        seen[w] = out[i]
         return np.array(out, dtype=np.uint64)
 
     def spans(self, text: str):
         """Arrays of feature numbers, one for each kind of n-gram, for spans of the text that overlap by two words."""
         words = text.split()
-        if max(map(len, words), default=0) > LONG:
-            words = [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]
         earlier = np.zeros(0, np.uint64)  # word bigrams of the spans before
         top = np.uint64(64 - self.bits)
         for at in range(0, len(words), SPAN):
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     so that neither side is shuffled whole. Rows with a null key or label don't count, equal rows count once; of a key's several
     labels all count. With no labelled rows the model says 0.5; with one class, near that class's share.
     """
+    spark = docs.sparkSession
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
     n = marked.count()
     share = F.lit(min(1.0, most_rows / max(n, 1)))
@@ -146,18 +147,28 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
                 made = [make.vector(t) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["y", "at", "x"])
 
-    got = pairs.mapInArrow(run, "y int, at binary, x binary").toArrow()
-    rows = sorted(zip(got["at"].to_pylist(), got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
-    ones = sum(y for *_, y in rows)
-    scale, prior = 100.0, float(np.log((ones + 1) / (len(rows) - ones + 1)))
-    leader, draw = Ftrl((1 << bits) + 1), np.random.default_rng(seed)
-    leader.z[-1] = -prior * (leader.beta / leader.alpha + leader.l2)  # the bias starts at the class shares
-    for _ in range(epochs):
-        for i in draw.permutation(len(rows)):
-            at, x, y = rows[i]
-            at, x = np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)
-            leader.learn(np.append(at, 1 << bits), np.append(x * scale, 1.0), y)
-    weights = leader.weights()
+    rows = materialize(pairs.mapInArrow(run, "y int, at binary, x binary"), "features")
+    n, ones = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    size, scale, prior = 1 << bits, 100.0, float(np.log((ones + 1) / (n - ones + 1)))
+    draw = np.random.default_rng(seed)
+    turns = np.concatenate([draw.permutation(n) for _ in range(epochs)]) if n else np.zeros(0, np.int64)
+    turns = spark.createDataFrame(pa.table({"i": turns.astype(np.int64), "turn": np.arange(len(turns))}))
+
+    def learn_all(batches):
+        leader = Ftrl(size + 1)
+        leader.z[-1] = -prior * (leader.beta / leader.alpha + leader.l2)  # the bias starts at the class shares
+        for batch in batches:
+            for at, x, y in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                at, x = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)
+                leader.learn(np.append(at, size), np.append(x * scale, 1.0), y.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([leader.weights().tobytes()])], names=["w"])
+
+    # One sequence of updates: a single task reads the bounded sample once for each epoch, row by row; only weights come to the driver.
+    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy("at", "x", "y")) - 1)
+    turned = numbered.join(turns, "i").repartition(1).sortWithinPartitions("turn").select("at", "x", "y")
+    got = turned.mapInArrow(learn_all, "w binary").first()
+    weights = np.frombuffer(got["w"], np.float64)
+    forget(rows)
     return QualityModel(weights[:-1].astype(np.float32), float(weights[-1]), scale, bits)
 
 

@@ -9,6 +9,8 @@ query's rows never meet before they are at most k from each task.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +36,36 @@ def quantize(batch: pa.RecordBatch, scale: float) -> list[tuple[np.ndarray, np.n
         rows = np.flatnonzero(keep & (lengths == d))
         x = flat[offsets[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0))
         good = np.isfinite(x).all(axis=1)
-        with np.errstate(over="ignore"):
-            out[int(d)] = (keys[rows][good], np.floor(x[good] * scale))
+        out[int(d)] = (keys[rows][good], floored(x[good], scale))
     return [(i, x) for i, x in out.values() if len(i)]
 
 
+def floored(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x); as Python integers where that would be beyond what a double holds."""
+    if np.abs(x).max(initial=0) < 2.0**1000 / max(abs(scale), 1):
+        return np.floor(x * scale)
+    by = Fraction(scale)
+    return np.frompyfunc(lambda v: floor(Fraction(v) * by), 1, 1)(x)
+
+
+def norm(x: np.ndarray) -> float:
+    """The greatest norm of the rows; infinite where a double can't hold it."""
+    if x.dtype == object:
+        return float("inf")
+    with np.errstate(over="ignore"):
+        return float(np.sqrt((x * x).sum(axis=1)).max(initial=0))
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of all rows, exact; beyond 64 bits they stay at the largest or smallest 64-bit number."""
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    huge = a.dtype == object or b.dtype == object
+    most = float("inf") if huge else a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if most < 2.0**23:
         return a.astype(np.float32) @ b.T.astype(np.float32)
     if most < EXACT:
         return a @ b.T
+    if not a.shape[1]:
+        return np.zeros((len(a), len(b)))
     whole = np.frompyfunc(int, 1, 1)
     return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1)
 
@@ -170,19 +190,20 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20,
     asked = data.where(F.col("k") % every == 0)
     blocks = max(1, -(-asked.count() // block_rows))
 
-    def norm(batches):
+    def longest_of(batches):
         most = 0.0
         for batch in batches:
             for _, x in quantize(batch, scale):
-                most = max(most, float(np.sqrt((x * x).sum(axis=1)).max()))
+                most = max(most, norm(x))
         yield pa.RecordBatch.from_arrays([pa.array([most])], names=["n"])
 
-    longest = data.mapInArrow(norm, "n double").agg(F.max("n")).first()[0] or 0.0
+    longest = data.mapInArrow(longest_of, "n double").agg(F.max("n")).first()[0] or 0.0
     found = []
     for b in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()
         for ids, x in (pair for batch in got.to_batches() for pair in quantize(batch, scale)):
-            bound = min(float(np.sqrt((x * x).sum(axis=1)).max()) * longest + 1, 2.0**63)
+            own = norm(x)
+            bound = min(own * longest + 1 if own and longest else 1, 2.0**63)
             block = Block(ids, x, k)
             kth, above = kth_scores(data, block, int(bound), bins, scale)
             best = keep_best(data, block, kth, above, scale).withColumn("q", F.col("q") + F.lit(len(found) << 32))
