@@ -97,7 +97,7 @@ def test_hard_negatives_equal_brute_force(spark):
     rows = [(i, (centres[i % 6] + 0.3 * draw.normal(size=5)).round(1).tolist(), int(draw.integers(3))) for i in range(500)]
     rows += [(600 + i, rows[7][1], i % 2) for i in range(40)]  # copies of one vector: ties
     rows += [(700, [0.0] * 5, 1), (702, [-1.0] * 5, 2), (704, [1.0, 2.0], 1), (706, [2.0, 1.0], 0), (708, [1.5, 1.5], 1)]
-    rows += [(None, [1.0] * 5, 1), (710, None, 1), (712, [1.0, None, 0, 0, 0], 1), (714, [float("nan")] * 5, 1), (716, [float("inf")] * 5, 1), (718, [1.0] * 5, None), (720, [], 1), (722, [], 0)]
+    rows += [(None, [1.0] * 5, 1), (710, None, 1), (712, [1.0, None, 0.0, 0.0, 0.0], 1), (714, [float("nan")] * 5, 1), (716, [float("inf")] * 5, 1), (718, [1.0] * 5, None), (720, [], 1), (722, [], 0)]
     df = spark.createDataFrame(rows, VECTORS).withColumn("row", F.lit("clash")).withColumn("score", F.lit(1))
     want = negatives_by_hand(rows, 2, 256.0)
     for how in ({}, {"unit_rows": 16, "unit_anchors": 16, "pivots": 40}):

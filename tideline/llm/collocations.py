@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import forget, materialize, rows_in
+from tideline.llm.common import forget, materialize, rows_in, shuffles_dropped
 
 #: Pieces end at these, words at blanks and tabs. Fixed values.
 CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -105,7 +105,7 @@ def added_up(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.nda
     return [c[order[start]] for c in columns], np.add.reduceat(counts[order], start)
 
 
-def tries(docs: DataFrame, text: str, lang: str, longest: int, span: int = 1 << 19, slice_bytes: int = 4 << 20) -> DataFrame:
+def tries(docs: DataFrame, text: str, lang: str, longest: int, span: int = 1 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
     """Serialised tries of about `span` words each, one language to each."""
 
     def run(batches):
@@ -132,8 +132,10 @@ def tries(docs: DataFrame, text: str, lang: str, longest: int, span: int = 1 <<
                             trie.add(rest)
                         trie.add(part)
                     trie.add(b"\n")
-                    if sum(t.size for t in held.values()) > span:
-                        yield from flush(list(held))
+                    while sum(t.size for t in held.values()) > 2 * span or max(t.size for t in held.values()) > span:
+                        yield from flush([max(held, key=lambda k: held[k].size)])
+                        if not held:
+                            break
         yield from flush(list(held))
 
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, TRIE)
@@ -200,8 +202,9 @@ def frequent_bits(table: DataFrame, longest: int, least: int) -> bytes:
 
     sent = table.mapInArrow(count, "part long, packed binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros((PARTS, each // 8), np.uint8)
-    for row in sent.mapInArrow(summed, "part long, bits binary").toLocalIterator():
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    got = sent.mapInArrow(summed, "part long, bits binary").toArrow()
+    for part, bits in zip(got["part"].to_pylist(), got["bits"], strict=True):
+        out[part] = np.frombuffer(bits.as_buffer(), np.uint8)
     return zstandard.compress(out.tobytes(), 1)
 
 
@@ -242,11 +245,11 @@ def word_columns(longest: int) -> list[str]:
     return [f"w{k}" for k in range(1, longest + 1)]
 
 
-def merged(parts: DataFrame, longest: int, least: int) -> DataFrame:
-    """Nodes of the merged trie: lang, w1.. (empty behind a phrase's end), depth, f; those with f >= least.
+def ranged(parts: DataFrame, longest: int, least: int) -> DataFrame:
+    """Nodes of each range of the merged trie: lang, w1.. (empty behind a phrase's end), depth, f, border; those with f >= least.
 
     Each range of windows is sorted, so the windows of all tries under a prefix are neighbours in it; prefixes that are open at the
-    beginning or the end of a range leave it with what they have there, and are added up with their other parts.
+    beginning or the end of a range leave it (border) with what they have there.
     """
     names = word_columns(longest)
     order = ["w1", "lang", *names[1:]]
@@ -302,8 +305,12 @@ def merged(parts: DataFrame, longest: int, least: int) -> DataFrame:
                 first[depth - 1] = True  # what follows may be in the next range
                 yield from closed(depth)
 
-    nodes = materialize(dealt.mapInArrow(run, schema), "trie-ranges")
-    keys = ["lang", *names, "depth"]
+    return dealt.mapInArrow(run, schema)
+
+
+def merged(nodes: DataFrame, longest: int, least: int) -> DataFrame:
+    """Nodes of the whole trie, of those of its ranges: what is open at borders (a few nodes a range) is added up."""
+    keys = ["lang", *word_columns(longest), "depth"]
     at_borders = nodes.where("border").select(*keys).distinct()
     split = nodes.join(F.broadcast(at_borders), keys, "left_semi").groupBy(*keys).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return nodes.join(F.broadcast(at_borders), keys, "left_anti").select(*keys, "f").unionByName(split)
@@ -373,7 +380,7 @@ def uncovered(candidates: DataFrame, longest: int, percent: int) -> DataFrame:
     return candidates.join(longer, ["lang", *names], "left").where(F.coalesce(~enough, F.lit(True))).drop("longer")
 
 
-def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, covered: int = 80, most: int = 2000, span: int = 1 << 19, slice_bytes: int = 4 << 20) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, covered: int = 80, most: int = 2000, span: int = 1 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
     """Each language's best phrases of 2 to `longest` words: lang, rank, phrase, a, l, r, n, score.
 
     A-Z count as a-z; n: words of the language; a: occurrences of the phrase, `least` or more; l and r: those of the two parts of its
@@ -382,14 +389,19 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     languages are `und`; repeated rows count each; other columns don't matter; an empty table gives no rows. longest: 2 or more.
     """
     names = word_columns(longest)
-    table = materialize(tries(docs, text, lang, longest, span, slice_bytes), "tries")
-    windows_ = materialize(pruned(table, longest, frequent_bits(table, longest, least)), "trie-windows")
-    nodes = materialize(merged(windows_, longest, least), "trie-nodes")
-    forget(windows_)
-    scored = materialize(with_cuts(with_left_parts(nodes, longest), nodes, longest), "phrase-cuts")
-    totals = table.groupBy("lang").agg(F.sum("n").alias("n"))
+    spark = docs.sparkSession
+    with shuffles_dropped(spark):
+        table = materialize(tries(docs, text, lang, longest, span, slice_bytes), "tries")
+        totals = materialize(table.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
+        windows_ = materialize(pruned(table, longest, frequent_bits(table, longest, least)), "trie-windows")
+        forget(table)
+        ranges = materialize(ranged(windows_, longest, least), "trie-ranges")
+        forget(windows_)
+        nodes = materialize(merged(ranges, longest, least), "trie-nodes")
+        forget(ranges)
+        scored = materialize(with_cuts(with_left_parts(nodes, longest), nodes, longest), "phrase-cuts")
     best = uncovered(scored, longest, covered).withColumn("phrase", F.array_join(F.filter(F.array(*names), lambda w: w != ""), " "))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = materialize(best.withColumn("rank", rank).where(F.col("rank") <= most).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "phrases")
-    forget(table, nodes, scored)
+    forget(totals, nodes, scored)
     return best

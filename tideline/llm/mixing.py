@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, few, materialize
+from tideline.llm.common import WORD, few, forget, materialize
 
 #: Hex digits of the order hash that make a slice of a leaf; a leaf's prefix is counted by slices, then within one.
 SLICE_DIGITS = 3
@@ -88,12 +88,18 @@ def _plan(thin: DataFrame, share: float, epochs: int, domains, languages, source
     plan = budgets(leaves, F.lit(whole * round(share * 1000) // 1000), epochs, domains or {}, languages or {}, sources or {}, rest)
     plan = materialize(plan.select(*LEAF, "full_epochs", "tail"), "mixing-plan")
     dealt = thin.join(few(plan), LEAF).withColumn("h", _hash(seed, "full_epochs", "k")).withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
-    slices = dealt.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("n"), F.max("tail").alias("tail"))
-    so_far = Window.partitionBy(*LEAF).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = slices.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-    ends = ends.where((F.col("before") < F.col("tail")) & (F.col("tail") <= F.col("before") + F.col("n")))
-    ends = ends.select(*LEAF, F.col("slice").alias("edge"), (F.col("tail") - F.col("before")).alias("room"))
-    plan = materialize(plan.drop("tail").join(ends, LEAF, "left"), "mixing-edges")
+    slices = materialize(dealt.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("n"), F.max("tail").alias("tail")), "mixing-slices")
+    # Digit by digit: of a leaf at most 16 sums meet in a window, however many documents and slices it has.
+    ends = slices.groupBy(*LEAF).agg(F.max("tail").alias("room")).where("room > 0").withColumn("edge", F.lit(""))
+    for digits in range(1, SLICE_DIGITS + 1):
+        inside = slices.join(few(ends), LEAF).where(F.substring("slice", 1, digits - 1) == F.col("edge"))
+        sums = inside.groupBy(*LEAF, F.substring("slice", 1, digits).alias("next")).agg(F.sum("n").alias("n"), F.max("room").alias("room"))
+        so_far = Window.partitionBy(*LEAF).orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        found = sums.where((F.col("before") < F.col("room")) & (F.col("room") <= F.col("before") + F.col("n")))
+        ends = materialize(found.select(*LEAF, (F.col("room") - F.col("before")).alias("room"), F.col("next").alias("edge")), "mixing-ends")
+    plan = materialize(plan.drop("tail").join(few(ends), LEAF, "left"), "mixing-edges")
+    forget(slices)
     rank = Window.partitionBy(*LEAF).orderBy("h", "k", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = dealt.drop("full_epochs", "tail").join(few(plan), LEAF).where(F.col("slice") == F.col("edge"))
     edge = edge.withColumn("begin", F.coalesce(F.sum("n_tokens").over(rank), F.lit(0)))
