@@ -1,13 +1,14 @@
 """Distances between point clouds as edge lists: (i, j, d), i the query, j the reference.
 
 A point cloud is a DataFrame of point_id and x (array<double>). A metric has no key to hash on, so a plain join compares
-all pairs. Three plans, chosen by what is asked:
+all pairs. Four plans, chosen by what is asked:
 
 * full: every pair, as a Column expression; for small clouds and exact comparison with SQL.
 * grid: for a cut-off in few dimensions, an equi-join on grid cells as wide as the cut-off and their neighbours; nothing
   is broadcast and the work follows the number of near pairs.
 * blocks: the references are cut into blocks of bounded size; each meets all queries in matrix products, in Arrow
   batches, and only edges within the cut-off, or each query's k nearest of the block, leave the task.
+* cells: pivot cells and the triangle inequality (see voronoi); for a cut-off or k nearest in any number of dimensions.
 """
 
 from __future__ import annotations
@@ -138,16 +139,22 @@ def at_least(x: DataFrame, kmin: int, edges: DataFrame, metric: str = "euclidean
 
 def distances(x: DataFrame, y: DataFrame | None = None, metric: str = "euclidean", cut_off: float | None = None, k: int | None = None, kmin: int = 0, plan: str = "auto", small: int = 2000, dimensions: int | None = None) -> DataFrame:
     """Edge list by the plan that suits the sizes (auto), or by the one named."""
+    from tideline.operators.voronoi import METRIC, near
+
     if plan == "auto":
         if cut_off is not None and k is None and dimensions is not None and dimensions <= 3 and metric != "cosine":
             plan = "grid"
+        elif x.count() * (x if y is None else y).count() <= small * small:
+            plan = "full"
         else:
-            plan = "full" if x.count() * (x if y is None else y).count() <= small * small else "blocks"
+            plan = "cells" if metric in METRIC and (cut_off is not None or k is not None) else "blocks"
     if plan == "grid":
         edges = grid(x, y, metric, cut_off, dimensions or 2)
+    elif plan == "cells":
+        edges = near(x, y, metric, cut_off, k).edges
     elif plan == "blocks":
         edges = blocks(x, y, metric, cut_off, k)
     else:
         edges = full(x, y, metric, cut_off)
         edges = edges if k is None else nearest(edges, k)
-    return at_least(x, kmin, edges, metric, y, "full" if plan == "full" else "blocks") if kmin else edges
+    return at_least(x, kmin, edges, metric, y, plan if plan in ("full", "cells") else "blocks") if kmin else edges

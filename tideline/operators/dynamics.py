@@ -11,12 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tideline.functions.linalg import expm, least_squares, logm, matrix_power, runge_kutta, spectrum
-from tideline.functions.vectors import linear
 from tideline.operators import gram, metrics
 from tideline.operators.checks import Checked
 from tideline.operators.collection import Collection, CollectionError
@@ -83,16 +84,15 @@ class LinearSystem:
 def predict_frame(system: LinearSystem, initial: Collection, times: Sequence[float], control: Collection | None = None, output: np.ndarray | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """States of every series at `times`, counted from its own initial time.
 
-    Without control: one matrix for each time, kept in the plan as literals, so prediction is a projection. With control: each series'
-    controls, in order of time, meet its initial state in a group. output: a matrix that maps states to what is returned.
+    Without control: one matrix for each time, sent to tasks as an array and multiplied in Arrow batches, so the plan's size doesn't
+    follow the number of times. With control: each series' controls, in order of time, meet its initial state in a group. output: a matrix that maps states to what is returned.
     """
     names = list(names or initial.features)
     out = np.eye(len(initial.features)) if output is None else output
+    if not np.isfinite(np.asarray(times, float)).all():
+        raise CollectionError("times are finite")
     if control is None:
-        xs = [F.col(f) for f in initial.features]
-        rows = [F.struct(F.lit(float(t)).alias("t"), *(linear(xs, row.tolist()).alias(n) for n, row in zip(names, out @ system.propagator(float(t)), strict=True))) for t in times]
-        made = initial.df.select(initial.id, F.col(initial.time).alias("_t0"), F.explode(F.array(*rows)).alias("s"))
-        return made.select(initial.id, (F.col("_t0") + F.col("s.t")).alias(initial.time), *(F.col(f"s.{n}") for n in names))
+        return projected(initial, {None: np.array([out @ system.propagator(float(t)) for t in times])}, times, names)
     i, t, states, inputs = initial.id, initial.time, list(initial.features), list(control.features)
     schema = StructType([StructField(i, LongType()), StructField(t, DoubleType()), *(StructField(n, DoubleType()) for n in names)])
 
@@ -111,6 +111,35 @@ def predict_frame(system: LinearSystem, initial: Collection, times: Sequence[flo
     return initial.df.groupBy(i).cogroup(renamed.groupBy(i)).applyInPandas(run, schema)
 
 
+def projected(initial: Collection, matrices: dict, times: Sequence[float], names: Sequence[str], which: str | None = None, until: str | None = None) -> DataFrame:
+    """States times matrices of shape (times, names, features), one set for each value of the column `which` (None: one for all rows); only
+    the first `until` (a column) times of a row. A row without a value has none later."""
+    times, d = np.asarray(times, float), len(initial.features)
+    extra = [F.lit(None).cast("int") if which is None else F.col(which).cast("int"), F.lit(len(times)).cast("int") if until is None else F.least(F.col(until).cast("int"), F.lit(len(times)))]
+    chosen = initial.df.select(initial.id, F.col(initial.time).cast("double"), *(F.col(f).cast("double") for f in initial.features), *(c.alias(n) for c, n in zip(extra, ("_which", "_until"), strict=True)))
+    schema = StructType([chosen.schema[initial.id], StructField(initial.time, DoubleType()), *(StructField(n, DoubleType()) for n in names)])
+
+    def run(batches):
+        for batch in batches:
+            of = np.array([-1 if v is None else v for v in batch.column(d + 2).to_pylist()], int)
+            n = batch.column(d + 3).to_numpy()
+            empty = np.array([batch.column(k + 2).is_null().to_numpy(zero_copy_only=False) for k in range(d)], bool).reshape(d, -1).any(axis=0)
+            x = np.column_stack([batch.column(k + 2).fill_null(0.0).to_numpy() for k in range(d)]) if d else np.zeros((batch.num_rows, 0))
+            for key, m in matrices.items():
+                rows = np.flatnonzero(of == (-1 if key is None else key))
+                step = max(1, (1 << 16) // max(1, len(times)))
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    made = np.einsum("tqd,nd->ntq", m, x[some], optimize=True)
+                    i, t = np.nonzero(np.arange(len(times)) < n[some][:, None])
+                    gone = pa.array(empty[some][i])
+                    columns = [pc.if_else(gone, pa.scalar(None, pa.float64()), pa.array(made[i, t, q])) for q in range(len(names))]
+                    begin = batch.column(1).to_numpy(zero_copy_only=False)[some]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[i])), pa.array(begin[i] + times[t]), *columns], names=schema.names)
+
+    return chosen.mapInArrow(run, schema)
+
+
 @dataclass
 class Model:
     """Common to all: prediction, reconstruction, score."""
@@ -246,10 +275,14 @@ class GeneratorDmd(Model):
         return self
 
 
-def _all_met(found: int, wanted: int) -> None:
-    """Controls are needed, once, at each time of a state that is learnt from."""
-    if found != wanted:
-        raise CollectionError(f"controls don't have the keys of the states: {found} rows meet one of {wanted}")
+def check_controls(tsc: Collection, needed: DataFrame, control: Collection) -> None:
+    """Controls are needed, once, at each time of a state that is learnt from (`needed`: its keys), and nowhere but at times of states."""
+    keys = lambda df, i, t, *marks: df.select(F.col(i).alias("i"), F.col(t).alias("t"), *(F.lit(m).alias(n) for m, n in zip(marks, "nsc", strict=True)))
+    every = keys(needed, tsc.id, tsc.time, 1, 0, 0).unionByName(keys(tsc.df, tsc.id, tsc.time, 0, 1, 0)).unionByName(keys(control.df, control.id, control.time, 0, 0, 1))
+    met = every.groupBy("i", "t").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.sum("c").alias("c"))
+    found = met.agg(F.count_if(F.expr("n = 1 AND c = 0")).alias("missing"), F.count_if(F.expr("c > 1")).alias("repeated"), F.count_if(F.expr("c > 0 AND s = 0")).alias("foreign")).first().asDict()
+    if any(found.values()):
+        raise CollectionError("controls don't have the keys of the states: " + ", ".join(f"{n} {kind}" for kind, n in found.items() if n))
 
 
 @dataclass
@@ -261,10 +294,10 @@ class ControlDmd(Model):
     def fit(self, tsc: Collection, control: Collection, delta: float | None = None) -> ControlDmd:
         self._begin(tsc, delta)
         self.controls = list(control.features)
+        check_controls(tsc, shift_pairs(tsc), control)
         pairs = shift_pairs(tsc).join(control.df.select(F.col(control.id).alias(tsc.id), F.col(control.time).alias(tsc.time), *self.controls), [tsc.id, tsc.time])
         d, m = len(self.features), len(self.controls)
-        both, n = gram.matrix(pairs, self.features + self.controls + [f"{f}_next" for f in self.features])
-        _all_met(n, shift_pairs(tsc).count())
+        both, _ = gram.matrix(pairs, self.features + self.controls + [f"{f}_next" for f in self.features])
         ab = least_squares(both[: d + m, : d + m], both[: d + m, d + m :], self.rcond)
         self.system = LinearSystem(ab[:, :d], "flowmap", "matrix", self.delta, control=ab[:, d:])
         return self
@@ -283,11 +316,11 @@ class AffineDmd(Model):
         self.controls = list(control.features)
         dots = finite_difference(tsc, self.delta, self.scheme, 1, self.accuracy, suffix="_dot")
         known = tsc.join_features(dots)
+        check_controls(tsc, known.df, control)
         rows = known.join_features(control).df
         rows, products = gram.kronecker(rows, self.features, self.controls)
         d, m = len(self.features), len(self.controls)
-        both, n = gram.matrix(rows, self.features + products + [f"{f}_dot" for f in self.features])
-        _all_met(n, known.df.count())
+        both, _ = gram.matrix(rows, self.features + products + [f"{f}_dot" for f in self.features])
         ab = least_squares(both[: d + d * m, : d + d * m], both[: d + d * m, d + d * m :], self.rcond)
         self.system = LinearSystem(ab[:, :d], "differential", "matrix", self.delta, control=ab[:, d:].reshape(d, m, d).transpose(1, 0, 2), affine=True)
         return self

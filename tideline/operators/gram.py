@@ -50,6 +50,29 @@ def matrix(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = Non
     return out.reshape(l, -1), n
 
 
+def matrices(df: DataFrame, columns: Sequence[str], by: str) -> dict[int, tuple[np.ndarray, int]]:
+    """matrix() for each value of the integer column `by` (few: tasks hold a matrix for each), in one pass."""
+    d = len(columns)
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of = batch.column(d).to_numpy(zero_copy_only=False)
+            x = np.column_stack([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)), np.ones(batch.num_rows)])
+            for key in np.unique(of).tolist():
+                part = x[of == key]
+                found[key] = found.get(key, 0.0) + part.T @ part
+        for key, total in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, key, np.int64)), pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["key", "at", "v"])
+
+    chosen = df.where(F.col(by).isNotNull()).select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), F.col(by).cast("long").alias("by"))
+    got = chosen.mapInArrow(run, "key long, at long, v double").groupBy("key", "at").agg(F.sum("v").alias("v")).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for key, at, v in zip(*(got[c].to_pylist() for c in ("key", "at", "v")), strict=True):
+        out.setdefault(key, np.zeros((d + 1) ** 2))[at] = v
+    return {key: (m.reshape(d + 1, d + 1)[:d, :d], round(m[-1])) for key, m in out.items()}
+
+
 def kronecker(df: DataFrame, states: Sequence[str], controls: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Adds a column for each control times state: u0*x0, u0*x1, ..., u1*x0, ..."""
     names = {f"{u}*{x}": F.col(u) * F.col(x) for u in controls for x in states}

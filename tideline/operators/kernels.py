@@ -9,6 +9,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,13 @@ from tideline.operators.windows import finite_difference
 
 @dataclass(frozen=True)
 class Kernel:
-    """A function of the distance in `metric`."""
+    """A function of the distance in `metric`, as a Column expression and, for blocks of distances, on arrays."""
 
     name: str
     metric: str
     of: Callable[[Column], Column]
     epsilon: float | None = None
+    values: Callable[[np.ndarray], np.ndarray] | None = None
 
     def edges(self, distance: DataFrame) -> DataFrame:
         return distance.select("i", "j", self.of(F.col("d")).alias("w"))
@@ -35,31 +37,31 @@ class Kernel:
 
 
 def gaussian(epsilon: float = 1.0) -> Kernel:
-    return Kernel("gaussian", "sqeuclidean", lambda d: F.exp(-d / F.lit(2.0 * epsilon)), epsilon)
+    return Kernel("gaussian", "sqeuclidean", lambda d: F.exp(-d / F.lit(2.0 * epsilon)), epsilon, lambda d: np.exp(-d / (2.0 * epsilon)))
 
 
 def multiquadric(epsilon: float = 1.0) -> Kernel:
-    return Kernel("multiquadric", "sqeuclidean", lambda d: F.sqrt(d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon)
+    return Kernel("multiquadric", "sqeuclidean", lambda d: F.sqrt(d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon, lambda d: np.sqrt(d / (2.0 * epsilon) + 1.0))
 
 
 def inverse_multiquadric(epsilon: float = 1.0) -> Kernel:
-    return Kernel("inverse_multiquadric", "sqeuclidean", lambda d: F.lit(1.0) / F.sqrt(d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon)
+    return Kernel("inverse_multiquadric", "sqeuclidean", lambda d: F.lit(1.0) / F.sqrt(d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon, lambda d: 1.0 / np.sqrt(d / (2.0 * epsilon) + 1.0))
 
 
 def inverse_quadratic(epsilon: float = 1.0) -> Kernel:
-    return Kernel("inverse_quadratic", "sqeuclidean", lambda d: F.lit(1.0) / (d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon)
+    return Kernel("inverse_quadratic", "sqeuclidean", lambda d: F.lit(1.0) / (d / F.lit(2.0 * epsilon) + F.lit(1.0)), epsilon, lambda d: 1.0 / (d / (2.0 * epsilon) + 1.0))
 
 
 def thinplate() -> Kernel:
-    return Kernel("thinplate", "euclidean", lambda d: F.when(d <= 0, F.lit(0.0)).otherwise(d * d * F.ln(F.greatest(d, F.lit(5e-324)))))
+    return Kernel("thinplate", "euclidean", lambda d: F.when(d <= 0, F.lit(0.0)).otherwise(d * d * F.ln(F.greatest(d, F.lit(5e-324)))), values=lambda d: np.where(d <= 0, 0.0, d * d * np.log(np.maximum(d, 5e-324))))
 
 
 def cubic() -> Kernel:
-    return Kernel("cubic", "euclidean", lambda d: d * d * d)
+    return Kernel("cubic", "euclidean", lambda d: d * d * d, values=lambda d: d * d * d)
 
 
 def quintic() -> Kernel:
-    return Kernel("quintic", "euclidean", lambda d: d * d * d * d * d)
+    return Kernel("quintic", "euclidean", lambda d: d * d * d * d * d, values=lambda d: d * d * d * d * d)
 
 
 BY_NAME: dict[str, Callable[..., Kernel]] = {k.__name__: k for k in (gaussian, multiquadric, inverse_multiquadric, inverse_quadratic, thinplate, cubic, quintic)}

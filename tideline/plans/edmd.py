@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from copy import deepcopy
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -16,10 +17,10 @@ from tideline.functions.vectors import linear
 from tideline.operators import gram, metrics
 from tideline.operators.checks import Checked
 from tideline.operators.collection import Collection, CollectionError
-from tideline.operators.dynamics import ControlDmd, Dmd, Model
-from tideline.operators.splits import splits
+from tideline.operators.dynamics import ControlDmd, Dmd, Model, projected
+from tideline.operators.splits import kfold_series, splits
 from tideline.operators.windows import finite_difference, shift_pairs, takens
-from tideline.plans.session import shared_folder
+from tideline.plans.session import dropped, shared_folder, written
 from tideline.plans.transformers import Identity, Pipeline, Principal, Transformer
 
 
@@ -34,6 +35,11 @@ class Edmd:
     def __getitem__(self, part: slice) -> Pipeline:
         return self.pipeline[part]
 
+    @property
+    def additive(self) -> bool:
+        """Whether sums over series are all that a fit needs: the dictionary learns nothing and holds the state."""
+        return type(self.model) is Dmd and self.include_state and not self.stepwise and all(type(t).fit is Transformer.fit for t in self.pipeline.steps)
+
     def _lift(self, tsc: Collection, fit: bool) -> Collection:
         made = self.pipeline.fit_transform(tsc) if fit else self.pipeline.transform(tsc)
         if self.include_state and (missing := [f for f in tsc.features if f not in made.features]):
@@ -169,19 +175,86 @@ class Edmd:
         return errors.join(rows.select(tsc.id, "_old", "window").distinct(), tsc.id).drop(tsc.id).withColumnRenamed("_old", tsc.id)
 
 
-def grid_search(build, grid: dict[str, Sequence], tsc: Collection, split: dict, workers: int = 4) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """Best parameters of build(**parameters) by mean score over the splits. Candidates are independent sets of Spark jobs,
-    submitted from a pool of threads; splits are predicates on one cached collection."""
+@dataclass
+class Search:
+    """Best parameters, their mean score, all candidates with theirs, and the best model fitted anew on all series (if asked for)."""
+
+    best: dict
+    score: float
+    tried: list[tuple[dict, float]]
+    model: Edmd | None = None
+
+    def __iter__(self):
+        return iter((self.best, self.score, self.tried))
+
+
+def grid_search(build, grid: dict[str, Sequence], tsc: Collection, split: dict, workers: int = 4, refit: bool = False, error_score: float | None = None) -> Search:
+    """Best parameters of build(**parameters) by mean score over the splits; of equal ones the first.
+
+    A candidate that fails ends the search, or, with an error_score, has that for a score (nan: never best). Where folds are sets of
+    series and a candidate is a plain linear model on a dictionary that learns nothing itself, its models come from one pass: the sums
+    of all series less those of a fold; another pass scores all folds. Other candidates are fitted split by split."""
     candidates = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    folds = [(a.with_df(a.df.persist()), b.with_df(b.df.persist())) for a, b in splits(tsc, **split)]
+    shared = split.get("kind") == "series" and all(isinstance(m := build(**p), Edmd) and m.additive for p in candidates)
+    if shared:
+        checked = Checked(tsc).require(min_timesteps=2)
+        rows = written(kfold_series(tsc, split.get("k", 3), split.get("seed")), "folds")
+        of = written(rows.select(tsc.id, "fold").distinct(), "fold-of-series")
+        data = tsc.with_df(rows.drop("fold"))
+        attempt = lambda p: float(np.mean(fold_scores(build(**p), data, of, checked)))
+    else:
+        folds = [(a.with_df(a.df.persist()), b.with_df(b.df.persist())) for a, b in splits(tsc, **split)]
+        attempt = lambda p: float(np.mean([deepcopy(build(**p)).fit(train).score(test) for train, test in folds]))
 
     def run(parameters: dict) -> float:
-        return float(np.mean([deepcopy(build(**parameters)).fit(train).score(test) for train, test in folds]))
+        try:
+            return attempt(parameters)
+        except Exception:
+            if error_score is None:
+                raise
+            return float(error_score)
 
     with ThreadPoolExecutor(workers) as pool:
         scores = list(pool.map(run, candidates))
-    best = int(np.argmax(scores))
-    return candidates[best], scores[best], list(zip(candidates, scores, strict=True))
+    if shared:
+        dropped(rows, of)
+    else:
+        for pair in folds:
+            for side in pair:
+                side.df.unpersist()
+    if np.isnan(scores).all():
+        raise CollectionError("every candidate failed")
+    best = int(np.nanargmax(scores))
+    model = build(**candidates[best]).fit(tsc) if refit else None
+    return Search(candidates[best], scores[best], list(zip(candidates, scores, strict=True)), model)
+
+
+def fold_scores(model: Edmd, tsc: Collection, folds: DataFrame, checked: Checked) -> list[float]:
+    """The score on each fold (id, fold) of the model fitted on the series of all others."""
+    model.features, delta = list(tsc.features), checked.delta
+    lifted = model._lift(tsc, True)
+    names, d = list(lifted.features), len(lifted.features)
+    back = np.eye(d)[[names.index(f) for f in model.features]]
+    sums = gram.matrices(shift_pairs(lifted).join(folds, tsc.id), names + [f"{f}_next" for f in names], "fold")
+    total, n = sum(m for m, _ in sums.values()), sum(k for _, k in sums.values())
+    count = F.count(F.lit(1)).over(Window.partitionBy(tsc.id))
+    at = F.row_number().over(Window.partitionBy(tsc.id).orderBy(tsc.time))
+    first = lifted.with_df(lifted.df.withColumns({"_n": count, "_at": at}).where("_at = 1").drop("_at").join(folds, tsc.id))
+    most = checked.row["most_n"]
+    steps, matrices = np.arange(most) * delta, {}
+    for fold, (m, k) in sums.items():
+        one = deepcopy(model.model)
+        one.features, one.delta = names, delta
+        g, rows = total - m, n - k
+        if not rows:
+            raise CollectionError(f"without fold {fold} there is nothing to learn from")
+        one.fit_gram(g[:d, :d] / rows, g[:d, d:] / rows, g[d:, d:] / rows)
+        matrices[fold] = np.array([back @ one.system.propagator(float(t)) for t in steps])
+    made = projected(first, matrices, steps, [f"_p{k}" for k in range(len(model.features))], "fold", "_n")
+    true = tsc.df.select(tsc.id, F.col(tsc.time).cast("double").alias(tsc.time), *tsc.features).join(folds, tsc.id)
+    errors = [c for k, f in enumerate(model.features) for c in (F.sqrt(F.avg((F.col(f) - F.col(f"_p{k}")) ** 2)).alias(f"e{k}"), (F.max(f) - F.min(f)).alias(f"s{k}"))]
+    found = true.join(made, [tsc.id, tsc.time]).groupBy("fold").agg(*errors).orderBy("fold").collect()
+    return [-float(np.mean([r[f"e{k}"] / (r[f"s{k}"] or 1.0) for k in range(len(model.features))])) for r in found]
 
 
 class Havok:

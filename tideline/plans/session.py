@@ -31,6 +31,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(root or 'file:///tmp/checkpoints/tideline').rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables made by written() that nothing reads any more."""
+    for table in tables:
+        if (folder := getattr(table, "_written", None)) is not None:
+            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

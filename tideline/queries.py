@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.operators import checks, control, distance, dynamics, gram, kernels, manifold, metrics, pointcloud, regress, splits, windows
+from tideline.operators import blocked, checks, control, distance, dynamics, gram, kernels, manifold, metrics, pointcloud, regress, splits, voronoi, windows
 from tideline.operators.collection import Collection
 from tideline.plans import edmd, transformers
+from tideline.plans.session import shared_folder
 from tideline.sources import io, systems
 from tideline.streaming import online
 
@@ -449,12 +450,12 @@ KNN = f"e AS (SELECT a.point_id AS i, b.point_id AS j, sqrt({D2}) AS d FROM c a,
 
 @query(f"WITH {CLOUD}, {KNN} SELECT i, j, round(d, 6) AS d FROM k WHERE n <= 5")
 def dist_knn(s, d):
-    return rounded(distance.distances(cloud(s, d), k=5, plan="blocks"), ["d"])
+    return rounded(distance.distances(cloud(s, d), k=5, plan="cells"), ["d"])
 
 
 @query(f"WITH {CLOUD}, {KNN}, u AS (SELECT i, j, d FROM e WHERE d <= 0.9 UNION SELECT i, j, d FROM k WHERE n <= 3 UNION SELECT j, i, d FROM k WHERE n <= 3) SELECT DISTINCT i, j, round(d, 6) AS d FROM u")
 def dist_kmin(s, d):
-    return rounded(distance.distances(cloud(s, d), cut_off=0.9, kmin=3, plan="blocks"), ["d"]).distinct()
+    return rounded(distance.distances(cloud(s, d), cut_off=0.9, kmin=3, plan="cells"), ["d"]).distinct()
 
 
 @query(f"WITH {CLOUD}, y AS (SELECT point_id + 1000000 AS point_id, list_transform(x, lambda v: 0.9::DOUBLE * v) AS x FROM c), e AS (SELECT a.point_id AS i, b.point_id AS j, {D2} AS d FROM y a, c b) SELECT i, j, round(d, 6) AS d FROM e WHERE d <= 1.21")
@@ -465,6 +466,12 @@ def dist_cdist(s, d):
     return rounded(distance.distances(x, moved, "sqeuclidean", cut_off=1.1, plan="blocks"), ["d"])
 
 
+@query(f"WITH {CLOUD} SELECT a.point_id AS i, b.point_id AS j, round(sqrt({D2}), 6) AS d FROM c a JOIN c b ON sqrt({D2}) <= 1.15")
+def dist_range_cells(s, d):
+    """Neighbours in 64 dimensions, where no grid of cells can be laid."""
+    return rounded(voronoi.near(cloud(s, d), cut_off=1.15).edges, ["d"])
+
+
 def _metric_sql(term: str, step: str) -> str:
     return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(a.x, b.x), lambda z: {term})), lambda s, v: {step})"
 
@@ -504,29 +511,35 @@ GAUSS = f"{EDGE}, g AS (SELECT i, j, exp(-d2 / 1.4) AS w FROM e), q AS (SELECT i
 SUMS = "SELECT i, count(*) AS n, round(sum(w), 6) AS total, round(sum(w * w), 8) AS squares FROM"
 
 
-def _summed(e: DataFrame) -> DataFrame:
-    return e.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("total"), F.round(F.sum(F.col("w") * F.col("w")), 8).alias("squares"))
+def _rounded_sums(found: DataFrame, n: int) -> DataFrame:
+    return found.select(F.col("point_id").alias("i"), F.lit(n).cast("long").alias("n"), F.round("total", 6).alias("total"), F.round("squares", 8).alias("squares"))
+
+
+def _sums_of(x: DataFrame, scale: str) -> DataFrame:
+    over = blocked.Blocks.of(x)
+    return _rounded_sums(blocked.moments(kernels.gaussian(0.7), over, scale=scale), over.n)
 
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / (a.q * b.q) AS w FROM g JOIN q a ON a.i = g.i JOIN q b ON b.i = g.j) {SUMS} w GROUP BY i")
 def kern_density_alpha(s, d):
-    return _summed(kernels.density_normalized(kernels.gaussian(0.7)(cloud(s, d), plan="blocks"))[0])
+    return _sums_of(cloud(s, d), "density")
 
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / q AS w FROM g JOIN q USING (i)) {SUMS} w GROUP BY i")
 def kern_stochastic(s, d):
-    return _summed(kernels.stochastic(kernels.gaussian(0.7)(cloud(s, d), plan="blocks")))
+    return _sums_of(cloud(s, d), "stochastic")
 
 
 @query(f"{GAUSS}, w AS (SELECT g.i, g.j, w / (sqrt(a.q) * sqrt(b.q)) AS w FROM g JOIN q a ON a.i = g.i JOIN q b ON b.i = g.j) {SUMS} w GROUP BY i")
 def kern_conjugate(s, d):
-    return _summed(kernels.conjugate(kernels.gaussian(0.7)(cloud(s, d), plan="blocks"))[0])
+    return _sums_of(cloud(s, d), "conjugate")
 
 
 @query(f"{GAUSS}, l AS (SELECT * FROM g WHERE j % 4 = 0), cs AS (SELECT j, sum(w) AS c FROM l GROUP BY j), s AS (SELECT i, 1 / sqrt(sum(w * c)) AS s FROM l JOIN cs USING (j) GROUP BY i), w AS (SELECT l.i, l.w * s AS w FROM l JOIN s USING (i)) {SUMS} w GROUP BY i")
 def kern_landmark(s, d):
     x = cloud(s, d)
-    return _summed(kernels.landmark(kernels.gaussian(0.7)(x.where("point_id % 4 = 0"), x, plan="blocks"))[0])
+    marks = x.where("point_id % 4 = 0")
+    return _rounded_sums(manifold.landmark_moments(kernels.gaussian(0.7), x, marks), marks.count())
 
 
 SUPPLY = "t AS (SELECT CAST(s_nationkey AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS time, CAST(s_acctbal AS DOUBLE) / 1000 AS a, CAST(s_suppkey % 10 AS DOUBLE) AS b FROM supplier)"
@@ -581,6 +594,78 @@ def plot_density(s, d):
     return rounded(pointcloud.density(plane(s, d), io.regular_mesh(s, (80, 0), (180, 50), 6, 6), 5.0), ["density"], 4)
 
 
+# -- properties, long series --------------------------------------------------------------------------------------------
+
+
+def _properties(tsc: Collection):
+    c = checks.Checked(tsc)
+    r = c.row
+    return {**{k: r[k] for k in ("n_series", "n_rows", "least_n", "most_n", "repeated", "not_finite", "degenerate", "n_times")}, **{k: getattr(c, k) for k in ("valid", "finite", "equal_length", "const_delta", "same_times", "normalized_time", "has_degenerate")}}
+
+
+_PROPERTIES = f"""d AS (SELECT id, time, time - lag(time) OVER ({ID}) AS step, value FROM t), n AS (SELECT id, count(*) AS n, min(time) AS first, min(step) AS lo, max(step) AS hi, sum(CASE WHEN step = 0 THEN 1 ELSE 0 END) AS again, sum(CASE WHEN value IS NULL OR NOT isfinite(value) THEN 1 ELSE 0 END) AS bad FROM d GROUP BY id),
+s AS (SELECT count(*) AS n_series, CAST(sum(n) AS BIGINT) AS n_rows, min(n) AS least_n, max(n) AS most_n, CAST(sum(again) AS BIGINT) AS repeated, CAST(sum(bad) AS BIGINT) AS not_finite, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS degenerate, (SELECT count(DISTINCT time) FROM t) AS n_times, min(id) AS low, min(first) AS first, count(CASE WHEN lo = hi THEN 1 END) AS regular, min(lo) AS lo, max(hi) AS hi FROM n)
+SELECT n_series, n_rows, least_n, most_n, repeated, not_finite, degenerate, n_times, repeated = 0 AND low >= 0 AS valid, not_finite = 0 AS finite, least_n = most_n AS equal_length, regular = n_series AND lo = hi AS const_delta, least_n = most_n AND n_times = most_n AS same_times, first = 0 AND regular = n_series AND lo = hi AND lo = 1 AS normalized_time, degenerate > 0 AS has_degenerate FROM s"""
+
+
+@query(f"WITH {EVENTS}, {_PROPERTIES}")
+def val_properties(s, d):
+    """All properties of regular series, from one pass."""
+    return one_row(s, **_properties(events(s, d).select("value")))
+
+
+@query(f"WITH {DAYS}, {_PROPERTIES}")
+def val_properties_days(s, d):
+    """The same of irregular series."""
+    return one_row(s, **_properties(days(s, d)))
+
+
+@query(f"""WITH {ORDERS}, n AS (SELECT id, count(*) AS n FROM t GROUP BY id) SELECT false AS whole_control_matches, true AS cut_control_matches, (SELECT count(*) FROM n) AS late_controls, (SELECT count(*) FROM n WHERE n <> 1) AS other_starts""")
+def val_control_keys(s, d):
+    """Whether controls have the keys of the states that need one; series whose control doesn't begin where the initial states end."""
+    state, u = orders(s, d)
+    late = u.with_df(u.df.withColumn("time", F.col("time") + 1))
+    return one_row(s, whole_control_matches=checks.control_matches(state, u), cut_control_matches=checks.control_matches(state, u.drop_last(1)), late_controls=checks.control_follows(state.initial_states(1), late).count(), other_starts=checks.control_follows(state.final_states(1), u).count())
+
+
+@query(f"WITH {PLANE}, g AS (SELECT a.point_id AS i, b.point_id AS j, exp(-{D2} / 0.5) AS w FROM c a JOIN c b ON sqrt({D2}) <= 0.75), r AS (SELECT i, sum(w) AS r FROM g GROUP BY i) SELECT (SELECT count(*) FROM g JOIN r ON g.i = r.i JOIN r q ON g.j = q.i WHERE abs(g.w / r.r - g.w / q.r) > 1e-9) AS asymmetric, (SELECT count(*) FROM r WHERE abs(r - 1) > 1e-9) AS not_stochastic, CAST(0 AS BIGINT) AS after_scaling, CAST(0 AS BIGINT) AS before_scaling")
+def val_edges(s, d):
+    """Entries of a kernel's stochastic form that differ from their mirror, rows that don't add up to 1 before and after; the kernel is symmetric."""
+    edges = kernels.gaussian(0.25).edges(distance.grid(plane(s, d), metric="sqeuclidean", cut_off=0.75))
+    made = kernels.stochastic(edges)
+    return one_row(s, asymmetric=checks.asymmetric_edges(made, 1e-9).count(), not_stochastic=checks.not_stochastic(edges, 1e-9).count(), after_scaling=checks.not_stochastic(made, 1e-9).count(), before_scaling=checks.asymmetric_edges(edges).count())
+
+
+LONG = "t AS (SELECT CAST(0 AS BIGINT) AS id, event_id AS time, value FROM events)"
+
+
+def one_long_series(s, d) -> Collection:
+    """All events as a single series."""
+    df = table(s, d, "events").select(F.lit(0).cast("long").alias("id"), F.col("event_id").alias("time"), "value")
+    return Collection.of(df, features=["value"])
+
+
+@query(f"WITH {LONG} SELECT id, time, value, lag(value, 1) OVER ({ID}) AS \"value:d1\", lag(value, 3) OVER ({ID}) AS \"value:d3\" FROM t QUALIFY row_number() OVER ({ID}) > 3")
+def long_takens(s, d):
+    """Delays over one series, in pieces with halos."""
+    return windows.takens(one_long_series(s, d), 2, frequency=2, piece=2048).df
+
+
+@query(f"WITH {LONG} SELECT id, time, round((lead(value) OVER ({ID}) - lag(value) OVER ({ID})) / 2, 6) AS value FROM t QUALIFY lag(value) OVER ({ID}) IS NOT NULL AND lead(value) OVER ({ID}) IS NOT NULL")
+def long_fd(s, d):
+    return rounded(windows.finite_difference(one_long_series(s, d), 1.0, piece=2048).df, ["value"])
+
+
+@query(f"WITH {LONG} SELECT id, time, round(avg(value) OVER ({ID} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS value_ma5 FROM t QUALIFY row_number() OVER ({ID}) >= 5")
+def long_moving_average(s, d):
+    return rounded(windows.moving_average(one_long_series(s, d), 5, piece=2048).df, ["value_ma5"])
+
+
+@query(f"WITH {LONG}, p AS (SELECT value AS x, lead(value) OVER ({ID}) AS y FROM t QUALIFY y IS NOT NULL) SELECT count(*) AS n, round(sum(x * y), 2) AS products FROM p")
+def long_shift_pairs(s, d):
+    return windows.shift_pairs(one_long_series(s, d), piece=2048).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * F.col("value_next")), 2).alias("products"))
+
+
 # -- metrics, folds ---------------------------------------------------------------------------------------------------
 
 
@@ -742,11 +827,36 @@ def edmd_window_scores(s, d):
     return rounded(model.window_scores(tsc, 10, 10), ["value"], 4)
 
 
-@query()
+def _cv_sql(delays: int) -> str:
+    """One candidate: sums of each fold, normal equations of all others, the map run along the fold's series, scores."""
+    lags, n = [f"l{k}" for k in range(delays + 1)], delays + 1
+    g = [f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(lags) for j, b in enumerate(lags)] + [f"sum({a} * o) AS h{i}" for i, a in enumerate(lags)]
+    names = [f"g{i}{j}" for i in range(n) for j in range(n)] + [f"h{i}" for i in range(n)]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(f"{'-' if j % 2 else ''}{m[0][j]} * {det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    m = [[f"g{i}{j}" for j in range(n)] for i in range(n)]
+    coefficients = [f"{det([[f'h{i}' if j == k else m[i][j] for j in range(n)] for i in range(n)])} / {det(m)} AS c{k}" for k in range(n)]
+    step = " + ".join(f"c{k} * l{k}" for k in range(n))
+    p = f"d{delays}_"
+    return f"""{p}l AS (SELECT id, fold, time, value AS l0, {", ".join(f"lag(value, {k}) OVER ({ID}) AS l{k}" for k in range(1, n))}, lead(value) OVER ({ID}) AS o FROM t JOIN f USING (id) QUALIFY time >= {delays}),
+{p}g AS (SELECT fold, {", ".join(g)} FROM {p}l WHERE o IS NOT NULL GROUP BY fold),
+{p}t AS (SELECT a.fold, {", ".join(f"sum(b.{x}) AS {x}" for x in names)} FROM {p}g a JOIN {p}g b ON a.fold <> b.fold GROUP BY a.fold),
+{p}c AS (SELECT fold, {", ".join(coefficients)} FROM {p}t),
+{p}p AS (SELECT id, fold, time, {", ".join(lags)} FROM {p}l WHERE time = {delays} UNION ALL SELECT id, p.fold, p.time + 1, {step}, {", ".join(lags[:-1])} FROM {p}p p JOIN {p}c c ON c.fold = p.fold JOIN n USING (id) WHERE p.time + 1 < n.n),
+{p}s AS (SELECT {delays} AS delays, avg(s) AS score FROM (SELECT p.fold, -sqrt(avg((t.value - p.l0) * (t.value - p.l0))) / (max(t.value) - min(t.value)) AS s FROM {p}p p JOIN t USING (id, time) GROUP BY p.fold))"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT id, count(*) AS n FROM t GROUP BY id), f AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY id) <= (count(*) OVER () + 1) // 2 THEN 0 ELSE 1 END AS fold FROM n),
+{_cv_sql(1)}, {_cv_sql(2)}, a AS (SELECT * FROM d1_s UNION ALL SELECT * FROM d2_s) SELECT CAST(delays AS INTEGER) AS delays, round(score, 6) AS score, score = max(score) OVER () AS best FROM a""")
 def edmd_cv(s, d):
+    """Two dictionaries by two folds of series, from sums of products by fold."""
     tsc = events(s, d).select("value")
-    best, value, tried = edmd.grid_search(lambda delays: edmd.Edmd([transformers.Takens(delays)], dynamics.Dmd(mode="matrix")), {"delays": [1, 2]}, tsc, {"kind": "series", "k": 2})
-    return s.createDataFrame([(p["delays"], round(v, 6), p == best) for p, v in tried], "delays int, score double, best boolean")
+    found = edmd.grid_search(lambda delays: edmd.Edmd([transformers.Takens(delays)], dynamics.Dmd(mode="matrix")), {"delays": [1, 2]}, tsc, {"kind": "series", "k": 2})
+    return s.createDataFrame([(p["delays"], round(v, 6), p == found.best) for p, v in found.tried], "delays int, score double, best boolean")
 
 
 @query(f"{PAIRS}, g AS (SELECT sum(x0 * y0) / sum(x0 * x0) AS a FROM p) SELECT round(a, 8) AS a FROM g")
@@ -758,6 +868,27 @@ def online_gram(s, d):
     return one_row(s, a=round(float(state.model(mode="matrix").system.matrix[0, 0]), 8))
 
 
+_LS2 = "s AS (SELECT sum(x0*x0) a, sum(x0*x1) b, sum(x1*x1) c, sum(x0*y0) p, sum(x1*y0) q, sum(x0*y1) r, sum(x1*y1) t FROM p)"
+
+
+@query(f"{PAIRS}, {_LS2} SELECT round((p*c - q*b) / (a*c - b*b), 6) AS a00, round((a*q - b*p) / (a*c - b*b), 6) AS a01, round((r*c - t*b) / (a*c - b*b), 6) AS a10, round((a*t - b*r) / (a*c - b*b), 6) AS a11 FROM s")
+def stream_bases(s, d):
+    """The table as a stream of files of whole series into low-rank bases; two features and rank 2 lose nothing."""
+    sink = online.BatchSink(["value", "hr"], path=shared_folder(s, "stream-state"), rank=2)
+    w = Window.partitionBy("user_id").orderBy("ts")
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col("user_id").alias("id"), (F.row_number().over(w) - 1).cast("long").alias("time"), "value", F.hour("ts").cast("double").alias("hr"))
+        sink(rows, number)
+
+    source = shared_folder(s, "stream-source")
+    table(s, d, "events").repartition(4, "user_id").write.parquet(source)
+    stream = s.readStream.schema(table(s, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", shared_folder(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    m = sink.state.bases.matrix()
+    return one_row(s, **{f"a{i}{j}": round(float(m[i, j]), 6) for i in (0, 1) for j in (0, 1)})
+
+
 @query(f"{PAIRS}, m AS (SELECT sum(x0 * y0) / sum(x0 * x0) AS a FROM p) SELECT round(a, 4) AS a FROM m")
 def online_dmd(s, d):
     model = online.OnlineDmd().partial_fit(events(s, d).select("value"))
