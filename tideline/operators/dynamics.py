@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -74,18 +73,29 @@ class LinearSystem:
             return np.array(out)
         if np.abs(steps - self.delta).max(initial=0) > 1e-9 * max(1.0, self.delta):
             raise CollectionError("a controlled flowmap moves in its own time step only")
-        out = [np.asarray(state, float)]
-        for u in controls[: len(steps)]:
-            push = np.tensordot(u, self.control, 1) @ out[-1] if self.affine else self.control @ u
-            out.append(self.matrix @ out[-1] + push)
-        return np.array(out)
+        return self.evolve_all(np.asarray(state, float)[None], times, np.asarray(controls, float)[None, : len(steps)])[0]
+
+    def evolve_all(self, states: np.ndarray, times: np.ndarray, controls: np.ndarray) -> np.ndarray:
+        """Of many series (states: a row each; controls: series, intervals, inputs), as series, times, states."""
+        if self.kind == "differential" or np.abs(np.diff(times) - self.delta).max(initial=0) > 1e-9 * max(1.0, self.delta):
+            return np.array([self.evolve(x, times, u) for x, u in zip(states, controls, strict=True)]).reshape(len(states), len(times), -1)
+        out, step = [states], self.matrix
+        if self.mode == "spectral":  # of a model of few modes: what they hold of the state, and their own map
+            values, right, left = self.parts
+            out, step = [(states @ left.T @ right.T).real], ((right * values) @ left).real
+        for k in range(len(times) - 1):
+            u = controls[:, k]
+            push = np.einsum("nm,mij,nj->ni", u, self.control, out[-1]) if self.affine else u @ self.control.T
+            out.append(out[-1] @ step.T + push)
+        return np.stack(out, axis=1)
 
 
 def predict_frame(system: LinearSystem, initial: Collection, times: Sequence[float], control: Collection | None = None, output: np.ndarray | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """States of every series at `times`, counted from its own initial time.
 
     Without control: one matrix for each time, sent to tasks as an array and multiplied in Arrow batches, so the plan's size doesn't
-    follow the number of times. With control: each series' controls, in order of time, meet its initial state in a group. output: a matrix that maps states to what is returned.
+    follow the number of times. With control: each series' controls, in order of time, meet its initial state. output: a matrix that maps
+    states to what is returned.
     """
     names = list(names or initial.features)
     out = np.eye(len(initial.features)) if output is None else output
@@ -93,22 +103,35 @@ def predict_frame(system: LinearSystem, initial: Collection, times: Sequence[flo
         raise CollectionError("times are finite")
     if control is None:
         return projected(initial, {None: np.array([out @ system.propagator(float(t)) for t in times])}, times, names)
-    i, t, states, inputs = initial.id, initial.time, list(initial.features), list(control.features)
-    schema = StructType([StructField(i, LongType()), StructField(t, DoubleType()), *(StructField(n, DoubleType()) for n in names)])
+    return controlled(system, initial, np.asarray(times, float), control, out, names)
+
 
-    def run(first: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if first.empty:
-            return pd.DataFrame({c: [] for c in [i, t, *names]})
-        given = given.sort_values(t)
-        x0, t0 = first.iloc[0][states].to_numpy(float), float(first.iloc[0][t])
-        made = system.evolve(x0, np.asarray(times, float), given[inputs].to_numpy(float)) @ out.T
-        frame = pd.DataFrame(made, columns=names)
-        frame.insert(0, t, np.asarray(times, float) + t0)
-        frame.insert(0, i, first.iloc[0][i])
-        return frame
+def controlled(system: LinearSystem, initial: Collection, times: np.ndarray, control: Collection, output: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """Each series' controls, in order of time, are gathered beside its initial state; states then move on in Arrow batches, a linear flowmap
+    with all series of a batch at once. Too few controls, or none, are an error."""
+    i, t, d, m = initial.id, initial.time, len(initial.features), len(control.features)
+    given = control.df.groupBy(F.col(control.id).alias("_of")).agg(F.array_sort(F.collect_list(F.struct(F.col(control.time).alias("t"), *(F.col(u).alias(f"u{k}") for k, u in enumerate(control.features))))).alias("_u"))
+    chosen = initial.df.select(F.col(i).cast("long").alias(i), F.col(t).cast("double").alias(t), F.array(*(F.col(f).cast("double") for f in initial.features)).alias("_x"))
+    rows = chosen.join(given, F.col(i) == F.col("_of"), "left").select(i, t, "_x", *(F.col(f"_u.u{k}").alias(f"_u{k}") for k in range(m)))
+    steps = len(times) - 1
+    schema = StructType([StructField(i, LongType()), StructField(t, DoubleType()), *(StructField(n, DoubleType()) for n in names)])
 
-    renamed = control.df.select(F.col(control.id).alias(i), F.col(control.time).alias(t), *inputs)
-    return initial.df.groupBy(i).cogroup(renamed.groupBy(i)).applyInPandas(run, schema)
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            held = [pc.list_value_length(batch.column(3)).fill_null(0).to_numpy()] if m else [np.zeros(len(x), int)]
+            if (held[0] < steps).any():
+                raise CollectionError("one control is needed for each interval")
+            begin = [batch.column(3 + k).offsets.to_numpy()[:-1] for k in range(m)]
+            values = [batch.column(3 + k).values.to_numpy(zero_copy_only=False) for k in range(m)]
+            u = np.stack([v[b[:, None] + np.arange(steps)] for v, b in zip(values, begin, strict=True)], axis=2) if steps else np.zeros((len(x), 0, m))
+            made = system.evolve_all(x, times, u) @ output.T
+            when = batch.column(1).to_numpy()[:, None] + times
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(times)))), pa.array(when.ravel()), *(pa.array(made[:, :, k].ravel()) for k in range(len(names)))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def projected(initial: Collection, matrices: dict, times: Sequence[float], names: Sequence[str], which: str | None = None, until: str | None = None) -> DataFrame:
@@ -290,6 +313,7 @@ class ControlDmd(Model):
     """x+ = A x + B u."""
 
     rcond: float | None = None
+    mode: str = "matrix"
 
     def fit(self, tsc: Collection, control: Collection, delta: float | None = None) -> ControlDmd:
         self._begin(tsc, delta)
@@ -299,7 +323,7 @@ class ControlDmd(Model):
         d, m = len(self.features), len(self.controls)
         both, _ = gram.matrix(pairs, self.features + self.controls + [f"{f}_next" for f in self.features])
         ab = least_squares(both[: d + m, : d + m], both[: d + m, d + m :], self.rcond)
-        self.system = LinearSystem(ab[:, :d], "flowmap", "matrix", self.delta, control=ab[:, d:])
+        self.system = LinearSystem(ab[:, :d], "flowmap", self.mode, self.delta, control=ab[:, d:])
         return self
 
 

@@ -222,15 +222,19 @@ def tsc_reconstruct_groups(s, d):
     return events(s, d).same_start_groups().withColumn("delta", F.col("delta").cast("int"))
 
 
-@query("SELECT CAST(x AS DOUBLE) * 0.5 AS x, CAST(y AS DOUBLE) * 0.25 - 1 AS y FROM range(5) a(x), range(9) b(y)")
+@query(f"WITH {PLANE}, b AS (SELECT min(x[1]) AS l, max(x[1]) AS h, min(x[2]) AS m, max(x[2]) AS k FROM c) SELECT round(l + i * ((h - l) / 4), 6) AS x, round(m + j * ((k - m) / 8), 6) AS y FROM b, range(5) a(i), range(9) r(j)")
 def src_regular_mesh(s, d):
-    return io.regular_mesh(s, (0, -1), (2, 1), 5, 9)
+    """A mesh over the extent of a point cloud."""
+    x = plane(s, d).select(F.element_at("x", 1).alias("a"), F.element_at("x", 2).alias("b"))
+    low_a, low_b, high_a, high_b = x.agg(F.min("a"), F.min("b"), F.max("a"), F.max("b")).first()
+    return rounded(io.regular_mesh(s, (low_a, low_b), (high_a, high_b), 5, 9), ["x", "y"])
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, CAST(t AS BIGINT) AS time, CAST(i * 100 + t * 10 AS DOUBLE) AS feature0, CAST(i * 100 + t * 10 + 1 AS DOUBLE) AS feature1 FROM range(3) a(i), range(4) b(t)")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS time, CAST(n_nationkey AS DOUBLE) AS feature0, CAST(len(n_name) AS DOUBLE) AS feature1 FROM nation")
 def src_from_tensor(s, d):
-    i, t, f = np.meshgrid(np.arange(3), np.arange(4), np.arange(2), indexing="ij")
-    return io.from_tensor(s, i * 100 + t * 10 + f).df
+    """Five nations in each of five regions as an array of (region, nation, 2)."""
+    rows = table(s, d, "nation").select("n_regionkey", "n_nationkey", F.length("n_name")).orderBy("n_regionkey", "n_nationkey").collect()
+    return io.from_tensor(s, np.array([r[1:] for r in rows], float).reshape(5, 5, 2)).df
 
 
 @query(f"WITH {EVENTS} SELECT id, 0 AS time, value FROM t WHERE time = 0 UNION ALL SELECT id, 1, value FROM t WHERE time = 1")
@@ -769,6 +773,20 @@ def dmdc_1d(s, d):
     return one_row(s, a=round(float(model.system.matrix[0, 0]), 6), b=round(float(model.system.control[0, 0]), 6))
 
 
+for _mode in ("matrix", "spectral"):
+
+    @query(f"""WITH {ORDERS}, p AS (SELECT x, u, lead(x) OVER ({ID}) AS y FROM t QUALIFY y IS NOT NULL), g AS (SELECT sum(x*x) a, sum(x*u) b, sum(u*u) c, sum(x*y) e, sum(u*y) f FROM p), k AS (SELECT (c*e - b*f) / (a*c - b*b) AS a, (a*f - b*e) / (a*c - b*b) AS b FROM g),
+n AS (SELECT id FROM t WHERE time = 2), v AS (SELECT id, max(CASE WHEN time = 0 THEN x END) AS x0, max(CASE WHEN time = 0 THEN u END) AS u0, max(CASE WHEN time = 1 THEN u END) AS u1 FROM t JOIN n USING (id) GROUP BY id), w AS (SELECT *, a * x0 + b * u0 AS x1 FROM v, k)
+SELECT id, CAST(0 AS DOUBLE) AS time, round(x0, 5) AS x FROM w UNION ALL SELECT id, 1, round(x1, 5) FROM w UNION ALL SELECT id, 2, round(a * x1 + b * u1, 5) FROM w""", f"dmdc_predict_{_mode}")
+    def dmdc_predict(s, d, mode=_mode):
+        """Two steps under control of orders of three lines or more."""
+        state, u = orders(s, d)
+        model = dynamics.ControlDmd(mode=mode).fit(state, u, delta=1.0)
+        long = state.df.where("time = 2").select("id")
+        keep = lambda tsc: tsc.with_df(tsc.df.join(long, "id", "left_semi"))
+        return rounded(model.predict(keep(state).initial_states(1), [0.0, 1.0, 2.0], keep(u)).df, ["x"], 5)
+
+
 @query(f"WITH {EVENTS}, p AS (SELECT value AS x, (lead(value) OVER ({ID}) - lag(value) OVER ({ID})) / 2 AS y FROM t QUALIFY y IS NOT NULL) SELECT round(sum(x * y) / sum(x * x), 8) AS a FROM p")
 def gdmd_1d(s, d):
     return one_row(s, a=round(float(dynamics.GeneratorDmd(mode="matrix").fit(events(s, d).select("value"), delta=1.0).system.matrix[0, 0]), 8))
@@ -946,10 +964,13 @@ def jsf(s, d):
     return s.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(model.values)], "k int, value double")
 
 
-@query("WITH k AS (SELECT 0.9 AS a, 0.5 AS b, 1.0 AS q, 0.1 AS r), z AS (SELECT *, r - r*a*a - b*b*q AS h FROM k), p AS (SELECT *, (-h + sqrt(h*h + 4*b*b*q*r)) / (2*b*b) AS p FROM z) SELECT round(p, 8) AS riccati, round(b*p*a / (r + b*b*p), 8) AS gain FROM p")
+@query(f"""WITH {ORDERS}, p AS (SELECT x, u, lead(x) OVER ({ID}) AS y FROM t QUALIFY y IS NOT NULL), g AS (SELECT sum(x*x) a, sum(x*u) b, sum(u*u) c, sum(x*y) e, sum(u*y) f FROM p),
+k AS (SELECT (c*e - b*f) / (a*c - b*b) AS a, (a*f - b*e) / (a*c - b*b) AS b, 1.0 AS q, 0.1 AS r FROM g), z AS (SELECT *, r - r*a*a - b*b*q AS h FROM k), p2 AS (SELECT *, (-h + sqrt(h*h + 4*b*b*q*r)) / (2*b*b) AS p FROM z) SELECT round(p, 5) AS riccati, round(b*p*a / (r + b*b*p), 6) AS gain FROM p2""")
 def lqr_1d(s, d):
-    made = control.Regulator(dynamics.LinearSystem(np.array([[0.9]]), control=np.array([[0.5]])), 1.0, 0.1)
-    return one_row(s, riccati=round(float(made.riccati[0, 0]), 8), gain=round(float(made.gain[0, 0]), 8))
+    """The regulator of the model that orders give."""
+    state, u = orders(s, d)
+    made = control.Regulator(dynamics.ControlDmd().fit(state, u, delta=1.0).system, 1.0, 0.1)
+    return one_row(s, riccati=round(float(made.riccati[0, 0]), 5), gain=round(float(made.gain[0, 0]), 6))
 
 
 @query()
@@ -960,15 +981,16 @@ def kmpc(s, d):
     return rounded(plan.plan_all(state.initial_states(1), np.array([30.0])), ["u0"], 3)
 
 
-_STARTS = np.random.default_rng(42).uniform(-2, 2, (8, 2))
 _H = 0.1 / 20
 _SLOPE = lambda n, x, y: f"{y} AS a{n}, (1 - ({x}) * ({x})) * ({y}) - ({x}) AS b{n}"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT * FROM (VALUES {", ".join(f"({i}::BIGINT, 0, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, (x, y) in enumerate(_STARTS.tolist()))}) v(id, n, x, y) UNION ALL
+@query(f"""WITH RECURSIVE s AS (SELECT CAST(s_suppkey AS BIGINT) AS id, 0 AS n, CAST(s_acctbal AS DOUBLE) / 5000 AS x, CAST(s_suppkey % 5 AS DOUBLE) - 2 AS y FROM supplier UNION ALL
 SELECT id, n + 1, x + {_H} / 6 * (a1 + 2 * a2 + 2 * a3 + a4), y + {_H} / 6 * (b1 + 2 * b2 + 2 * b3 + b4) FROM (SELECT *, {_SLOPE(4, f"x + {_H} * a3", f"y + {_H} * b3")} FROM (SELECT *, {_SLOPE(3, f"x + {_H / 2} * a2", f"y + {_H / 2} * b2")}
-FROM (SELECT *, {_SLOPE(2, f"x + {_H / 2} * a1", f"y + {_H / 2} * b1")} FROM (SELECT *, {_SLOPE(1, "x", "y")} FROM s WHERE n < 200))))) SELECT id, round(n // 20 * 0.1, 6) AS time, round(x, 6) AS x0, round(y, 6) AS x1 FROM s WHERE n % 20 = 0""")
+FROM (SELECT *, {_SLOPE(2, f"x + {_H / 2} * a1", f"y + {_H / 2} * b1")} FROM (SELECT *, {_SLOPE(1, "x", "y")} FROM s WHERE n < 200))))) SELECT id, round(CAST(n // 20 AS DOUBLE) * 0.1, 6) AS time, round(x, 6) AS x0, round(y, 6) AS x1 FROM s WHERE n % 20 = 0""")
 def simulate_van_der_pol(s, d):
-    states = _STARTS
-    made = systems.simulate(s, systems.van_der_pol, states, np.linspace(0, 1, 11))
+    """An oscillator from a state for each supplier."""
+    df = table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.lit(0.0).alias("time"), (F.col("s_acctbal").cast("double") / 5000).alias("x0"), (F.col("s_suppkey") % 5).cast("double").alias("x1") - 2)
+    states = Collection.of(df.toDF("id", "time", "x0", "x1"), features=["x0", "x1"])
+    made = systems.simulate_from(states, systems.van_der_pol, np.linspace(0, 1, 11))
     return rounded(made.df, ["time", *made.features])
