@@ -72,16 +72,16 @@ class Trie:
     def made(self, longest: int, held_back: int = 0) -> tuple[bytes, bytes, bytes, int]:
         """The words in order, the sorted windows (columns of word numbers from 1, 0 behind the end of a piece), their counts (all three
         compressed: they travel whole), the number of words. The last `held_back` places begin no window."""
-        ids = np.concatenate([*self.parts, np.zeros(longest - 1, np.uint32)])
-        order = sorted((w, i) for w, i in self.words.items() if i)
-        rank = np.zeros(len(self.words), np.uint32)
-        rank[[i for _, i in order]] = np.arange(1, len(order) + 1)
+        ids, self.parts = np.concatenate([*self.parts, np.zeros(longest - 1, np.uint32)]), []
+        number, names = self.words, sorted(w for w, i in self.words.items() if i)
+        rank = np.zeros(len(number), np.uint32)
+        rank[np.fromiter(map(number.__getitem__, names), np.int64, len(names))] = np.arange(1, len(names) + 1)
         ids = rank[ids]
         n = len(ids) - (longest - 1) - held_back
         columns = windows(ids, n, longest)
         columns = [c[columns[0] > 0] for c in columns]
         columns, counts = added_up(columns, np.ones(len(columns[0]), np.int64))
-        packed = [zstandard.compress(raw, 1) for raw in (b" ".join(w for w, _ in order), np.stack(columns).astype("<u4").tobytes(), counts.astype("<i8").tobytes())]
+        packed = [zstandard.compress(raw, 1) for raw in (b" ".join(names), np.stack(columns).astype("<u4").tobytes(), counts.astype("<i8").tobytes())]
         return *packed, int(counts.sum())
 
 
@@ -105,7 +105,7 @@ def added_up(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.nda
     return [c[order[start]] for c in columns], np.add.reduceat(counts[order], start)
 
 
-def tries(docs: DataFrame, text: str, lang: str, longest: int, span: int = 1 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
+def tries(docs: DataFrame, text: str, lang: str, longest: int, span: int = 3 << 18, slice_bytes: int = 4 << 20) -> DataFrame:
     """Serialised tries of about `span` words each, one language to each."""
 
     def run(batches):
@@ -380,7 +380,7 @@ def uncovered(candidates: DataFrame, longest: int, percent: int) -> DataFrame:
     return candidates.join(longer, ["lang", *names], "left").where(F.coalesce(~enough, F.lit(True))).drop("longer")
 
 
-def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, covered: int = 80, most: int = 2000, span: int = 1 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, covered: int = 80, most: int = 2000, span: int = 3 << 18, slice_bytes: int = 4 << 20) -> DataFrame:
     """Each language's best phrases of 2 to `longest` words: lang, rank, phrase, a, l, r, n, score.
 
     A-Z count as a-z; n: words of the language; a: occurrences of the phrase, `least` or more; l and r: those of the two parts of its
