@@ -154,9 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     turns = np.concatenate([draw.permutation(n) for _ in range(epochs)]) if n else np.zeros(0, np.int64)
     turns = spark.createDataFrame(pa.table({"i": turns.astype(np.int64), "turn": np.arange(len(turns))}))
 
-    def learn_all(batches):
+    def begun() -> Ftrl:
         leader = Ftrl(size + 1)
         leader.z[-1] = -prior * (leader.beta / leader.alpha + leader.l2)  # the bias starts at the class shares
+        return leader
+
+    def learn_all(batches):
+        leader = begun()
         for batch in batches:
             for at, x, y in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 at, x = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)
@@ -167,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     numbered = rows.withColumn("i", F.row_number().over(Window.orderBy("at", "x", "y")) - 1)
     turned = numbered.join(turns, "i").repartition(1).sortWithinPartitions("turn").select("at", "x", "y")
     got = turned.mapInArrow(learn_all, "w binary").first()
-    weights = np.frombuffer(got["w"], np.float64)
+    weights = np.frombuffer(got["w"], np.float64) if got is not None else begun().weights()
     forget(rows)
     return QualityModel(weights[:-1].astype(np.float32), float(weights[-1]), scale, bits)
 
