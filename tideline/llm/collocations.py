@@ -349,14 +349,16 @@ def with_left_parts(nodes: DataFrame, longest: int) -> DataFrame:
 
 
 def with_cuts(phrases_: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
-    """Phrases with their lowest-scoring cut: l, r and score. Right parts come by suffix links, one for each cut."""
+    """Phrases with their lowest-scoring cut: l, r and score. Right parts come by suffix links, one for each cut.
+
+    Both sides are shuffled: compressed files look smaller than what a broadcast of all nodes would take from the driver."""
     names = word_columns(longest)
     cuts = phrases_.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)))
     words_ = F.array(*(F.col(c) for c in names))
     suffix = F.slice(F.concat(words_, F.array(*[F.lit("")] * longest)), F.col("cut") + 1, F.lit(longest))
     links = cuts.withColumn("suffix", suffix).withColumn("salt", salt(F.struct(*names, "cut")))
     ends = nodes.select(F.col("lang").alias("s_lang"), words_.alias("s_words"), F.col("f").alias("r"), F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("s_salt"))
-    met = links.join(ends, (F.col("lang") == F.col("s_lang")) & (F.col("suffix") == F.col("s_words")) & (F.col("salt") == F.col("s_salt")))
+    met = links.join(ends.hint("merge"), (F.col("lang") == F.col("s_lang")) & (F.col("suffix") == F.col("s_words")) & (F.col("salt") == F.col("s_salt")))
     met = met.withColumn("l", F.get("left", F.col("cut") - 1))
     score = F.expr("CAST(CAST(2000000 * CAST(f AS DECIMAL(20,0)) AS DECIMAL(30,0)) DIV (CAST(l AS DECIMAL(20,0)) + r) AS BIGINT)")
     least = F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best")
@@ -377,7 +379,7 @@ def uncovered(candidates: DataFrame, longest: int, percent: int) -> DataFrame:
     listed = F.explode(F.filter(F.array(*parts), lambda p: p["of"] == F.col("depth")))
     longer = candidates.where("depth > 2").select("lang", "a", listed.alias("p")).groupBy("lang", *(F.col(f"p.{n}").alias(n) for n in names)).agg(F.max("a").alias("longer"))
     enough = F.expr(f"CAST({percent} AS DECIMAL(3,0)) * CAST(a AS DECIMAL(20,0)) <= CAST(100 AS DECIMAL(3,0)) * CAST(longer AS DECIMAL(20,0))")
-    return candidates.join(longer, ["lang", *names], "left").where(F.coalesce(~enough, F.lit(True))).drop("longer")
+    return candidates.join(longer.hint("merge"), ["lang", *names], "left").where(F.coalesce(~enough, F.lit(True))).drop("longer")
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, covered: int = 80, most: int = 2000, span: int = 3 << 18, slice_bytes: int = 4 << 20) -> DataFrame:
