@@ -64,7 +64,7 @@ def lorenz(t, x, u, sigma: float = 10.0, rho: float = 28.0, beta: float = 8 / 3)
 def burger(t, x, u, nu: float = 0.01, length: float = 2 * np.pi):
     """Periodic Burgers equation on a grid, central differences."""
     h = length / len(x)
-    left, right = np.roll(x, 1), np.roll(x, -1)
+    left, right = np.roll(x, 1, axis=0), np.roll(x, -1, axis=0)
     return -x * (right - left) / (2 * h) + nu * (right - 2 * x + left) / (h * h) + (u if len(u) == len(x) else 0.0)
 
 
@@ -93,17 +93,21 @@ def simulate(spark: SparkSession, system: Field, states: np.ndarray, times: np.n
     return Collection.of(spark.range(len(states)).mapInPandas(run, schema), features=names)
 
 
-def simulate_from(initial: Collection, system: Field, times: np.ndarray, substeps: int = 20, **parameters) -> Collection:
-    """Series from each row of a collection of initial states, at `times` after its own time. States stay where they are."""
+def simulate_from(initial: Collection, system: Field, times: np.ndarray, substeps: int = 20, one_by_one: bool = False, **parameters) -> Collection:
+    """Series from each row of a collection of initial states, at `times` after its own time. States stay where they are.
+
+    The system is given all states of a batch at once, a column each; one_by_one: a single state at a time."""
     times, names = np.asarray(times, float), list(initial.features)
 
+    def moved(x: np.ndarray) -> np.ndarray:
+        return runge_kutta(lambda t, x: system(t, x, np.zeros(0), **parameters), x, times, substeps)
+
     def run(frames):
         for frame in frames:
-            for i, t0, *x in frame.itertuples(index=False):
-                made = pd.DataFrame(runge_kutta(lambda t, x: system(t, x, np.zeros(0), **parameters), np.array(x, float), times, substeps), columns=names)
-                made.insert(0, "time", times + float(t0))
-                made.insert(0, "id", i)
-                yield made
+            x = frame[names].to_numpy(float)
+            made = np.array([moved(row) for row in x]).reshape(len(x), len(times), -1) if one_by_one or not len(x) else moved(x.T).transpose(2, 0, 1)
+            when = frame.iloc[:, 1].to_numpy(float)[:, None] + times
+            yield pd.DataFrame({"id": np.repeat(frame.iloc[:, 0].to_numpy(), len(times)), "time": when.ravel(), **{n: made[:, :, k].ravel() if len(x) else [] for k, n in enumerate(names)}})
 
     schema = "id long, time double, " + ", ".join(f"`{n}` double" for n in names)
     return Collection.of(initial.df.select(initial.id, initial.time, *names).mapInPandas(run, schema), features=names)
